@@ -135,3 +135,68 @@ def bind(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         if re.search(rf"\b{base}\b", text):
             table(spark, sf_dir, base).createOrReplaceTempView(base)
     return spark.sql(f"WITH {text}\nSELECT * FROM {name}")
+
+# ---- conversations, runs and reports ----
+SQL["asked"] = """
+SELECT conv_id, turn, role, CASE (conv_id + turn) % 9 WHEN 0 THEN 'Is there ' || text WHEN 1 THEN 'How many ' || text
+  WHEN 2 THEN 'Is it rural or urban? ' || text WHEN 3 THEN 'Can you ' || text WHEN 4 THEN 'Are they big or small ' || text
+  WHEN 5 THEN 'Does ' || text || ' where' WHEN 6 THEN 'Count the ' || text WHEN 7 THEN '  ' ELSE text END AS question
+FROM conversations"""
+SQL["turns"] = """
+SELECT conv_id, turn, CASE WHEN role = 'assistant' AND turn % 3 = 0 THEN 'ai' ELSE role END AS role,
+  CASE WHEN turn % 5 = 3 THEN 'pair' END AS scope,
+  CASE WHEN conv_id % 6 = 0 AND turn = 2 THEN '  [System] scan done' WHEN conv_id % 7 = 0 AND turn = 1 THEN '   '
+    WHEN role = 'assistant' AND conv_id % 4 = 1 THEN 'Words before. ASSESSMENT: ' || text ELSE text END AS text
+FROM conversations"""
+SQL["prompts"] = """
+SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'another question' ELSE '  ' || max_by(text, turn) || ' ' END AS prompt
+FROM conversations GROUP BY conv_id"""
+SQL["openings"] = """
+SELECT conv_id, turn, role, CASE conv_id % 8 WHEN 0 THEN ' Hello!! ' WHEN 1 THEN '?!' WHEN 2 THEN 'Tell me more...'
+  WHEN 3 THEN 'water?' ELSE text END AS text FROM conversations"""
+SQL["runs"] = """
+SELECT CAST(event_id AS STRING) AS run_id, event_id, user_id AS workspace,
+  CASE event_type WHEN 'view' THEN 'scan' WHEN 'purchase' THEN 'change' WHEN 'signup' THEN 'fusion' ELSE 'chat' END AS kind,
+  {epoch_ts} AS ran_at FROM events"""
+SQL["picks"] = "SELECT user_id AS workspace, CAST(min(event_id) + user_id % 3 AS STRING) AS run_id FROM events GROUP BY user_id"
+SQL["slot_changes"] = """
+SELECT user_id AS workspace, CASE event_id % 6 WHEN 0 THEN 'a' WHEN 1 THEN 'before' WHEN 2 THEN 'after' WHEN 3 THEN 'optical'
+  WHEN 4 THEN 'sar' ELSE 'a' END AS slot, {epoch_ts} - 86400 * 12 AS changed_at FROM events WHERE event_type = 'click'"""
+SQL["report_log"] = """
+SELECT user_id, 's' || CAST(event_id % 2000 AS STRING) AS session_id, repeat(props, 300) AS query, event_type AS task,
+  CASE WHEN event_id % 4 = 0 THEN 'Title ' || CAST(event_id AS STRING) WHEN event_id % 4 = 1 THEN '' END AS title,
+  CAST(event_id AS DOUBLE) AS created_at FROM events"""
+SQL["reports"] = """
+SELECT CAST(k % 150 AS BIGINT) AS user_id, 's' || CAST(k AS STRING) AS session_id, CAST(NULL AS STRING) AS title
+FROM (SELECT DISTINCT event_id % 2500 AS k FROM events) t"""
+SQL["renames"] = """
+SELECT o_orderkey AS update_id, 's' || CAST(o_orderkey % 3000 AS STRING) AS session_id,
+  CAST(CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 3000) % 150 ELSE o_custkey % 150 END AS BIGINT) AS user_id,
+  CASE o_orderkey % 5 WHEN 0 THEN '   ' WHEN 1 THEN repeat('x', 201) ELSE ' Name ' || CAST(o_orderkey AS STRING) || ' ' END AS title
+FROM orders"""
+SQL["session_files"] = """
+SELECT CASE WHEN user_id % 10 = 0 THEN 'scratch' || CAST(user_id AS STRING) ELSE substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' ||
+  substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) END AS session,
+  'f' || CAST(event_id AS STRING) AS path, CAST({epoch_ts} AS DOUBLE) AS mtime
+FROM (SELECT *, md5(CAST(user_id AS STRING)) AS h FROM events) t"""
+SQL["telemetry"] = """
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"model":"base","k":7,"ok":true,"none":null}'
+  WHEN 1 THEN '{"list":[1,"a",false,null],"empty":[],"ok":false}' WHEN 2 THEN '{"order":{"summary":"as uploaded","b":1},"raw":{"b":1}}'
+  ELSE props END AS telemetry FROM events"""
+SQL["coordinates"] = """
+SELECT k, CASE WHEN k % 50 = 49 THEN '  ' WHEN k % 50 = 48 THEN 'N - E' ELSE CASE k % 12
+  WHEN 0 THEN a || '.5, ' || b || '.25' WHEN 1 THEN a || '.5n ' || b || '.25E' WHEN 2 THEN b || '.25E ' || a || '.5N'
+  WHEN 3 THEN 'S ' || a || '.5 W ' || b WHEN 4 THEN a || '°' || m || '′N ' || b || '°' || m || '′W'
+  WHEN 5 THEN a || ' 0 ' || s || ' N ' || b || ' 0 0 E' WHEN 6 THEN '−' || a || ',' || b WHEN 7 THEN 'lat ' || a || ' lon ' || b
+  WHEN 8 THEN 'abc ' || a WHEN 9 THEN a || ' ' || b || ' ' || a WHEN 10 THEN a || 'N ' || b || 'S' ELSE a || 'N ' || b END END AS typed,
+  ai, bi, mi, si FROM (SELECT c_custkey AS k, c_custkey % 95 AS ai, c_custkey % 185 AS bi, c_custkey % 70 AS mi, c_custkey % 65 AS si,
+  CAST(c_custkey % 95 AS STRING) AS a, CAST(c_custkey % 185 AS STRING) AS b, CAST(c_custkey % 70 AS STRING) AS m,
+  CAST(c_custkey % 65 AS STRING) AS s FROM customer) t"""
+SQL["captions"] = """
+SELECT doc_id, CASE doc_id % 5
+  WHEN 0 THEN 'The image shows a satellite view of a landscape. Visible features include: 1. Land Cover: ' || text || ' There is no visible water.'
+  WHEN 1 THEN '1. Bare ground 2. Buildings, 3. Roads' WHEN 2 THEN 'There are no roads. Nothing visible here.'
+  WHEN 3 THEN text || ' No large dam is visible. 12. Fields ' ELSE text END AS text FROM documents"""
+SQL["units"] = """
+SELECT n_nationkey AS k, CASE n_nationkey % 6 WHEN 0 THEN 'EPSG:4326' WHEN 1 THEN 'epsg:32643' WHEN 2 THEN 'EPSG:3857'
+  WHEN 3 THEN 'EPSG:9999' WHEN 4 THEN 'EPSG:32661' END AS crs FROM nation"""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scenequarry.plans import evaluation
+from scenequarry.plans import evaluation, workspace
 
-MODULES = [evaluation]
+MODULES = [evaluation, workspace]
 
 
 def queries() -> dict:
