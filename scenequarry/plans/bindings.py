@@ -118,6 +118,9 @@ def ctes(*names: str, engine: str = "duckdb") -> str:
 def oracle(names: str, body: str) -> str:
     """A DuckDB query: the bindings named in ``names``, then ``body`` (which may add CTEs before its SELECT)."""
     head = ctes(*names.split()) if names else ""
+    if body.lstrip().upper().startswith("WITH RECURSIVE "):
+        body = body.lstrip()[len("WITH RECURSIVE ") :]
+        return f"WITH RECURSIVE {head},\n{body}" if head else f"WITH RECURSIVE {body}"
     if body.lstrip().upper().startswith("WITH "):
         body = body.lstrip()[5:]
         return f"WITH {head},\n{body}" if head else f"WITH {body}"
@@ -200,3 +203,57 @@ SELECT doc_id, CASE doc_id % 5
 SQL["units"] = """
 SELECT n_nationkey AS k, CASE n_nationkey % 6 WHEN 0 THEN 'EPSG:4326' WHEN 1 THEN 'epsg:32643' WHEN 2 THEN 'EPSG:3857'
   WHEN 3 THEN 'EPSG:9999' WHEN 4 THEN 'EPSG:32661' END AS crs FROM nation"""
+
+# ---- scans, dates and places ----
+SQL["scan_cells"] = """
+SELECT vec_id AS scan_id, CASE label % 4 WHEN 0 THEN 'mining' WHEN 1 THEN 'deforestation' WHEN 2 THEN 'agriculture' ELSE 'roads' END AS adapter,
+  CASE WHEN i < 16 THEN 'before' ELSE 'after' END AS date_role, CAST(floor((i % 16) / 4) AS INT) AS grid_row, CAST(i % 4 AS INT) AS grid_col,
+  round(1 / (1 + exp(-16 * x)), 6) AS p
+FROM vectors WHERE i < 32"""
+SQL["token_scores"] = "SELECT vec_id AS row_id, i - 32 AS token, 10 * x AS logit FROM vectors WHERE i >= 32 AND i < 48"
+SQL["step_scores"] = "SELECT CAST(floor(vec_id / 8) AS BIGINT) AS gen_id, vec_id % 8 AS step, CAST(i AS BIGINT) AS token, 10 * x AS logit FROM vectors"
+SQL["chosen_tokens"] = "SELECT CAST(floor(vec_id / 8) AS BIGINT) AS gen_id, vec_id % 8 AS step, (vec_id * 7) % 64 AS token FROM embeddings WHERE vec_id % 5 <> 4"
+SQL["shapes"] = "SELECT p_partkey AS scene_id, CAST(p_size * 37 + 53 AS INT) AS width, CAST(p_size * 21 + 41 AS INT) AS height FROM part"
+SQL["file_names"] = """
+SELECT o_orderkey AS file_id, {iso_orderdate} AS iso, CASE o_orderkey % 8 WHEN 0 THEN 'up/s2a_MSIL1C_' || d || 'T051121_N0510.tif' WHEN 1 THEN 'T43PGQ_' || d || 'T051121_B04_10m.tif'
+  WHEN 2 THEN 'S1A_IW_GRDH_1SDV_' || d || 'T125034_20240110T125059.tif' WHEN 3 THEN 'LC08_L1TP_144051_' || d || '_20240120_02_T1.tif'
+  WHEN 4 THEN 'photo_' || d || '.png' WHEN 5 THEN 'IMG_' || d || '_123456.jpg' WHEN 6 THEN 'S2A_MSIL2A_20241345T051121_X.tif'
+  ELSE 'myS2A_MSIL2A_' || d || 'T051121_X.tif' END AS file_name FROM (SELECT *, {compact_orderdate} AS d FROM orders) t"""
+SQL["tag_rows"] = """
+SELECT o_orderkey AS scene_id, 0 AS ns_order, 'Sensing_Time' AS key, {iso_orderdate} || 'T10:20:30Z' AS value FROM orders WHERE o_orderkey % 5 = 0
+UNION ALL SELECT o_orderkey, 1, 'SENSING_TIME', '2003-04-05' FROM orders WHERE o_orderkey % 15 = 0
+UNION ALL SELECT o_orderkey, 0, 'TIFFTAG_DATETIME', '2001:02:03 04:05:06' FROM orders WHERE o_orderkey % 5 = 1
+UNION ALL SELECT o_orderkey, 0, 'acquisitiondate', 'unknown' FROM orders WHERE o_orderkey % 5 = 2
+UNION ALL SELECT o_orderkey, 0, 'DATE_ACQUIRED', {iso_orderdate} FROM orders WHERE o_orderkey % 5 = 2"""
+SQL["date_texts"] = """
+SELECT o_orderkey AS k, CASE o_orderkey % 9 WHEN 0 THEN {iso_orderdate} || 'T05:11:21Z' WHEN 1 THEN replace({iso_orderdate}, '-', ':') || ' 05:11:21'
+  WHEN 2 THEN {compact_orderdate} WHEN 3 THEN {iso_orderdate} WHEN 4 THEN '' WHEN 5 THEN '2024-13-45' WHEN 6 THEN '1850-01-01'
+  WHEN 7 THEN '2999-01-01' ELSE {iso_orderdate} || ' 25:00:00' END AS text, {iso_orderdate} AS iso FROM orders"""
+SQL["ranges"] = """
+SELECT o_orderkey AS k, {iso_orderdate} AS iso, CASE o_orderkey % 8 WHEN 0 THEN ' ' || {iso_orderdate} WHEN 1 THEN {iso_orderdate} || ' / 2002-01-01'
+  WHEN 2 THEN {iso_orderdate} || '/1990-01-01' WHEN 3 THEN '2024-02-31' WHEN 4 THEN '' WHEN 5 THEN '2024-1-1'
+  WHEN 6 THEN '2024-01-01/2024-01-02/2024-01-03' ELSE '2024-02-29/2025-02-29' END AS text FROM orders"""
+SQL["release_rows"] = """
+SELECT o_custkey AS catalog, CAST(o_orderkey AS STRING) AS id, {iso_orderdate} AS day,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'World Imagery' ELSE 'World Imagery (Wayback ' || {iso_orderdate} || ')' END AS title,
+  CASE WHEN o_orderkey % 7 = 0 THEN 'https://x/tile/{level}/{row}' ELSE 'https://x/tile/' || CAST(o_orderkey AS STRING) || '/{level}/{row}/{col}' END AS url
+FROM orders"""
+SQL["ship_days"] = "SELECT l_orderkey, l_linenumber, l_partkey, {iso_shipdate} AS day FROM lineitem"
+SQL["boxes"] = """
+SELECT p_partkey AS region_no, p_partkey % 200 AS pair_id, CAST(p_partkey * 7 % 300 AS INT) AS x, CAST(p_partkey * 13 % 300 AS INT) AS y,
+  CAST(40 + p_size * 2 AS INT) AS w, CAST(30 + p_size AS INT) AS h, 400 AS width, 400 AS height FROM part"""
+SQL["gained_tiles"] = """
+SELECT c_custkey % 200 AS pair_id, CASE c_custkey % 3 WHEN 0 THEN 'mining' WHEN 1 THEN 'deforestation' ELSE 'agriculture' END AS scan,
+  CAST(c_custkey % 3 AS INT) AS scan_order, CAST(c_custkey % 4 AS INT) AS grid_row, CAST(floor(c_custkey / 4) AS BIGINT) % 4 AS grid_col,
+  4 AS n_rows, 4 AS n_cols FROM customer"""
+SQL["footprints"] = """
+SELECT o_orderkey AS pair_id, 0.0 AS a_left, 0.0 AS a_bottom, CAST(600 + o_custkey % 700 AS DOUBLE) AS a_right, CAST(500 + o_custkey % 300 AS DOUBLE) AS a_top,
+  CAST(60 + o_custkey % 700 AS INT) AS a_width, CAST(50 + o_custkey % 300 AS INT) AS a_height,
+  CAST(o_orderkey % 97 * 8 - 300 AS DOUBLE) + 0.37 AS b_left, CAST(o_orderkey % 89 * 6 - 200 AS DOUBLE) + 0.37 AS b_bottom,
+  CAST(o_orderkey % 97 * 8 + 700 AS DOUBLE) + 0.37 AS b_right, CAST(o_orderkey % 89 * 6 + 500 AS DOUBLE) + 0.37 AS b_top FROM orders"""
+SQL["captures"] = """
+SELECT o_orderkey AS k, CASE WHEN o_orderkey % 20 = 0 THEN NULL ELSE CAST(o_custkey % 50 AS DOUBLE) END AS s1, CAST(o_custkey % 60 AS DOUBLE) AS w1,
+  CAST(o_custkey % 50 + 10 - o_orderkey % 12 AS DOUBLE) AS n1, CAST(o_custkey % 60 + 8 AS DOUBLE) AS e1,
+  CAST(o_custkey % 50 + o_orderkey % 3 AS DOUBLE) AS s2, CAST(o_custkey % 60 + o_orderkey % 4 AS DOUBLE) AS w2,
+  CAST(o_custkey % 50 + 11 AS DOUBLE) AS n2, CAST(o_custkey % 60 + 9 AS DOUBLE) AS e2 FROM orders"""
+DEPENDS |= {"scan_cells": ("vectors",), "token_scores": ("vectors",), "step_scores": ("vectors",)}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scenequarry.plans import evaluation, workspace
+from scenequarry.plans import evaluation, imagery, workspace
 
-MODULES = [evaluation, workspace]
+MODULES = [evaluation, workspace, imagery]
 
 
 def queries() -> dict:
