@@ -257,3 +257,40 @@ SELECT o_orderkey AS k, CASE WHEN o_orderkey % 20 = 0 THEN NULL ELSE CAST(o_cust
   CAST(o_custkey % 50 + o_orderkey % 3 AS DOUBLE) AS s2, CAST(o_custkey % 60 + o_orderkey % 4 AS DOUBLE) AS w2,
   CAST(o_custkey % 50 + 11 AS DOUBLE) AS n2, CAST(o_custkey % 60 + 9 AS DOUBLE) AS e2 FROM orders"""
 DEPENDS |= {"scan_cells": ("vectors",), "token_scores": ("vectors",), "step_scores": ("vectors",)}
+
+# ---- pixels: 64x64 scenes of three bands, one vector per image row; odd scenes are the later date ----
+SQL["bands"] = """
+SELECT CAST(floor(vec_id / 192) AS BIGINT) AS scene_id, CAST(floor((vec_id % 192) / 64) AS INT) + 1 AS band, CAST(vec_id % 64 AS INT) AS row, CAST(i AS INT) AS col,
+  greatest(0.0, least(255.0, round(128 + 400 * x) - CASE WHEN floor(vec_id / 192) % 2 = 1 AND vec_id % 64 BETWEEN 16 AND 47 AND i BETWEEN 16 AND 47 THEN 90 ELSE 0 END)) AS value
+FROM vectors WHERE floor(vec_id / 192) < (SELECT floor(count(*) / 192) FROM embeddings)"""
+SQL["pixels"] = """
+SELECT scene_id, row, col, max(CASE WHEN band = 1 THEN value END) AS r, max(CASE WHEN band = 2 THEN value END) AS g,
+  max(CASE WHEN band = 3 THEN value END) AS b, (scene_id % 2 = 0 OR col >= 2) AS valid, 64 AS height, 64 AS width,
+  CASE WHEN floor(scene_id / 2) % 4 = 3 THEN 'sar' ELSE 'optical' END AS modality
+FROM bands GROUP BY scene_id, row, col"""
+SQL["scene_pairs"] = """
+SELECT CAST(floor(scene_id / 2) AS BIGINT) AS pair_id, min(scene_id) AS scene_a, max(scene_id) AS scene_b,
+  CASE WHEN floor(scene_id / 2) % 4 = 3 THEN 'sar' ELSE 'optical' END AS modality
+FROM bands GROUP BY floor(scene_id / 2) HAVING min(scene_id) < max(scene_id)"""
+SQL["pair_regions"] = """
+SELECT pair_id, 1 AS region_no, 10 AS x, 12 AS y, 30 AS w, 25 AS h FROM scene_pairs UNION ALL
+SELECT pair_id, 2, 0, 0, 12, 9, FROM scene_pairs UNION ALL SELECT pair_id, 3, 16, 16, 32, 32 FROM scene_pairs"""
+SQL["pair_regions"] = SQL["pair_regions"].replace("9, FROM", "9 FROM")
+# radar values: even scenes linear power, odd scenes decibels; the left border is empty
+SQL["radar_bands"] = """
+SELECT scene_id, band, row, col, CASE WHEN scene_id % 2 = 0 THEN value / 50 + 0.02 ELSE (value - 128) / 10 END AS value,
+  (col >= 2) AS valid, 64 AS height, 64 AS width FROM bands"""
+SQL["band_meta"] = " UNION ALL ".join(
+    f"""SELECT p_partkey AS scene_id, {b} AS band,
+  CASE WHEN p_partkey % 5 = 0 THEN CASE ({b} + p_partkey) % 4 WHEN 0 THEN 'red' WHEN 1 THEN 'green' WHEN 2 THEN 'blue' ELSE 'gray' END ELSE 'undefined' END AS colorinterp,
+  CASE WHEN p_partkey % 5 IN (1, 2) THEN CASE ({b} * 3 + p_partkey) % 5 WHEN 0 THEN ' B04' WHEN 1 THEN 'green' WHEN 2 THEN 'Blue' WHEN 3 THEN 'b08' ELSE 'red' END END AS description
+FROM part WHERE {b} <= 1 + p_partkey % 7"""
+    for b in range(1, 5)
+)
+SQL["transforms"] = """
+SELECT o_orderkey AS pair_id, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE 1 + (o_orderkey % 9 - 4) * 0.05 END AS m00, (o_orderkey % 7 - 3) * 0.08 AS m10,
+  CAST(o_custkey % 200 - 100 AS DOUBLE) AS m02, CAST(o_custkey % 90 - 45 AS DOUBLE) AS m12, CAST(o_orderkey % 40 AS INT) AS inliers, 300 AS height, 300 AS width FROM orders"""
+SQL["matches"] = "SELECT l_suppkey AS pair_id, l_orderkey * 1000000 + l_linenumber * 10000 + l_partkey AS match_id, l_quantity + floor(l_extendedprice) / 100000 AS distance FROM lineitem"
+DEPENDS |= {
+    "bands": ("vectors",), "pixels": ("bands",), "scene_pairs": ("bands",), "pair_regions": ("scene_pairs",), "radar_bands": ("bands",),
+}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scenequarry.plans import evaluation, imagery, workspace
+from scenequarry.plans import evaluation, imagery, pixels, workspace
 
-MODULES = [evaluation, workspace, imagery]
+MODULES = [evaluation, workspace, imagery, pixels]
 
 
 def queries() -> dict:
