@@ -132,3 +132,14 @@ def exact_percentiles(
             for n in percents
         ],
     )
+
+
+def bucketed_previous(df: DataFrame, keys: Sequence[str], bucket: str, order: str, tie: str, out: str) -> DataFrame:
+    """The ``order`` value of the row before each row of its key; buckets follow ``order``."""
+    keys = list(keys)
+    tops = df.groupBy(*keys, bucket).agg(F.max(order).alias("_top"))
+    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select(*keys, bucket, F.max("_top").over(earlier).alias("_carried"))
+    within = Window.partitionBy(*keys, bucket).orderBy(order, tie)
+    ranked = df.withColumn("_before", F.lag(order).over(within)).join(carried, [*keys, bucket])
+    return ranked.withColumn(out, F.coalesce("_before", "_carried")).drop("_before", "_carried")

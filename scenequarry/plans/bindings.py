@@ -261,7 +261,8 @@ DEPENDS |= {"scan_cells": ("vectors",), "token_scores": ("vectors",), "step_scor
 # ---- pixels: 64x64 scenes of three bands, one vector per image row; odd scenes are the later date ----
 SQL["bands"] = """
 SELECT CAST(floor(vec_id / 192) AS BIGINT) AS scene_id, CAST(floor((vec_id % 192) / 64) AS INT) + 1 AS band, CAST(vec_id % 64 AS INT) AS row, CAST(i AS INT) AS col,
-  greatest(0.0, least(255.0, round(128 + 400 * x) - CASE WHEN floor(vec_id / 192) % 2 = 1 AND vec_id % 64 BETWEEN 16 AND 47 AND i BETWEEN 16 AND 47 THEN 90 ELSE 0 END)) AS value
+  greatest(0.0, least(255.0, round(128 + 400 * x) - CASE WHEN floor(vec_id / 192) % 2 = 1 AND vec_id % 64 BETWEEN 16 AND 47 AND i BETWEEN 16 AND 47 THEN 90 ELSE 0 END
+  + CASE WHEN floor(vec_id / 192) % 2 = 0 AND vec_id % 64 BETWEEN 48 AND 60 AND i BETWEEN 48 AND 60 THEN 140 ELSE 0 END)) AS value
 FROM vectors WHERE floor(vec_id / 192) < (SELECT floor(count(*) / 192) FROM embeddings)"""
 SQL["pixels"] = """
 SELECT scene_id, row, col, max(CASE WHEN band = 1 THEN value END) AS r, max(CASE WHEN band = 2 THEN value END) AS g,
@@ -294,3 +295,8 @@ SQL["matches"] = "SELECT l_suppkey AS pair_id, l_orderkey * 1000000 + l_linenumb
 DEPENDS |= {
     "bands": ("vectors",), "pixels": ("bands",), "scene_pairs": ("bands",), "pair_regions": ("scene_pairs",), "radar_bands": ("bands",),
 }
+
+# ---- logins: minutes of the event log stand for seconds, so that attempts fall close together ----
+SQL["attempts"] = """
+SELECT CAST(user_id % 10 AS STRING) AS account, CAST({epoch_ts} AS DOUBLE) / 60 AS t, event_type = 'signup' AS ok, event_id AS seq
+FROM events WHERE event_type IN ('error', 'signup')"""

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from scenequarry.plans import evaluation, imagery, pixels, workspace
+from scenequarry.plans import evaluation, imagery, pixels, streams, workspace
 
-MODULES = [evaluation, workspace, imagery, pixels]
+MODULES = [evaluation, workspace, imagery, pixels, streams]
 
 
 def queries() -> dict:
