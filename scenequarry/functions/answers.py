@@ -30,6 +30,11 @@ PAIR_LEAD = (
 WORD = r"\p{L}\p{N}_"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Blanks of every kind removed from both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scenequarry.functions.answers import let
+
 # --- Fixed values: tag names in order of trust, product naming conventions and the date shape. ---
 ACQUISITION_TAGS = (
     "ACQUISITIONDATETIME", "ACQUISITION_DATETIME", "ACQUISITIONDATE", "ACQUISITION_DATE",
@@ -31,20 +33,25 @@ DAY = r"^\d{4}-\d{2}-\d{2}$"
 
 def parse_date(text: Column, reference_year: int) -> Column:
     """struct(when, has_time) from ISO, EXIF or compact text; null unless it is a real date from 1972 to next year."""
-    part = lambda i: F.regexp_extract(text, DATE_SHAPE, i)
-    number = lambda i: F.nullif(part(i), F.lit("")).cast("int")
-    has_time = part(4) != ""
-    hour, minute, second = (F.coalesce(number(i), F.lit(0)) for i in (4, 5, 6))
-    year = number(1)
-    sound = (hour < 24) & (minute < 60) & (second < 60) & year.between(FIRST_YEAR, reference_year + 1)
-    when = F.try_make_timestamp(year, number(2), number(3), hour, minute, second)
-    return F.when(sound & when.isNotNull(), F.struct(when.alias("when"), has_time.alias("has_time")))
+    found = F.regexp_extract(text, DATE_SHAPE, 0)
+    groups = F.split(F.regexp_replace(found, DATE_SHAPE, "$1|$2|$3|$4|$5|$6"), r"\|")
+
+    def build(parts: Column) -> Column:
+        number = lambda i: F.nullif(F.get(parts, F.lit(i)), F.lit("")).cast("int")
+        year, month, day = (number(i) for i in (0, 1, 2))
+        hour, minute, second = (F.coalesce(number(i), F.lit(0)) for i in (3, 4, 5))
+        sound = (hour < 24) & (minute < 60) & (second < 60) & year.between(FIRST_YEAR, reference_year + 1)
+        when = F.try_make_timestamp(year, month, day, hour, minute, second)
+        has_time = F.get(parts, F.lit(3)) != ""
+        return F.when(sound & when.isNotNull(), F.struct(when.alias("when"), has_time.alias("has_time")))
+
+    return F.when(found != "", let(groups, build))
 
 
 def _first_dated(candidates: Column, reference_year: int) -> Column:
     """The first of an array of (source, trusted, raw) whose raw text is a real date."""
     dated = F.transform(
-        candidates,
+        F.filter(candidates, lambda c: c["raw"] != ""),
         lambda c: F.struct(parse_date(c["raw"], reference_year).alias("p"), c["source"].alias("source"), c["trusted"].alias("trusted")),
     )
     found = F.transform(

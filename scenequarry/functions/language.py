@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from scenequarry.functions.answers import squeeze, strip
+from scenequarry.functions.answers import let, squeeze, strip
 
 # --- Fixed values: word lists and patterns the routing and cleaning rules depend on. ---
 YES_NO_OPENERS = (
@@ -105,33 +105,40 @@ def strip_emphasis(text: Column) -> Column:
     return F.replace(text, F.lit("*"), F.lit(""))
 
 
-def clean_caption(text: Column) -> Column:
-    """A caption without its stock opener, list numbering and sentences that only report an absence; never emptied."""
-    original = squeeze(F.coalesce(text, F.lit("")))
-    body = F.regexp_replace(original, _unicode(CAPTION_OPENER, "iU"), "")
+def _without_numbering(body: Column) -> Column:
+    """List labels and numbers removed from prose; a bare numbered list becomes one sentence."""
     unlabelled = F.regexp_replace(F.regexp_replace(body, _unicode(ITEM_LABEL), ""), _unicode(ITEM_NUMBER), "")
     parts = F.transform(
         F.split(body, _unicode(ITEM_NUMBER)), lambda p: F.regexp_replace(p, r"^[ ,;.]+|[ ,;.]+$", "")
     )
-    parts = F.filter(parts, lambda p: p != "")
-    listed = F.when(F.size(parts) > 0, F.concat(F.lit("Noted: "), F.array_join(parts, ", "), F.lit("."))).otherwise("")
-    numbered = body.rlike(_unicode(ITEM_NUMBER))
-    plain = F.when(numbered & body.contains(":"), unlabelled).when(numbered, listed).otherwise(body)
-    kept = F.filter(
-        F.split(plain, _unicode(r"(?<=[.!?])\s+")), lambda s: (s != "") & ~s.rlike(_unicode(ABSENCE, "iU"))
+    listed = let(
+        F.filter(parts, lambda p: p != ""),
+        lambda kept: F.when(F.size(kept) > 0, F.concat(F.lit("Noted: "), F.array_join(kept, ", "), F.lit("."))).otherwise(""),
     )
-    cleaned = strip(F.array_join(kept, " "))
-    return F.when(cleaned != "", cleaned).otherwise(original)
+    return F.when(~body.rlike(_unicode(ITEM_NUMBER)), body).when(body.contains(":"), unlabelled).otherwise(listed)
+
+
+def clean_caption(text: Column) -> Column:
+    """A caption without its stock opener, list numbering and sentences that only report an absence; never emptied."""
+
+    def clean(original: Column) -> Column:
+        body = F.regexp_replace(original, _unicode(CAPTION_OPENER, "iU"), "")
+        sentences = F.split(let(body, _without_numbering), _unicode(r"(?<=[.!?])\s+"))
+        # every absence phrase holds "no", so most sentences skip the pattern
+        kept = F.filter(sentences, lambda s: (s != "") & ~(F.lower(s).contains("no") & s.rlike(_unicode(ABSENCE, "iU"))))
+        return let(strip(F.array_join(kept, " ")), lambda cleaned: F.when(cleaned != "", cleaned).otherwise(original))
+
+    return let(squeeze(F.coalesce(text, F.lit(""))), clean)
 
 
 def clip_sentence(text: Column, limit: int = CAPTION_CHARS) -> Column:
     """Shortened at the last sentence end that fits (a list number is not one), else at a word with an ellipsis."""
-    flat = squeeze(F.coalesce(text, F.lit("")))
-    head = F.substring(flat, 1, limit)
-    sentence = F.regexp_extract(head, rf"(?s)^(.*(?<!(?:^|\s)\d{{1,{limit}}}\s?)[.!?])(?=\s|$)", 1)
-    word = F.regexp_replace(F.regexp_replace(head, r" [^ ]*$", ""), r"[,;:]+$", "")
-    return (
-        F.when(F.length(flat) <= limit, flat)
-        .when((sentence != "") & (F.length(sentence) >= limit // 3), sentence)
-        .otherwise(F.concat(word, F.lit(ELLIPSIS)))
-    )
+
+    def clip(flat: Column) -> Column:
+        head = F.substring(flat, 1, limit)
+        sentence = F.regexp_extract(head, rf"(?s)^(.*(?<!(?:^|\s)\d{{1,{limit}}}\s?)[.!?])(?=\s|$)", 1)
+        word = F.regexp_replace(F.regexp_replace(head, r" [^ ]*$", ""), r"[,;:]+$", "")
+        fits = lambda s: F.when((s != "") & (F.length(s) >= limit // 3), s).otherwise(F.concat(word, F.lit(ELLIPSIS)))
+        return F.when(F.length(flat) <= limit, flat).otherwise(let(sentence, fits))
+
+    return let(squeeze(F.coalesce(text, F.lit(""))), clip)

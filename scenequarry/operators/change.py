@@ -109,13 +109,13 @@ def cloud_mask(signals: DataFrame, shapes: DataFrame) -> DataFrame:
 def change_mask(signals: DataFrame, clouds: DataFrame, shapes: DataFrame) -> DataFrame:
     """Strong blurred differences outside clouds and unsafe borders."""
     strong = masks.to_runs(signals, PAIR, F.col("safe") & (F.col("diff") > CHANGE_GRAY))
-    return masks.subtract(strong, clouds, shapes, PAIR)
+    return cut_lineage(masks.subtract(strong, clouds, shapes, PAIR))
 
 
 def clean_mask(runs: DataFrame, shapes: DataFrame) -> DataFrame:
     """Noise removed by opening, holes and gaps bridged by closing, both twice."""
     scale = masks.scene_scale()
-    quiet = masks.opened(runs, shapes, PAIR, masks.odd_kernel(NOISE, scale), times=2)
+    quiet = cut_lineage(masks.opened(runs, shapes, PAIR, masks.odd_kernel(NOISE, scale), times=2))
     return masks.closed(quiet, shapes, PAIR, masks.odd_kernel(CLOSE, scale), times=2)
 
 
