@@ -80,15 +80,16 @@ def gaussian_blur(df: DataFrame, keys: Sequence[str], values: Sequence[str], siz
     radius = size // 2
     for axis in ("col", "row"):
         padded = mirror_pad(df, axis, radius, REFLECT)
-        line = _line(keys, axis)
+        across = "row" if axis == "col" else "col"
+        line = f"OVER (PARTITION BY {', '.join([*keys, across])} ORDER BY {axis})"
 
         def blurred(v: str) -> Column:
-            total = F.col(v) * weights[radius]
-            for i in range(1, radius + 1):
-                total = total + (F.lag(v, i).over(line) + F.lead(v, i).over(line)) * weights[radius + i]
-            return total
+            taps = [f"{v} * {weights[radius]!r}D"] + [
+                f"(lag({v}, {i}) {line} + lead({v}, {i}) {line}) * {weights[radius + i]!r}D" for i in range(1, radius + 1)
+            ]
+            return F.expr(" + ".join(taps)).alias(v)
 
-        df = unpad(padded.select(*_keep(padded, values), *[blurred(v).alias(v) for v in values]), axis)
+        df = unpad(padded.select(*_keep(padded, values), *[blurred(v) for v in values]), axis)
     return df
 
 
