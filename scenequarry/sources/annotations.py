@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scenequarry.operators.items import assemble_pair_items, assemble_single_items, first_answer_triplets
 
@@ -27,8 +26,8 @@ LIST_SCHEMAS = {"questions": QUESTION, "answers": ANSWER, "images": IMAGE}
 
 def read_list(spark: SparkSession, path: str, key: str) -> DataFrame:
     """Rows of the one list an annotation file holds under ``key``; another shape is an error naming the keys found."""
-    schema = T.StructType().add(key, f"array<struct<{_ddl(LIST_SCHEMAS[key])}>>")
-    whole = spark.read.schema(schema).json(path, multiLine=True)
+    entry = ", ".join(": ".join(field.split(" ", 1)) for field in LIST_SCHEMAS[key].split(", "))
+    whole = spark.read.schema(f"{key} array<struct<{entry}>>").json(path, multiLine=True)
     if whole.where(F.col(key).isNotNull()).isEmpty():
         text = spark.read.text(path, wholetext=True)
         found = text.select(F.explode_outer(F.json_object_keys("value")).alias("k")).where("k is not null")
@@ -37,10 +36,6 @@ def read_list(spark: SparkSession, path: str, key: str) -> DataFrame:
     return whole.select(F.posexplode(key).alias("pos", "entry")).select("pos", "entry.*")
 
 
-def _ddl(fields: str) -> str:
-    return ", ".join(f"{n}: {t}" for n, t in (f.strip().split(" ", 1) for f in fields.split(",")))
-
-
 def read_three_files(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return tuple(read_list(spark, f"{base}_{key}.json", key) for key in ("questions", "answers", "images"))
 
