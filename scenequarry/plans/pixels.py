@@ -510,11 +510,11 @@ def mask_closed(spark, d):
     return masks.to_pixels(masks.closed(noisy(spark, d, 480), shapes(spark, d), SCENE, F.lit(5), times=2), SCENE)
 
 
-def groups_sql(source: str, key: str, near: str) -> str:
+def groups_sql(source: str, key: str, near: str, tag: str = "") -> str:
     """Groups found from their possible first pixels only: those without an earlier neighbour."""
-    return f"""seed AS (SELECT {key}, row, col FROM {source} s WHERE NOT EXISTS (SELECT 1 FROM {source} h WHERE h.{key} = s.{key} AND {near.format(a='s', b='h')} AND h.row * 64 + h.col < s.row * 64 + s.col)),
-reach({key}, r, c, row, col) AS (SELECT {key}, row, col, row, col FROM seed UNION SELECT a.{key}, a.r, a.c, h.row, h.col FROM reach a JOIN {source} h ON h.{key} = a.{key} AND {near.format(a='a', b='h')}),
-lab AS (SELECT {key}, row, col, min(r * 64 + c) AS label FROM reach GROUP BY 1, 2, 3)"""
+    return f"""seed{tag} AS (SELECT {key}, row, col FROM {source} s WHERE NOT EXISTS (SELECT 1 FROM {source} h WHERE h.{key} = s.{key} AND {near.format(a='s', b='h')} AND h.row * 64 + h.col < s.row * 64 + s.col)),
+reach{tag}({key}, r, c, row, col) AS (SELECT {key}, row, col, row, col FROM seed{tag} UNION SELECT a.{key}, a.r, a.c, h.row, h.col FROM reach{tag} a JOIN {source} h ON h.{key} = a.{key} AND {near.format(a='a', b='h')}),
+lab{tag} AS MATERIALIZED (SELECT {key}, row, col, min(r * 64 + c) AS label FROM reach{tag} GROUP BY 1, 2, 3)"""
 
 
 NEAR8 = "abs({b}.row - {a}.row) <= 1 AND abs({b}.col - {a}.col) <= 1"
@@ -639,11 +639,30 @@ def subtle_thresholds(spark, d):
     return change.subtle_thresholds(change.colour_deltas(signals(spark, d).where("modality <> 'sar'"))).select("pair_id", *r4("strict"))
 
 
-@query("change_items")
+SUBTLE = f"""{MAJOR}, {DELTAS[len(SIGNALS) + 2:]},
+usable AS MATERIALIZED (SELECT d.pair_id, d.row, d.col, delta, strict FROM de d JOIN st ON st.pair_id = d.pair_id ANTI JOIN clouds c ON c.pair_id = d.pair_id AND c.row = d.row AND c.col = d.col WHERE d.safe),
+sds AS MATERIALIZED (SELECT pair_id, row, col FROM usable WHERE delta > strict), lse AS MATERIALIZED (SELECT pair_id, row, col FROM usable WHERE delta > strict * 0.7),
+{groups_sql('lse', 'pair_id', NEAR8, 'l')},
+okl AS (SELECT l.pair_id, l.label FROM labl l LEFT JOIN sds s ON s.pair_id = l.pair_id AND s.row = l.row AND s.col = l.col GROUP BY 1, 2 HAVING count(s.row) > 0 AND count(*) <= 3 * count(s.row)),
+u0 AS MATERIALIZED (SELECT l.pair_id, l.row, l.col FROM labl l JOIN okl ON okl.pair_id = l.pair_id AND okl.label = l.label UNION SELECT pair_id, row, col FROM sds),
+{morph([*open_chain('u0', 'u1', 'cross3', 2, 'uo'), *close_chain('u1', 'uc', 'disc5', 2, 'ux')], 'pair_id', 'pgrid')}, {groups_sql('uc', 'pair_id', NEAR8, 's')},
+sreg AS (SELECT pair_id, label, min(col) AS x, min(row) AS y, max(col) - min(col) + 1 AS w, max(row) - min(row) + 1 AS h, count(*) AS area FROM labs GROUP BY 1, 2),
+subt AS (SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY area DESC, label) AS position FROM sreg s WHERE area > 15000 * (64 / 512) ** 2 * 0.4 AND w * h / 4096 < 0.75
+  AND NOT EXISTS (SELECT 1 FROM major m WHERE m.pair_id = s.pair_id AND s.x + s.w / 2 BETWEEN m.x AND m.x + m.w AND s.y + s.h / 2 BETWEEN m.y AND m.y + m.h)),
+both_kinds AS (SELECT 0 AS k, 'major' AS kind, pair_id, position, x, y, w, h, area FROM major UNION ALL SELECT 1, 'possible', pair_id, position, x, y, w, h, area FROM subt WHERE position <= 4)"""
+
+
+@query(
+    "change_items",
+    oracle(
+        CHANGE,
+        f"WITH RECURSIVE {SUBTLE} SELECT pair_id, row_number() OVER (PARTITION BY pair_id ORDER BY k, position) AS region_no, kind, x, y, w, h, round(area / 4096, 6) AS frac FROM both_kinds",
+    ),
+)
 def change_items(spark, d):
     """The whole pipeline: major and subtle regions of every pair in one list."""
     _, items = change.detect(joined(spark, d), change.blur_size(SIDE, SIDE))
-    return items.select("pair_id", "region_no", "kind", "place", "x", "y", "w", "h", F.round("frac", 6).alias("frac"))
+    return items.select("pair_id", "region_no", "kind", "x", "y", "w", "h", F.round("frac", 6).alias("frac"))
 
 
 @query(

@@ -120,47 +120,54 @@ def scene(spark, img, scene_id, valid=None):
     return pixel_table(spark, dict(zip("rgb", np.moveaxis(img, 2, 0))), scene_id, valid)
 
 
-def run(spark, before, after, modality="optical", valid=None):
-    pixels = scene(spark, before, 1, valid).unionByName(scene(spark, after, 2, valid))
-    pairs = spark.createDataFrame([(1, 1, 2, modality)], "pair_id bigint, scene_a bigint, scene_b bigint, modality string")
-    side = before.shape[0]
-    _, items = change.detect(change.join_dates(pairs, pixels), change.blur_size(side, side))
-    return items.orderBy("region_no").collect()
-
-
-def test_a_dark_block_is_one_major_region(spark):
-    a = block(128)
-    b = a.copy()
-    b[40:88, 30:78] = 0
-    items = run(spark, a, b)
-    assert [i["kind"] for i in items] == ["major"]
-    assert abs(items[0]["x"] - 30) <= 12 and abs(items[0]["w"] - 48) <= 20 and items[0]["place"] == "centre"
-
-
-def test_a_bright_block_is_cloud_in_optical_and_change_in_radar(spark):
-    a = block(96)
-    b = a.copy()
-    b[20:70, 20:70] = 255
-    assert run(spark, a, b) == []
-    assert [i["kind"] for i in run(spark, a, b, "sar")] == ["major"]
-
-
-def test_a_mild_colour_change_is_a_possible_region(spark):
-    a = block(96, spread=6)
-    b = a + 3.0                                       # an overall shift must not matter
-    b[30:70, 30:70] += np.array([22.0, -16.0, 0.0])
-    items = run(spark, a, b)
-    assert [i["kind"] for i in items] == ["possible"] and items[0]["place"] == "centre"
-
-
-def test_an_empty_border_is_no_change(spark):
-    a = block(96, spread=6)
-    b = a.copy()
-    b[:, :30] = 0
-    valid = np.ones((96, 96), bool)
-    valid[:, :30] = False
-    assert run(spark, a, b, valid=valid) == []
-    assert run(spark, a, b) != []
+@pytest.fixture(scope="module")
+def detected(spark):
+    """One run of the pipeline over all pairs: pair id -> its items."""
+    side = 96
+    textured, smooth = block(side), block(side, spread=6)
+    dark, bright, mild, cut = textured.copy(), textured.copy(), smooth + 3.0, smooth.copy()
+    dark[30:66, 24:60] = 0
+    bright[20:70, 20:70] = 255
+    mild[30:70, 30:70] += np.array([22.0, -16.0, 0.0])      # the overall shift of 3 must not matter
+    cut[:, :30] = 0
+    border = np.ones((side, side), bool)
+    border[:, :30] = False
+    cases = {
+        "dark": (textured, dark, "optical", None),
+        "bright": (textured, bright, "optical", None),
+        "bright radar": (textured, bright, "sar", None),
+        "mild": (smooth, mild, "optical", None),
+        "border": (smooth, cut, "optical", border),
+        "border unmasked": (smooth, cut, "optical", None),
+    }
+    pixels, pairs = None, []
+    for i, (before, after, modality, valid) in enumerate(cases.values()):
+        for j, img in enumerate((before, after)):
+            one = scene(spark, img, 2 * i + j, valid)
+            pixels = one if pixels is None else pixels.unionByName(one)
+        pairs.append((i, 2 * i, 2 * i + 1, modality))
+    pair_table = spark.createDataFrame(pairs, "pair_id bigint, scene_a bigint, scene_b bigint, modality string")
+    _, items = change.detect(change.join_dates(pair_table, pixels), change.blur_size(side, side))
+    rows = items.orderBy("pair_id", "region_no").collect()
+    return {name: [r for r in rows if r["pair_id"] == i] for i, name in enumerate(cases)}
+
+
+def test_a_dark_block_is_one_major_region(detected):
+    (item,) = detected["dark"]
+    assert item["kind"] == "major" and item["place"] == "centre"
+    assert abs(item["x"] - 24) <= 12 and abs(item["w"] - 36) <= 20
+
+
+def test_a_bright_block_is_cloud_in_optical_and_change_in_radar(detected):
+    assert detected["bright"] == [] and [i["kind"] for i in detected["bright radar"]] == ["major"]
+
+
+def test_a_mild_colour_change_is_a_possible_region(detected):
+    assert [(i["kind"], i["place"]) for i in detected["mild"]] == [("possible", "centre")]
+
+
+def test_an_empty_border_is_no_change(detected):
+    assert detected["border"] == [] and detected["border unmasked"] != []
 
 
 def test_answer_and_details_round_trip(spark):
