@@ -198,6 +198,13 @@ def detect(joined: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     return signals, region_items(major, subtle_regions(signals, clouds, shapes, major))
 
 
+def merge_warnings(*stages: Column) -> Column:
+    """The warnings of several stages in order, without blanks."""
+    empty = F.array().cast("array<string>")
+    merged = F.concat(*[F.coalesce(stage, empty) for stage in stages])
+    return F.filter(merged, lambda w: F.coalesce(w, F.lit("")) != "")
+
+
 def note_crops(items: DataFrame) -> DataFrame:
     """The padded crop boxes of the first regions of each pair, which get before and after captions."""
     pad = lambda side: F.floor(F.col(side) * F.lit(REGION_PAD)).cast("int")

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from scenequarry.session import cut_lineage
 
 
+ROUNDS_PER_WRITE = 2
+
+
 def _large_star(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour (or the node itself)."""
     both = pairs.unionByName(pairs.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
@@ -35,15 +38,17 @@ def _signature(pairs: DataFrame) -> tuple:
 def connected_components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, node, root): the smallest node id of each component, per key.
 
-    nodes(keys, node), edges(keys, u, v) with numeric ids unique within a key. Each round is written to the
-    checkpoint folder, so lost executors cost one round at most; rounds grow with the logarithm of the graph.
+    nodes(keys, node), edges(keys, u, v) with numeric ids unique within a key. Every second round is written
+    to the checkpoint folder, so lost executors cost two rounds at most; rounds grow with the logarithm of the graph.
     """
     keys = list(keys)
     oriented = edges.where(F.col("u") != F.col("v")).select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     pairs = cut_lineage(oriented.distinct())
     before = _signature(pairs)
     while before[0]:
-        pairs = cut_lineage(_small_star(_large_star(pairs, keys), keys))
+        for _ in range(ROUNDS_PER_WRITE):
+            pairs = _small_star(_large_star(pairs, keys), keys)
+        pairs = cut_lineage(pairs)
         after = _signature(pairs)
         if after == before:
             break

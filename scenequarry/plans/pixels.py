@@ -849,6 +849,20 @@ def answer_details(spark, d):
     return details.groupBy("section").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("pair_id").alias("pairs"))
 
 
+@query(
+    "merged_warnings",
+    oracle(
+        "",
+        "SELECT o_orderkey AS k, concat_ws('|', CASE WHEN o_orderkey % 3 = 0 THEN 'order' END, CASE WHEN o_orderkey % 5 = 0 THEN 'bands' END, CASE WHEN o_orderkey % 7 = 0 THEN 'detail' END) AS warnings FROM orders",
+    ),
+)
+def merged_warnings(spark, d):
+    k = F.col("o_orderkey")
+    stage = lambda m, word: F.array(F.when(k % m == 0, word).otherwise(""))
+    merged = change.merge_warnings(stage(3, "order"), F.when(k % 5 == 0, F.array(F.lit("bands"), F.lit(None))), stage(7, "detail"))
+    return table(spark, d, "orders").select(k.alias("k"), F.array_join(merged, "|").alias("warnings"))
+
+
 @query(
     "note_crops",
     oracle(

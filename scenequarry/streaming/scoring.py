@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from scenequarry.operators.items import missing_images
 from scenequarry.operators.predictor import run_predictor
 from scenequarry.operators.scoring import score_replies, unanswered, with_prompts
 from scenequarry.sources.predictions import PREDICTION_SCHEMA, guard_run
@@ -15,11 +16,16 @@ from scenequarry.sources.predictions import PREDICTION_SCHEMA, guard_run
 COLUMNS = [field.split()[0] for field in PREDICTION_SCHEMA.split(", ")]
 
 
-def score_new_items(items: DataFrame, spaces: DataFrame, predictor: Callable, log: DataFrame | None) -> DataFrame:
-    """Predictions for the items not in ``log`` yet, in the log's columns."""
+def score_new_items(
+    items: DataFrame, spaces: DataFrame, predictor: Callable, log: DataFrame | None, inventory: DataFrame | None = None
+) -> DataFrame:
+    """Predictions for the items not in ``log`` yet, in the log's columns; with an image ``inventory(path)``, items
+    whose images are missing become error records unasked."""
     todo = items.dropDuplicates(["item_id"])
     todo = unanswered(todo, log) if log is not None else todo
     asked = with_prompts(todo.withColumn("seq", F.col("pos")), spaces)
+    if inventory is not None:
+        asked = asked.join(missing_images(todo, inventory), "item_id", "left")
     return score_replies(run_predictor(asked, predictor), spaces).select(*COLUMNS)
 
 
@@ -33,7 +39,8 @@ def read_log(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def start_scoring(
-    items: DataFrame, spaces: DataFrame, predictor: Callable, run_folder: str, config: dict, available_now: bool = True
+    items: DataFrame, spaces: DataFrame, predictor: Callable, run_folder: str, config: dict,
+    inventory: DataFrame | None = None, available_now: bool = True,
 ) -> StreamingQuery:
     """Score a stream of items into ``run_folder/predictions``; a folder of another run is refused."""
     spark = items.sparkSession
@@ -42,7 +49,7 @@ def start_scoring(
 
     def append(batch: DataFrame, batch_id: int) -> None:
         log = read_log(batch.sparkSession, log_path)
-        score_new_items(batch, spaces, predictor, log).write.mode("append").json(log_path)
+        score_new_items(batch, spaces, predictor, log, inventory).write.mode("append").json(log_path)
 
     writer = items.writeStream.foreachBatch(append).option("checkpointLocation", f"{run_folder}/checkpoint")
     return (writer.trigger(availableNow=True) if available_now else writer).start()

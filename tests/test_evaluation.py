@@ -206,6 +206,23 @@ def test_stream_scoring_resumes(spark, tmp_path):
     assert run().count() == 10
 
 
+def test_items_without_images_are_error_records(spark):
+    items = make_items(spark, {"presence": 8})
+    spaces = vocabulary.build_answer_spaces(items)
+    inventory = spark.createDataFrame([(f"img{i}.tif",) for i in range(1, 7)], "path string")
+    got = stream_scoring.score_new_items(items, spaces, lambda item, prompt: ("yes", None), None, inventory).collect()
+    lost = {r["item_id"]: r["error"] for r in got if r["error"]}
+    assert set(lost) == {"0", "7"} and lost["0"].endswith("img0.tif") and not any(r["correct"] for r in got if r["error"])
+
+
+def test_summary_tables_are_written(spark, tmp_path):
+    records = spark.createDataFrame([("a", "yes", True)], "qtype string, answer string, correct boolean")
+    report = scoring.report_table(scoring.accuracy_summary(records), scoring.majority_floor(records))
+    predictions.write_summary({"report": report, "lines": predictions.report_lines(report)}, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/report.parquet").count() == 2
+    assert "| a | 1 | 100.0% |" in spark.read.json(f"{tmp_path}/lines.json").where("qtype = 'a'").first()["line"]
+
+
 def test_predictor_errors_become_records(spark):
     def fails(item, prompt):
         raise KeyError("gone")
