@@ -72,13 +72,19 @@ def date_from_filename(name: Column, reference_year: int) -> Column:
     """The first product naming convention that matches the whole pattern and holds a real date."""
     base = F.regexp_replace(name, r"^.*/", "")
     stem = F.regexp_replace(base, r"^(.*[^.].*)\.[^.]*$", "$1")
-    candidates = [
-        _candidate(
-            f"filename ({label})", True, F.concat_ws("T", F.regexp_extract(stem, p, 1), F.regexp_extract(stem, p, 2))
+
+    def conventions(name_stem: Column) -> Column:
+        return F.array(
+            *[
+                _candidate(
+                    f"filename ({label})", True,
+                    F.concat_ws("T", F.regexp_extract(name_stem, p, 1), F.regexp_extract(name_stem, p, 2)),
+                )
+                for label, p in PRODUCT_NAMES
+            ]
         )
-        for label, p in PRODUCT_NAMES
-    ]
-    return _first_dated(F.array(*candidates), reference_year)
+
+    return _first_dated(let(stem, conventions), reference_year)
 
 
 def date_from_tags(tags: Column, reference_year: int) -> Column:
