@@ -39,6 +39,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("Set spark.checkpoint.dir to a folder every executor can reach.")
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's folder below ``spark.checkpoint.dir``."""
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared checkpoint folder and read it back.
 
@@ -46,7 +52,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     and the known size of the table lets joins with small ones broadcast.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
