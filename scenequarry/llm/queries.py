@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenequarry.llm import exact_dedup, mixing, simhash
+from scenequarry.llm import byte_bpe, exact_dedup, mixing, simhash, toxicity
 from scenequarry.llm.common import table
 
 QUERIES: dict = {}
@@ -76,3 +77,17 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_simhash")
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+BPE_FILE = "byte_bpe_multi_50k.tiktoken"
+
+
+@_query("op6_byte_bpe")
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return byte_bpe.digests(docs, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
+
+
+@_query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
