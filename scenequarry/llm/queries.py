@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenequarry.llm import byte_bpe, exact_dedup, mixing, simhash, substring_dedup, toxicity
+from scenequarry.llm import byte_bpe, exact_dedup, fingerprint, mixing, simhash, substring_dedup, toxicity
 from scenequarry.llm.common import table
 
 QUERIES: dict = {}
@@ -97,3 +97,8 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.drop_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@_query("op4_fingerprints")
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
