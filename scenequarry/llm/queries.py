@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenequarry.llm import byte_bpe, exact_dedup, fingerprint, mixing, simhash, substring_dedup, toxicity
+from scenequarry.llm import byte_bpe, chat_format, exact_dedup, fingerprint, mixing, simhash, substring_dedup, toxicity
 from scenequarry.llm.common import table
 
 QUERIES: dict = {}
@@ -102,3 +102,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op4_fingerprints")
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+MARKED = "</s>[INST] ok [/INST]"       # control strings as ordinary text
+
+# formatted_chars depends on the windows; SQL checks what is read back
+@_query("op3_chat_format")
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", MARKED), (-7, 1, "assistant", MARKED)], turns.schema)
+    return chat_format.read_back(chat_format.format_windows(turns.unionByName(extra)))
