@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenequarry.llm import byte_bpe, chat_format, exact_dedup, fingerprint, mixing, simhash, substring_dedup, toxicity
+from scenequarry.llm import byte_bpe, chat_format, exact_dedup, fingerprint, mixing, simhash, substring_dedup, toxicity, url_filter
 from scenequarry.llm.common import table
 
 QUERIES: dict = {}
@@ -112,3 +112,60 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-7, 0, "user", MARKED), (-7, 1, "assistant", MARKED)], turns.schema)
     return chat_format.read_back(chat_format.format_windows(turns.unionByName(extra)))
+
+
+def _url_sql() -> str:
+    """The template tree over windows of distinct templates."""
+    d = url_filter.DEPTH
+    o, t = [f"o{i}" for i in range(1, d + 1)], [f"t{i}" for i in range(1, d + 1)]
+    steps, source = [], "nodes"
+    for i in range(1, d + 1):
+        parent = ", ".join(["host", *t[: i - 1]])
+        steps.append(f"""
+kids{i} AS (SELECT {parent}, t{i}, sum(n) AS n FROM {source} WHERE t{i} <> '' GROUP BY ALL),
+wide{i} AS (SELECT {parent} FROM kids{i} GROUP BY ALL HAVING count(*) >= 8 AND sum(n) < 2 * count(*)),
+named{i} AS (SELECT * REPLACE (CASE WHEN t{i} <> '' AND ({parent}) IN (SELECT ({parent}) FROM wide{i}) THEN '*' ELSE t{i} END AS t{i}) FROM {source})""")
+        source = f"named{i}"
+    steps.append(f"""
+tree AS (SELECT host, {', '.join(t)}, {', '.join(f'{x} AS {x.replace("t", "k")}' for x in t)}, sum(labelled) AS labelled, sum(blocked) AS blocked FROM {source} GROUP BY ALL),
+level0 AS (SELECT *, (sum(blocked) OVER () + 4.0 * 0.5)::DOUBLE / (sum(labelled) OVER () + 4.0)::DOUBLE AS r FROM tree),
+pure0 AS (SELECT * REPLACE ((sum(blocked) OVER (PARTITION BY host) + 4.0::DOUBLE * r) / (sum(labelled) OVER (PARTITION BY host) + 4.0::DOUBLE) AS r) FROM level0)""")
+    for i in range(1, d + 1):
+        up, here = ", ".join(["host", *t[: i - 1]]), ", ".join(["host", *t[:i]])
+        steps.append(f"""
+sums{i} AS (SELECT *, (sum(labelled) OVER (PARTITION BY {here}))::DOUBLE AS n, (sum(blocked) OVER (PARTITION BY {here}))::DOUBLE AS b,
+  (sum(labelled) OVER (PARTITION BY {up}))::DOUBLE AS pn, (sum(blocked) OVER (PARTITION BY {up}))::DOUBLE AS pb FROM pure{i - 1}),
+merged{i} AS (SELECT * EXCLUDE (n, b, pn, pb) REPLACE (CASE WHEN (b * pn - n * pb) * (b * pn - n * pb) <= 4 * n * pb * (pn - pb) AND t{i} <> '' THEN '+' ELSE t{i} END AS t{i}) FROM sums{i}),
+pure{i} AS (SELECT * REPLACE ((sum(blocked) OVER (PARTITION BY {here}) + 4.0::DOUBLE * r) / (sum(labelled) OVER (PARTITION BY {here}) + 4.0::DOUBLE) AS r) FROM merged{i})""")
+    rule = "CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/' " \
+        "WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/' " \
+        "WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/' " \
+        "WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END"
+    parts = ", ".join(
+        (f"CASE WHEN len(s) > {d} THEN '**' ELSE coalesce(s[{i}], '') END" if i == d else f"coalesce(s[{i}], '')") + f" AS o{i}" for i in range(1, d + 1)
+    )
+    return rf"""
+WITH urls AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+), hosts AS (
+  SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS h, rest FROM urls
+), given AS (
+  SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, len(h) + 1), '^[^?#]*') AS path FROM hosts
+), ruled AS (
+  SELECT *, {rule} AS rule,
+         list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '{url_filter.VARIABLE}') THEN '*' ELSE x END) AS s FROM given
+), cut AS (
+  SELECT * EXCLUDE (s), {parts}, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 1 WHEN rule IS NOT NULL THEN 0 END AS label FROM ruled
+), nodes AS (
+  SELECT host, {', '.join(o)}, {', '.join(f'{x} AS {x.replace("o", "t")}' for x in o)}, count(*) AS n, count(label) AS labelled, coalesce(sum(label), 0) AS blocked FROM cut GROUP BY ALL
+),{','.join(steps)}
+SELECT c.page_id, c.host, c.path, c.rule,
+       CASE WHEN c.label = 1 THEN 'block' WHEN c.label = 0 THEN 'allow' WHEN p.r >= 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM cut c JOIN {source} q USING (host, {', '.join(o)}) JOIN pure{d} p ON q.host = p.host AND {' AND '.join(f'q.{x} = p.{x.replace("t", "k")}' for x in t)}
+"""
+
+
+@_query("op8_url_filter", _url_sql())
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).drop("purity")

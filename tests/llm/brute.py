@@ -53,3 +53,14 @@ def near_groups(docs):
         if d is not None:
             least[root(i)] = min(d, least.get(root(i), d))
     return [(d, f"{prints[i]:016x}", least.get(root(i))) for i, (d, _) in enumerate(docs)]
+
+
+def bpe(piece, ranks):
+    """Ids of one pre-token: the adjacent pair of lowest rank is joined, leftmost first, until no pair is in the vocabulary."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 1:
+        rank, at = min((ranks.get(a + b, 1 << 40), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
+        if rank == 1 << 40:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return [ranks[p] for p in parts]
