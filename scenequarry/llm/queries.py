@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenequarry.llm import byte_bpe, chat_format, exact_dedup, fingerprint, mixing, simhash, substring_dedup, toxicity, url_filter
+from scenequarry.llm import byte_bpe, chat_format, exact_dedup, fingerprint, lm_score, mixing, simhash, substring_dedup, toxicity, url_filter
 from scenequarry.llm.common import table
 
 QUERIES: dict = {}
@@ -169,3 +169,9 @@ FROM cut c JOIN {source} q USING (host, {', '.join(o)}) JOIN pure{d} p ON q.host
 @_query("op8_url_filter", _url_sql())
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).drop("purity")
+
+
+@_query("op5_lm_score")
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = lm_score.good_rows(table(spark, sf_dir, "labels"), toxicity.held_out(F.col("doc_id")))
+    return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), target)
