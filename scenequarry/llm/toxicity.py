@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from scenequarry.llm.common import byte_list, schema_of
 
-POSITIVE_ROWS, UNLABELLED_ROWS = 4000, 12000   # bound of the sample of labelled rows that the fit reads
+POSITIVE_ROWS, UNLABELLED_ROWS = 3000, 9000    # bound of the sample of labelled rows that the fit reads
 MIN_ROWS, MIN_SHARE = 4, 0.02                  # a word takes part if in so many and such a share of the positive rows,
 MIN_Z, MIN_PURITY = 4.0, 0.4                   # its share there stands out, and such a part of all its rows must be positive
 ROUNDS, BATCH, RATE, DECAY = 200, 1000, 0.05, 1e-4
@@ -53,20 +54,17 @@ def _matrix(positive: list[bytes], unlabelled: list[bytes], prior: float) -> tup
     A word is kept if MIN_SHARE of the positive rows have it, a share MIN_Z standard errors or more above that of the unlabelled,
     and if by the class prior MIN_PURITY of the unlabelled rows with it are positive.
     """
-    rows = [words_of(t) for t in (*positive, *unlabelled)]
-    counts: list[dict[bytes, int]] = [{}, {}]
-    for i, row in enumerate(rows):
-        own = counts[i >= len(positive)]
-        for w in row:
-            own[w] = own.get(w, 0) + 1
     n_p, n_u = len(positive), max(1, len(unlabelled))
+    least = max(MIN_ROWS, MIN_SHARE * n_p)
+    in_p = {w: p for w, p in Counter(w for t in positive for w in words_of(t)).items() if p >= least}
+    in_u = Counter(w for t in unlabelled for w in words_of(t) & in_p.keys())
     words = []
-    for w, p in counts[0].items():
-        rate = (counts[1].get(w, 0) + 1) / (n_u + 2)
-        if p >= max(MIN_ROWS, MIN_SHARE * n_p) and p / n_p - rate >= MIN_Z * (rate * (1 - rate) / n_p) ** 0.5 and prior * p / n_p >= MIN_PURITY * rate:
+    for w, p in in_p.items():
+        rate = (in_u[w] + 1) / (n_u + 2)
+        if p / n_p - rate >= MIN_Z * (rate * (1 - rate) / n_p) ** 0.5 and prior * p / n_p >= MIN_PURITY * rate:
             words.append(w)
     index = {w: i for i, w in enumerate(sorted(words))}
-    numbers = [np.array(sorted(index[w] for w in row if w in index), np.int32) for row in rows]
+    numbers = [np.array(sorted(index[w] for w in words_of(t) & index.keys()), np.int32) for t in (*positive, *unlabelled)]
     return index, np.r_[0, np.cumsum([len(x) for x in numbers])], np.concatenate([*numbers, np.empty(0, np.int32)])
 
 
