@@ -52,10 +52,23 @@ def mix(
     """
     made = ("size", "source_size", "target", "copies", "taken")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in made]
+    mixed = _mixed(docs, weights, share, cap, seed, doc_id, source, text, size, keep)
+    return mixed.select(*(F.col("row")[c].alias(c) for c in keep), *made)
+
+
+def emitted(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as ``mix`` takes it; the same columns, whatever their names."""
+    settings = {"weights": (3, 1, 2), "share": 1.5, "cap": 2.0, "seed": 42, "doc_id": "doc_id", "source": "source", "text": "text", "size": None}
+    mixed = _mixed(docs, **(settings | options), keep=docs.columns)
+    rows = mixed.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def _mixed(docs, weights, share, cap, seed, doc_id, source, text, size, keep) -> DataFrame:
+    """row (a struct of the columns ``keep``, so that they may have any names), size, source_size, target, copies, taken."""
     count = word_count(F.col(text)) if size is None else size
-    # every value an operator needs gets a name of its own, so that the table's columns may be called anything
     sized = docs.select(
-        *keep, count.alias("size"), F.col(source).alias("__source"), F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__tie")
+        F.struct(*keep).alias("row"), count.alias("size"), F.col(source).alias("__source"), F.col(doc_id).alias("__id"), F.xxhash64(text).alias("__tie")
     )
     placed = ordered(sized, F.asc_nulls_last("__source"), F.asc("size"), F.asc_nulls_first("__id"), F.asc("__tie"), at="__place")
     sources = placed.groupBy("__source").agg(F.sum("size").alias("source_size"), F.min("__place").alias("__first"))
@@ -73,10 +86,4 @@ def mix(
     before = (F.col("__place") - F.col("__first")) * F.col("__ratio") + F.col("__offset")
     copies = F.shiftright(before + F.col("__ratio"), SCALE_BITS) - F.shiftright(before, SCALE_BITS)
     mixed = placed.join(rates, F.col("__source").eqNullSafe(F.col("__of"))).withColumn("copies", copies)
-    return mixed.withColumn("taken", F.col("copies") * F.col("size")).select(*keep, *made)
-
-
-def emit(mixed: DataFrame) -> DataFrame:
-    """The mix itself: every row as often as it is taken, without the columns of ``mix``."""
-    rows = mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    return rows.drop("__copy", "size", "source_size", "target", "copies", "taken")
+    return mixed.withColumn("taken", F.col("copies") * F.col("size"))

@@ -34,25 +34,30 @@ def simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(s))
 
 
-def near_groups(docs):
-    """[(doc_id, fingerprint, component_id)] for [(doc_id, text)]."""
-    prints = [simhash(t) for _, t in docs]
-    parent = list(range(len(docs)))
+def near_roots(prints):
+    """For each fingerprint a position that stands for its component."""
+    parent = list(range(len(prints)))
 
     def root(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for i in range(len(docs)):
+    for i in range(len(prints)):
         for j in range(i):
             if (prints[i] ^ prints[j]).bit_count() <= 3:
                 parent[root(i)] = root(j)
-    least = {}
-    for i, (d, _) in enumerate(docs):
+    return [root(i) for i in range(len(prints))]
+
+
+def near_groups(docs):
+    """[(doc_id, fingerprint, component_id)] for [(doc_id, text)]."""
+    prints = [simhash(t) for _, t in docs]
+    roots, least = near_roots(prints), {}
+    for r, (d, _) in zip(roots, docs):
         if d is not None:
-            least[root(i)] = min(d, least.get(root(i), d))
-    return [(d, f"{prints[i]:016x}", least.get(root(i))) for i, (d, _) in enumerate(docs)]
+            least[r] = min(d, least.get(r, d))
+    return [(d, f"{f:016x}", least.get(r)) for f, r, (d, _) in zip(prints, roots, docs)]
 
 
 def bpe(piece, ranks):
