@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LIST_DEPTH = 3
+def list_depth(json: Column) -> Column:
+    """How deep the brackets of a JSON text nest; brackets inside strings can only make it larger."""
+    brackets = F.split(F.regexp_replace(json, r"[^\[\]]", ""), "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
 
+    def step(at: Column, bracket: Column) -> Column:
+        now = at["now"] + F.when(bracket == "[", 1).when(bracket == "]", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(at["most"], now).alias("most"))
 
-def telemetry_text(value: Column, depth: int = LIST_DEPTH) -> Column:
-    """n/a, yes / no, joined lists, an object's summary, else the value as text; from a VARIANT column."""
+    return F.aggregate(brackets, start, step, lambda at: at["most"])
+
+
+def telemetry_text(value: Column, depth: int) -> Column:
+    """n/a, yes / no, lists of up to ``depth`` levels joined, an object's summary, else the value as text; from a VARIANT column."""
     kind = F.schema_of_variant(value)
     summary = F.try_variant_get(value, "$.summary", "variant")
     has_summary = F.coalesce(F.schema_of_variant(summary) == "STRING", F.lit(False))
@@ -27,7 +36,8 @@ def telemetry_text(value: Column, depth: int = LIST_DEPTH) -> Column:
 
 
 def flatten_telemetry(runs: DataFrame, key: str, telemetry: str) -> DataFrame:
-    """(key, name, text): one row per telemetry field of a JSON text column."""
+    """(key, name, text): one row per telemetry field of a JSON text column; lists of any depth are joined the same way."""
+    deepest = runs.agg(F.max(list_depth(F.col(telemetry)))).first()[0] or 0
     parsed = runs.select(key, F.from_json(telemetry, "map<string,variant>").alias("fields"))
     exploded = parsed.select(key, F.explode("fields").alias("name", "value"))
-    return exploded.select(key, "name", telemetry_text(F.col("value")).alias("text"))
+    return exploded.select(key, "name", telemetry_text(F.col("value"), deepest).alias("text"))

@@ -37,7 +37,7 @@ def normalised_radar(joined: DataFrame) -> DataFrame:
     """Radar values clipped to their 2..98 percentile range over valid pixels, as whole numbers 0..255."""
     bounds = exact_percentiles(joined.where("valid"), PAIR, "sar", {"_lo": LOW, "_hi": HIGH})
     scaled = (F.col("sar") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-5) * 255
-    return joined.join(bounds, PAIR).withColumn("sar", F.floor(clamp(scaled, 0.0, 255.0)).cast("double")).drop("_lo", "_hi")
+    return joined.join(bounds, PAIR, "left").withColumn("sar", F.floor(clamp(scaled, 0.0, 255.0)).cast("double")).drop("_lo", "_hi")
 
 
 def smooth_radar(radar: DataFrame, side: int) -> DataFrame:
@@ -48,17 +48,23 @@ def smooth_radar(radar: DataFrame, side: int) -> DataFrame:
     return bilateral_filter(blurred, PAIR, "sar", BILATERAL_DIAMETER, BILATERAL_VALUE_SIGMA, max(3.0, side / 100.0))
 
 
+def unfused_pairs(joined: DataFrame) -> DataFrame:
+    """(pair_id, reason) of pairs whose radar has no valid pixel."""
+    return joined.groupBy(*PAIR).agg(F.max("valid").alias("_any")).where("NOT _any").select(*PAIR, F.lit("no valid radar pixels").alias("reason"))
+
+
 def fuse(joined: DataFrame, side: int, weight: float | None = None) -> DataFrame:
     """(pair_id, row, col, r, g, b): the fused scene.
 
     joined(pair_id, row, col, r, g, b, sar, valid, height, width): optical channels and the radar value on one grid;
-    ``valid`` is false where the radar has no data, and those pixels keep their own brightness.
+    ``valid`` is false where the radar has no data, and those pixels keep their own brightness, as do all of a pair without
+    valid pixels (``unfused_pairs`` lists these).
     """
     radar = normalised_radar(cut_lineage(joined))
     smoothed = cut_lineage(smooth_radar(radar, side))      # read by the median and by the blend
     centre = exact_percentiles(smoothed.where("valid"), PAIR, "sar", {"_centre": 0.5})
     shift = F.when(F.col("valid"), F.lit(fusion_weight(weight)) * (F.col("sar") - F.col("_centre"))).otherwise(0.0)
     value = F.floor(clamp(F.greatest("r", "g", "b") + shift, 0.0, 255.0))
-    valued = smoothed.join(centre, PAIR).withColumn("_value", value)
+    valued = smoothed.join(centre, PAIR, "left").withColumn("_value", value)
     r, g, b = with_value(F.col("r"), F.col("g"), F.col("b"), F.col("_value"))
     return valued.select(*PAIR, "row", "col", F.bround(r).cast("int").alias("r"), F.bround(g).cast("int").alias("g"), F.bround(b).cast("int").alias("b"))

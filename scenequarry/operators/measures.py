@@ -12,28 +12,29 @@ from scenequarry.operators.rasters import gradient
 
 # --- Fixed values: measure thresholds and sentences. ---
 GREEN_MARGIN, DARK_MAX, BRIGHT_MIN, EDGE_MIN = 20, 50, 200, 25
-MAX_SIDE = 512
 EDGE_RATIO_WARN, EDGE_MIN_GAP = 2.0, 5
 CHANGE_MIN_POINTS, REGION_BRIGHTNESS_MIN, REGION_COLOUR_MIN = 3, 15, 12
 UNMOVED = "averages over this area barely moved; the change is patchy or local"
 # --- End of fixed values. ---
 
 
-def scene_measures(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
+def scene_measures(pixels: DataFrame, keys: Sequence[str], max_side: int | None = None) -> DataFrame:
     """One row of whole-number measures per key from pixels(keys, row, col, r, g, b, valid, height, width, modality).
 
-    Measured on every n-th row and column so that no side exceeds about 512; a key without valid pixels has no row.
+    All pixels count, or with ``max_side`` every n-th row and column so that no side exceeds about that. A key without valid pixels
+    has null measures.
     """
     keys = list(keys)
-    step = F.greatest(F.lit(1), F.floor(F.greatest("height", "width") / MAX_SIDE)).cast("int")
-    sampled = pixels.where((F.col("row") % step == 0) & (F.col("col") % step == 0))
+    sampled = pixels
+    if max_side:
+        step = F.greatest(F.lit(1), F.floor(F.greatest("height", "width") / max_side)).cast("int")
+        sampled = pixels.where((F.col("row") % step == 0) & (F.col("col") % step == 0))
     edged = gradient(sampled.withColumn("_gray", gray(F.col("r"), F.col("g"), F.col("b"))), keys, "_gray", "_edge")
-    share = lambda flag: F.bround(100 * F.avg(F.when(flag, 1.0).otherwise(0.0))).cast("int")
-    mean = lambda c: F.bround(F.avg(c)).cast("int")
+    share = lambda flag: F.bround(100 * F.avg(F.when(F.col("valid"), F.when(flag, 1.0).otherwise(0.0)))).cast("int")
+    mean = lambda c: F.bround(F.avg(F.when(F.col("valid"), F.col(c)))).cast("int")
     green = 2 * F.col("g") - F.col("r") - F.col("b") > GREEN_MARGIN
     return (
-        edged.where("valid")
-        .groupBy(*keys)
+        edged.groupBy(*keys)
         .agg(
             F.max("width").alias("width_px"), F.max("height").alias("height_px"), F.max("modality").alias("modality"),
             share(F.col("_gray") <= DARK_MAX).alias("dark_pct"),

@@ -16,10 +16,8 @@ from scenequarry.session import cut_lineage
 BAND_COLOURS = {"red": "red", "b04": "red", "green": "green", "b03": "green", "blue": "blue", "b02": "blue"}
 BAND_WARNING = "Band order is not declared in the file; assumed the first three bands are R, G, B."
 LOW, HIGH = 0.02, 0.98
-SAMPLE_LIMIT = 2_000_000
 MIN_LINEAR = 1e-6
 NOISE_BOUNDS = (0.02, 0.5)
-NOISE_SIDE = 512
 RADAR_WINDOW, PREVIEW_WINDOW = 7, 5
 # --- End of fixed values. ---
 
@@ -121,27 +119,34 @@ def to_bands(pixels: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def shared_bounds(pixels: DataFrame, sample_limit: int = SAMPLE_LIMIT) -> DataFrame:
+def shared_bounds(pixels: DataFrame) -> DataFrame:
     """(group_id, band, lo, hi): 2nd and 98th percentile of the valid pixels of all scenes of a group together.
 
-    pixels(group_id, scene_id, row, col, r, g, b, valid). Scenes above ``sample_limit`` valid pixels contribute every
-    n-th one in reading order, as the measure defines it.
+    pixels(group_id, scene_id, row, col, r, g, b, valid). A group without valid pixels has no bounds.
     """
+    return _bounds(pixels.where("valid"))
+
+
+def sampled_bounds(pixels: DataFrame, sample_limit: int) -> DataFrame:
+    """The same bounds where scenes above ``sample_limit`` valid pixels contribute every n-th one, in reading order."""
     valid = pixels.where("valid")
     counts = valid.groupBy("scene_id").agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / sample_limit)).alias("_step"))
     stepped = valid.join(counts, "scene_id")
     placed = bucketed_row_number(stepped.where("_step > 1"), ["scene_id"], "row", ["col"], "_rn")
-    sampled = stepped.where("_step = 1").unionByName(placed.where((F.col("_rn") - 1) % F.col("_step") == 0).drop("_rn"))
-    found = exact_percentiles(to_bands(sampled, ["group_id"]), ["group_id", "band"], "value", {"lo": LOW, "hi": HIGH})
+    return _bounds(stepped.where("_step = 1").unionByName(placed.where((F.col("_rn") - 1) % F.col("_step") == 0).drop("_rn")))
+
+
+def _bounds(valid: DataFrame) -> DataFrame:
+    found = exact_percentiles(to_bands(valid, ["group_id"]), ["group_id", "band"], "value", {"lo": LOW, "hi": HIGH})
     return found.withColumn("hi", F.when(F.col("hi") <= F.col("lo"), F.col("lo") + 1).otherwise(F.col("hi")))
 
 
 def stretch(pixels: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Pixels scaled to whole numbers 0..255 with their group's bounds; invalid ones become 0."""
+    """Pixels scaled to whole numbers 0..255 with their group's bounds; invalid ones, and all of a group without bounds, become 0."""
     wide = bounds.groupBy("group_id").agg(
         *[F.max(F.when(F.col("band") == i, F.col(e))).alias(f"_{e}_{c}") for i, c in enumerate("rgb", 1) for e in ("lo", "hi")]
     )
-    joined = pixels.join(wide, "group_id")
+    joined = pixels.join(wide, "group_id", "left")
     scaled = {
         c: F.when(
             F.col("valid"),
@@ -169,11 +174,12 @@ def local_variation(df: DataFrame, keys: Sequence[str], value: str, window: int)
     return local.withColumn("ci2", variance / F.greatest(F.col("mean") * F.col("mean"), F.lit(1e-12))).drop("_sq")
 
 
-def noise_level(varied: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, cu2): lower quartile of the local variation on a grid of at most 512 steps a side, clamped."""
-    step = lambda side: F.greatest(F.lit(1), F.floor(F.col(side) / NOISE_SIDE))
-    sampled = varied.where((F.col("row") % step("height") == 0) & (F.col("col") % step("width") == 0))
-    level = exact_percentiles(sampled, keys, "ci2", {"cu2": 0.25})
+def noise_level(varied: DataFrame, keys: Sequence[str], max_side: int | None = None) -> DataFrame:
+    """(keys, cu2): lower quartile of the local variation, clamped; with ``max_side`` on a grid of at most so many steps a side."""
+    if max_side:
+        step = lambda side: F.greatest(F.lit(1), F.floor(F.col(side) / max_side))
+        varied = varied.where((F.col("row") % step("height") == 0) & (F.col("col") % step("width") == 0))
+    level = exact_percentiles(varied, keys, "ci2", {"cu2": 0.25})
     return level.withColumn("cu2", clamp(F.col("cu2"), *NOISE_BOUNDS))
 
 
@@ -203,9 +209,9 @@ def to_db(linear: Column) -> Column:
 
 
 def fill_invalid(bands: DataFrame) -> DataFrame:
-    """Invalid values replaced by the valid median of their band, so they do not bleed into neighbours."""
+    """Invalid values replaced by the valid median of their band, so they do not bleed into neighbours; null in a band without any."""
     medians = exact_percentiles(bands.where("valid"), ["scene_id", "band"], "value", {"_median": 0.5})
-    joined = bands.join(medians, ["scene_id", "band"])
+    joined = bands.join(medians, ["scene_id", "band"], "left")
     return joined.withColumn("value", F.when(F.col("valid"), F.col("value")).otherwise(F.col("_median"))).drop("_median")
 
 

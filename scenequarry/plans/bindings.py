@@ -155,8 +155,8 @@ SQL["prompts"] = """
 SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'another question' ELSE '  ' || max_by(text, turn) || ' ' END AS prompt
 FROM conversations GROUP BY conv_id"""
 SQL["openings"] = """
-SELECT conv_id, turn, role, CASE conv_id % 8 WHEN 0 THEN ' Hello!! ' WHEN 1 THEN '?!' WHEN 2 THEN 'Tell me more...'
-  WHEN 3 THEN 'water?' ELSE text END AS text FROM conversations"""
+SELECT conv_id, turn, role, text FROM conversations
+UNION ALL SELECT -1 - conv_id, turn, role, CASE conv_id % 4 WHEN 0 THEN ' Hello!! ' WHEN 1 THEN '?!' WHEN 2 THEN 'Tell me more...' ELSE 'water?' END FROM conversations"""
 SQL["runs"] = """
 SELECT CAST(event_id AS STRING) AS run_id, event_id, user_id AS workspace,
   CASE event_type WHEN 'view' THEN 'scan' WHEN 'purchase' THEN 'change' WHEN 'signup' THEN 'fusion' ELSE 'chat' END AS kind,
@@ -183,8 +183,9 @@ SELECT CASE WHEN user_id % 10 = 0 THEN 'scratch' || CAST(user_id AS STRING) ELSE
   'f' || CAST(event_id AS STRING) AS path, CAST({epoch_ts} AS DOUBLE) AS mtime
 FROM (SELECT *, md5(CAST(user_id AS STRING)) AS h FROM events) t"""
 SQL["telemetry"] = """
-SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"model":"base","k":7,"ok":true,"none":null}'
-  WHEN 1 THEN '{"list":[1,"a",false,null],"empty":[],"ok":false}' WHEN 2 THEN '{"order":{"summary":"as uploaded","b":1},"raw":{"b":1}}'
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"model":"base","k":7,"ok":true,"none":null,"props":' || props || '}'
+  WHEN 1 THEN '{"list":[1,"a",false,null],"empty":[],"ok":false,"deep":[[[[[true,null],' || props || ']]]]}'
+  WHEN 2 THEN '{"order":{"summary":"as uploaded","b":1},"raw":{"b":1},"props":' || props || '}'
   ELSE props END AS telemetry FROM events"""
 SQL["coordinates"] = """
 SELECT k, CASE WHEN k % 50 = 49 THEN '  ' WHEN k % 50 = 48 THEN 'N - E' ELSE CASE k % 12
@@ -198,21 +199,21 @@ SELECT k, CASE WHEN k % 50 = 49 THEN '  ' WHEN k % 50 = 48 THEN 'N - E' ELSE CAS
 SQL["captions"] = """
 SELECT doc_id, CASE doc_id % 5
   WHEN 0 THEN 'The image shows a satellite view of a landscape. Visible features include: 1. Land Cover: ' || text || ' There is no visible water.'
-  WHEN 1 THEN '1. Bare ground 2. Buildings, 3. Roads' WHEN 2 THEN 'There are no roads. Nothing visible here.'
-  WHEN 3 THEN text || ' No large dam is visible. 12. Fields ' ELSE text END AS text FROM documents"""
+  WHEN 3 THEN text || ' No large dam is visible. 12. Fields ' ELSE text END AS text FROM documents
+UNION ALL SELECT -1 - doc_id, CASE doc_id % 2 WHEN 0 THEN '1. Bare ground 2. Buildings, 3. Roads' ELSE 'There are no roads. Nothing visible here.' END FROM documents"""
 SQL["units"] = """
 SELECT n_nationkey AS k, CASE n_nationkey % 6 WHEN 0 THEN 'EPSG:4326' WHEN 1 THEN 'epsg:32643' WHEN 2 THEN 'EPSG:3857'
   WHEN 3 THEN 'EPSG:9999' WHEN 4 THEN 'EPSG:32661' END AS crs FROM nation"""
 
 # ---- scans, dates and places ----
 SQL["scan_cells"] = """
-SELECT vec_id AS scan_id, CASE label % 4 WHEN 0 THEN 'mining' WHEN 1 THEN 'deforestation' WHEN 2 THEN 'agriculture' ELSE 'roads' END AS adapter,
-  CASE WHEN i < 16 THEN 'before' ELSE 'after' END AS date_role, CAST(floor((i % 16) / 4) AS INT) AS grid_row, CAST(i % 4 AS INT) AS grid_col,
+SELECT vec_id * 2 + CAST(floor(i / 32) AS BIGINT) AS scan_id, CASE label % 4 WHEN 0 THEN 'mining' WHEN 1 THEN 'deforestation' WHEN 2 THEN 'agriculture' ELSE 'roads' END AS adapter,
+  CASE WHEN i % 32 < 16 THEN 'before' ELSE 'after' END AS date_role, CAST(floor((i % 16) / 4) AS INT) AS grid_row, CAST(i % 4 AS INT) AS grid_col,
   round(1 / (1 + exp(-16 * x)), 6) AS p
-FROM vectors WHERE i < 32"""
-SQL["token_scores"] = "SELECT vec_id AS row_id, i - 32 AS token, 10 * x AS logit FROM vectors WHERE i >= 32 AND i < 48"
+FROM vectors"""
+SQL["token_scores"] = "SELECT vec_id AS row_id, CAST(i AS BIGINT) AS token, 10 * x AS logit FROM vectors"
 SQL["step_scores"] = "SELECT CAST(floor(vec_id / 8) AS BIGINT) AS gen_id, vec_id % 8 AS step, CAST(i AS BIGINT) AS token, 10 * x AS logit FROM vectors"
-SQL["chosen_tokens"] = "SELECT CAST(floor(vec_id / 8) AS BIGINT) AS gen_id, vec_id % 8 AS step, (vec_id * 7) % 64 AS token FROM embeddings WHERE vec_id % 5 <> 4"
+SQL["chosen_tokens"] = "SELECT CAST(floor(vec_id / 8) AS BIGINT) AS gen_id, vec_id % 8 AS step, (vec_id * 7) % 64 AS token FROM embeddings"
 SQL["shapes"] = "SELECT p_partkey AS scene_id, CAST(p_size * 37 + 53 AS INT) AS width, CAST(p_size * 21 + 41 AS INT) AS height FROM part"
 SQL["file_names"] = """
 SELECT o_orderkey AS file_id, {iso_orderdate} AS iso, CASE o_orderkey % 8 WHEN 0 THEN 'up/s2a_MSIL1C_' || d || 'T051121_N0510.tif' WHEN 1 THEN 'T43PGQ_' || d || 'T051121_B04_10m.tif'

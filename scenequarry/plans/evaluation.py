@@ -9,32 +9,23 @@ from scenequarry.functions import answers as A
 from scenequarry.operators import items as I
 from scenequarry.operators import packing, sampling, scoring, vocabulary
 from scenequarry.plans.bindings import bind, oracle, table
+from scenequarry.plans.registry import Register
 from scenequarry.session import cut_lineage
 from scenequarry.sources import predictions as P
 
 BENCHMARK = "rsvqa-lr"
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql:
-            ORACLES[name] = sql
-        return fn
-
-    return add
+query = Register()
+QUERIES, ORACLES = query.queries, query.oracles
 
 
 # ------------------------------------------------------------------ inputs
 
 
 def triplets(spark: SparkSession, d: str) -> DataFrame:
-    # an order lists up to seven lines; ids that no answer carries are skipped by the join
-    listed = F.transform(F.sequence(F.lit(1), F.lit(7)), lambda line: F.col("id") * 10 + line)
-    questions = bind(spark, d, "questions").withColumn("answers_ids", listed)
-    return I.first_answer_triplets(questions, bind(spark, d, "answers"), bind(spark, d, "images"))
+    answers = bind(spark, d, "answers")
+    listed = answers.groupBy("question_id").agg(F.array_sort(F.collect_list("id")).alias("answers_ids"))
+    questions = bind(spark, d, "questions").join(listed.withColumnRenamed("question_id", "id"), "id", "left")
+    return I.first_answer_triplets(questions, answers, bind(spark, d, "images"))
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:

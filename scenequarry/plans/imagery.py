@@ -389,7 +389,7 @@ def subtle_outside_major(spark, d):
     "footprint_coverage",
     oracle(
         "footprints",
-        """WITH s AS (SELECT *, greatest(1, round_even(a_width / greatest(1.0, greatest(a_width, a_height) / 512.0), 0))::INT AS w, greatest(1, round_even(a_height / greatest(1.0, greatest(a_width, a_height) / 512.0), 0))::INT AS h FROM footprints),
+        """WITH s AS (SELECT *, a_width AS w, a_height AS h FROM footprints),
 c AS (SELECT *, len(list_filter(range(w), lambda i: (i + 0.5) * a_right / w >= b_left AND (i + 0.5) * a_right / w < b_right)) AS nx, len(list_filter(range(h), lambda j: (j + 0.5) * a_top / h >= b_bottom AND (j + 0.5) * a_top / h < b_top)) AS ny FROM s)
 SELECT pair_id, round(nx * ny / (w * h) + 1e-9, 6) AS coverage, CASE WHEN nx * ny / (w * h) < 0.5 THEN 1 ELSE 0 END AS rejected FROM c""",
     ),

@@ -239,7 +239,7 @@ SELECT group_id, band, round(quantile_cont(value, 0.02) + 1e-9, 4) AS lo, round(
     ),
 )
 def sampled_bounds(spark, d):
-    return radiometry.shared_bounds(grouped(spark, d), sample_limit=1000).select("group_id", "band", *r4("lo", "hi"))
+    return radiometry.sampled_bounds(grouped(spark, d), 1000).select("group_id", "band", *r4("lo", "hi"))
 
 
 @query(

@@ -194,13 +194,12 @@ def surviving_runs(spark, d):
     "report_history",
     oracle(
         "report_log",
-        """SELECT user_id, position, session_id, created_at, title FROM (SELECT user_id, session_id, created_at, CASE WHEN coalesce(title, '') = '' THEN substr(query, 1, 40) ELSE title END AS title,
+        """SELECT user_id, position, session_id, created_at, md5(title) AS title FROM (SELECT user_id, session_id, created_at, CASE WHEN coalesce(title, '') = '' THEN query ELSE title END AS title,
   row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, session_id DESC) AS position FROM report_log) WHERE position <= 100""",
     ),
 )
 def report_history(spark, d):
-    log = bind(spark, d, "report_log").withColumn("query", F.substring("query", 1, 40))
-    return runs.report_history(log)
+    return runs.report_history(bind(spark, d, "report_log")).withColumn("title", F.md5("title"))
 
 
 @query(
@@ -404,8 +403,9 @@ def domain_rejects(spark, d):
     "telemetry_text",
     oracle(
         "",
-        """SELECT event_id, n AS name, t AS text FROM (SELECT event_id, unnest(CASE event_id % 4 WHEN 0 THEN ['model', 'k', 'ok', 'none'] WHEN 1 THEN ['list', 'empty', 'ok'] WHEN 2 THEN ['order', 'raw'] ELSE ['k'] END) AS n,
-  unnest(CASE event_id % 4 WHEN 0 THEN ['base', '7', 'yes', 'n/a'] WHEN 1 THEN ['1; a; no; n/a', 'none', 'no'] WHEN 2 THEN ['as uploaded', '{"b":1}'] ELSE [regexp_extract(props, '(-?[0-9]+)', 1)] END) AS t FROM events)""",
+        """SELECT event_id, n AS name, t AS text FROM (SELECT event_id, unnest(CASE event_id % 4 WHEN 0 THEN ['model', 'k', 'ok', 'none', 'props'] WHEN 1 THEN ['list', 'empty', 'ok', 'deep'] WHEN 2 THEN ['order', 'raw', 'props'] ELSE ['k'] END) AS n,
+  unnest(CASE event_id % 4 WHEN 0 THEN ['base', '7', 'yes', 'n/a', replace(props, ' ', '')] WHEN 1 THEN ['1; a; no; n/a', 'none', 'no', 'yes; n/a; ' || replace(props, ' ', '')]
+  WHEN 2 THEN ['as uploaded', '{"b":1}', replace(props, ' ', '')] ELSE [regexp_extract(props, '(-?[0-9]+)', 1)] END) AS t FROM events)""",
     ),
 )
 def telemetry_text(spark, d):
