@@ -14,6 +14,7 @@ from scenequarry.operators.rasters import gradient
 GREEN_MARGIN, DARK_MAX, BRIGHT_MIN, EDGE_MIN = 20, 50, 200, 25
 EDGE_RATIO_WARN, EDGE_MIN_GAP = 2.0, 5
 CHANGE_MIN_POINTS, REGION_BRIGHTNESS_MIN, REGION_COLOUR_MIN = 3, 15, 12
+NO_VALID = "no valid pixels"
 UNMOVED = "averages over this area barely moved; the change is patchy or local"
 # --- End of fixed values. ---
 
@@ -59,15 +60,17 @@ def texture_word(edge_pct: Column) -> Column:
 
 
 def scene_facts(measures: DataFrame) -> DataFrame:
-    """Adds ``facts``: the measures as one sentence."""
+    """Adds ``facts``: the measures as one sentence, which says so where no pixel is valid."""
+    known = F.col("dark_pct").isNotNull()
     facts = F.concat(
         F.concat_ws(
             "; ",
             F.format_string("image %dx%d px", "width_px", "height_px"),
             F.when(F.col("green_dominant_pct").isNotNull(), F.format_string("%d%% of pixels green-dominant", "green_dominant_pct")),
-            F.format_string("%d%% dark pixels", "dark_pct"),
-            F.format_string("%d%% bright pixels", "bright_pct"),
-            F.concat(F.lit("texture "), texture_word(F.col("edge_pct"))),
+            F.when(~known, NO_VALID),
+            F.when(known, F.format_string("%d%% dark pixels", "dark_pct")),
+            F.when(known, F.format_string("%d%% bright pixels", "bright_pct")),
+            F.when(known, F.concat(F.lit("texture "), texture_word(F.col("edge_pct")))),
         ),
         F.lit("."),
     )

@@ -17,6 +17,7 @@ TABLES = (
 
 FRAGMENTS = {
     "spark": {
+        "image_rows": "SELECT explode(sequence(0L, (SELECT CAST(ceil(count(*) / 192.0) AS BIGINT) * 192 - 1 FROM embeddings))) AS slot",
         "vectors": "SELECT vec_id, label, i, CAST(x AS DOUBLE) AS x FROM embeddings LATERAL VIEW posexplode(embedding) e AS i, x",
         "epoch_ts": "unix_timestamp(ts)",
         "iso_orderdate": "date_format(o_orderdate, 'yyyy-MM-dd')",
@@ -24,6 +25,7 @@ FRAGMENTS = {
         "iso_shipdate": "date_format(l_shipdate, 'yyyy-MM-dd')",
     },
     "duckdb": {
+        "image_rows": "SELECT unnest(range(0, (SELECT CAST(ceil(count(*) / 192.0) AS BIGINT) * 192 FROM embeddings))) AS slot",
         "vectors": "SELECT vec_id, label, CAST(r.i AS INTEGER) AS i, CAST(embedding[r.i + 1] AS DOUBLE) AS x FROM embeddings, range(64) r(i)",
         "epoch_ts": "CAST(floor(epoch(ts)) AS BIGINT)",
         "iso_orderdate": "strftime(o_orderdate, '%Y-%m-%d')",
@@ -259,15 +261,18 @@ SELECT o_orderkey AS k, CASE WHEN o_orderkey % 20 = 0 THEN NULL ELSE CAST(o_cust
   CAST(o_custkey % 50 + 11 AS DOUBLE) AS n2, CAST(o_custkey % 60 + 9 AS DOUBLE) AS e2 FROM orders"""
 DEPENDS |= {"scan_cells": ("vectors",), "token_scores": ("vectors",), "step_scores": ("vectors",)}
 
-# ---- pixels: 64x64 scenes of three bands, one vector per image row; odd scenes are the later date ----
+# ---- pixels: 64x64 scenes of three bands, one vector per image row; odd scenes are the later date. The last scene
+# is incomplete: its absent image rows are 0 and not valid ----
+SQL["image_grid"] = """
+SELECT slot AS vec_id, c.i FROM ({image_rows}) s CROSS JOIN (SELECT DISTINCT i FROM vectors) c"""
 SQL["bands"] = """
-SELECT CAST(floor(vec_id / 192) AS BIGINT) AS scene_id, CAST(floor((vec_id % 192) / 64) AS INT) + 1 AS band, CAST(vec_id % 64 AS INT) AS row, CAST(i AS INT) AS col,
-  greatest(0.0, least(255.0, round(128 + 400 * x) - CASE WHEN floor(vec_id / 192) % 2 = 1 AND vec_id % 64 BETWEEN 16 AND 47 AND i BETWEEN 16 AND 47 THEN 90 ELSE 0 END
-  + CASE WHEN floor(vec_id / 192) % 2 = 0 AND vec_id % 64 BETWEEN 48 AND 60 AND i BETWEEN 48 AND 60 THEN 140 ELSE 0 END)) AS value
-FROM vectors WHERE floor(vec_id / 192) < (SELECT floor(count(*) / 192) FROM embeddings)"""
+SELECT CAST(floor(g.vec_id / 192) AS BIGINT) AS scene_id, CAST(floor((g.vec_id % 192) / 64) AS INT) + 1 AS band, CAST(g.vec_id % 64 AS INT) AS row, CAST(g.i AS INT) AS col,
+  x IS NOT NULL AS present, CASE WHEN x IS NULL THEN 0.0 ELSE greatest(0.0, least(255.0, round(128 + 400 * x) - CASE WHEN floor(g.vec_id / 192) % 2 = 1 AND g.vec_id % 64 BETWEEN 16 AND 47 AND g.i BETWEEN 16 AND 47 THEN 90 ELSE 0 END
+  + CASE WHEN floor(g.vec_id / 192) % 2 = 0 AND g.vec_id % 64 BETWEEN 48 AND 60 AND g.i BETWEEN 48 AND 60 THEN 140 ELSE 0 END)) END AS value
+FROM image_grid g LEFT JOIN vectors v ON v.vec_id = g.vec_id AND v.i = g.i"""
 SQL["pixels"] = """
 SELECT scene_id, row, col, max(CASE WHEN band = 1 THEN value END) AS r, max(CASE WHEN band = 2 THEN value END) AS g,
-  max(CASE WHEN band = 3 THEN value END) AS b, (scene_id % 2 = 0 OR col >= 2) AS valid, 64 AS height, 64 AS width,
+  max(CASE WHEN band = 3 THEN value END) AS b, (scene_id % 2 = 0 OR col >= 2) AND min(CASE WHEN present THEN 1 ELSE 0 END) = 1 AS valid, 64 AS height, 64 AS width,
   CASE WHEN floor(scene_id / 2) % 4 = 3 THEN 'sar' ELSE 'optical' END AS modality
 FROM bands GROUP BY scene_id, row, col"""
 SQL["scene_pairs"] = """
@@ -281,7 +286,7 @@ SQL["pair_regions"] = SQL["pair_regions"].replace("9, FROM", "9 FROM")
 # radar values: even scenes linear power, odd scenes decibels; the left border is empty
 SQL["radar_bands"] = """
 SELECT scene_id, band, row, col, CASE WHEN scene_id % 2 = 0 THEN value / 50 + 0.02 ELSE (value - 128) / 10 END AS value,
-  (col >= 2) AS valid, 64 AS height, 64 AS width FROM bands"""
+  (col >= 2 AND present) AS valid, 64 AS height, 64 AS width FROM bands"""
 SQL["band_meta"] = " UNION ALL ".join(
     f"""SELECT p_partkey AS scene_id, {b} AS band,
   CASE WHEN p_partkey % 5 = 0 THEN CASE ({b} + p_partkey) % 4 WHEN 0 THEN 'red' WHEN 1 THEN 'green' WHEN 2 THEN 'blue' ELSE 'gray' END ELSE 'undefined' END AS colorinterp,
@@ -294,7 +299,7 @@ SELECT o_orderkey AS pair_id, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE 1 + (
   CAST(o_custkey % 200 - 100 AS DOUBLE) AS m02, CAST(o_custkey % 90 - 45 AS DOUBLE) AS m12, CAST(o_orderkey % 40 AS INT) AS inliers, 300 AS height, 300 AS width FROM orders"""
 SQL["matches"] = "SELECT l_suppkey AS pair_id, l_orderkey * 1000000 + l_linenumber * 10000 + l_partkey AS match_id, l_quantity + floor(l_extendedprice) / 100000 AS distance FROM lineitem"
 DEPENDS |= {
-    "bands": ("vectors",), "pixels": ("bands",), "scene_pairs": ("bands",), "pair_regions": ("scene_pairs",), "radar_bands": ("bands",),
+    "image_grid": ("vectors",), "bands": ("image_grid",), "pixels": ("bands",), "scene_pairs": ("bands",), "pair_regions": ("scene_pairs",), "radar_bands": ("bands",),
 }
 
 # ---- logins: minutes of the event log stand for seconds, so that attempts fall close together ----

@@ -68,7 +68,7 @@ def standard_pixels(spark, d):
     return out.withColumn("valid", F.col("valid").cast("int"))
 
 
-@query("scenes_without_data", oracle("bands", "SELECT DISTINCT scene_id, 'no valid pixels' AS error FROM bands WHERE scene_id % 2 = 1"))
+@query("scenes_without_data", oracle("pixels", "SELECT scene_id, 'no valid pixels' AS error FROM pixels GROUP BY scene_id HAVING scene_id % 2 = 1 OR NOT bool_or(valid)"))
 def scenes_without_data(spark, d):
     return radiometry.scenes_without_data(pixels(spark, d).withColumn("valid", F.col("valid") & (F.col("scene_id") % 2 == 0)))
 
@@ -94,10 +94,10 @@ def measures_sql(source: str, keys: str, height: str, width: str) -> str:
 ed AS (SELECT *, coalesce((lead(gray) OVER rw - lag(gray) OVER rw) / 2, lead(gray) OVER rw - gray, gray - lag(gray) OVER rw, 0) AS gx,
   coalesce((lead(gray) OVER cw - lag(gray) OVER cw) / 2, lead(gray) OVER cw - gray, gray - lag(gray) OVER cw, 0) AS gy FROM gr
   WINDOW rw AS (PARTITION BY {keys}, row ORDER BY col), cw AS (PARTITION BY {keys}, col ORDER BY row)),
-ms AS (SELECT {keys}, max({width}) AS width_px, max({height}) AS height_px, max(modality) AS modality, round_even(100 * avg(CASE WHEN gray <= 50 THEN 1 ELSE 0 END), 0)::INT AS dark_pct,
-  round_even(100 * avg(CASE WHEN gray >= 200 THEN 1 ELSE 0 END), 0)::INT AS bright_pct, round_even(avg(gray), 0)::INT AS mean_brightness, round_even(100 * avg(CASE WHEN sqrt(gx * gx + gy * gy) > 25 THEN 1 ELSE 0 END), 0)::INT AS edge_pct,
-  round_even(avg(r), 0)::INT AS mean_r, round_even(avg(g), 0)::INT AS mean_g, round_even(avg(b), 0)::INT AS mean_b,
-  CASE WHEN max(modality) <> 'sar' THEN round_even(100 * avg(CASE WHEN 2 * g - r - b > 20 THEN 1 ELSE 0 END), 0)::INT END AS green_dominant_pct FROM ed WHERE valid GROUP BY {keys})"""
+ms AS (SELECT {keys}, max({width}) AS width_px, max({height}) AS height_px, max(modality) AS modality, round_even(100 * avg(CASE WHEN gray <= 50 THEN 1 ELSE 0 END) FILTER (valid), 0)::INT AS dark_pct,
+  round_even(100 * avg(CASE WHEN gray >= 200 THEN 1 ELSE 0 END) FILTER (valid), 0)::INT AS bright_pct, round_even(avg(gray) FILTER (valid), 0)::INT AS mean_brightness, round_even(100 * avg(CASE WHEN sqrt(gx * gx + gy * gy) > 25 THEN 1 ELSE 0 END) FILTER (valid), 0)::INT AS edge_pct,
+  round_even(avg(r) FILTER (valid), 0)::INT AS mean_r, round_even(avg(g) FILTER (valid), 0)::INT AS mean_g, round_even(avg(b) FILTER (valid), 0)::INT AS mean_b,
+  CASE WHEN max(modality) <> 'sar' THEN round_even(100 * avg(CASE WHEN 2 * g - r - b > 20 THEN 1 ELSE 0 END) FILTER (valid), 0)::INT END AS green_dominant_pct FROM ed GROUP BY {keys})"""
 
 
 SCENE_MS = measures_sql("pixels", "scene_id", "height", "width")
@@ -112,8 +112,8 @@ def scene_measures(spark, d):
     "scene_facts",
     oracle(
         "pixels",
-        f"""WITH {SCENE_MS} SELECT scene_id, 'image ' || width_px || 'x' || height_px || ' px; ' || coalesce(green_dominant_pct || '% of pixels green-dominant; ', '') || dark_pct || '% dark pixels; ' || bright_pct || '% bright pixels; texture ' ||
-  CASE WHEN edge_pct < 3 THEN 'very smooth (few edges)' WHEN edge_pct < 10 THEN 'mostly smooth' WHEN edge_pct < 25 THEN 'moderately detailed' ELSE 'highly detailed / busy' END || '.' AS facts FROM ms""",
+        f"""WITH {SCENE_MS} SELECT scene_id, 'image ' || width_px || 'x' || height_px || ' px; ' || CASE WHEN dark_pct IS NULL THEN 'no valid pixels' ELSE coalesce(green_dominant_pct || '% of pixels green-dominant; ', '') || dark_pct || '% dark pixels; ' || bright_pct || '% bright pixels; texture ' ||
+  CASE WHEN edge_pct < 3 THEN 'very smooth (few edges)' WHEN edge_pct < 10 THEN 'mostly smooth' WHEN edge_pct < 25 THEN 'moderately detailed' ELSE 'highly detailed / busy' END END || '.' AS facts FROM ms""",
     ),
 )
 def scene_facts(spark, d):
@@ -246,7 +246,7 @@ def sampled_bounds(spark, d):
     "stretched_pixels",
     oracle(
         "pixels",
-        f"""WITH {BOUNDS}, s AS (SELECT l.*, CASE WHEN valid THEN floor(least(greatest((value - lo) / (hi - lo) * 255, 0), 255)) ELSE 0 END AS s FROM lng l JOIN bounds b ON b.group_id = l.group_id AND b.band = l.band)
+        f"""WITH {BOUNDS}, s AS (SELECT l.*, CASE WHEN valid THEN floor(least(greatest((value - lo) / (hi - lo) * 255, 0), 255)) ELSE 0 END AS s FROM lng l LEFT JOIN bounds b ON b.group_id = l.group_id AND b.band = l.band)
 SELECT scene_id, row, col, CAST(max(s) FILTER (band = 1) AS INT) AS r, CAST(max(s) FILTER (band = 2) AS INT) AS g, CAST(max(s) FILTER (band = 3) AS INT) AS b FROM s GROUP BY 1, 2, 3""",
     ),
 )
@@ -357,7 +357,7 @@ def gaussian_blur(spark, d):
 
 @query(
     "eroded_validity",
-    oracle("pixels", "SELECT p.scene_id, p.row, p.col, CASE WHEN p.scene_id % 2 = 0 OR p.col >= 13 THEN 1 ELSE 0 END AS valid FROM pixels p"),
+    oracle("pixels", "SELECT p.scene_id, p.row, p.col, CASE WHEN bool_and(q.valid) THEN 1 ELSE 0 END AS valid FROM pixels p JOIN pixels q ON q.scene_id = p.scene_id AND abs(q.row - p.row) <= 11 AND abs(q.col - p.col) <= 11 GROUP BY 1, 2, 3"),
 )
 def eroded_validity(spark, d):
     out = rasters.erode_valid(pixels(spark, d), ["scene_id"], "valid", 23)
