@@ -9,6 +9,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,57 +28,17 @@ class Vocabulary:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
+        # merges the bytes of one pre-token; the texts are cut by this module
+        self.merger = tiktoken.Encoding("pieces", pat_str="(?s:.+)", mergeable_ranks=self.ranks, special_tokens={})
         self.known: dict[str, bytes] = {}
 
-    def merged(self, piece: bytes) -> list[int]:
-        """Ids of one pre-token: the adjacent pair of lowest rank is joined, leftmost first, until none is in the vocabulary."""
-        if piece in self.ranks:
-            return [self.ranks[piece]]
-        if len(piece) > 256:
-            return self._merged_long(piece)
-        parts = [piece[i : i + 1] for i in range(len(piece))]
-        get = self.ranks.get
-        pairs = [get(a + b) for a, b in zip(parts, parts[1:])]
-        while pairs:
-            least = min((r for r in pairs if r is not None), default=None)
-            if least is None:
-                break
-            at = pairs.index(least)
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-            del pairs[at]
-            if at:
-                pairs[at - 1] = get(parts[at - 1] + parts[at])
-            if at < len(pairs):
-                pairs[at] = get(parts[at] + parts[at + 1])
-        return [self.ranks[p] for p in parts]
-
-    def _merged_long(self, piece: bytes) -> list[int]:
-        """The same over a heap and linked neighbours, for pieces of any length."""
-        import heapq
-
-        n = len(piece)
-        part, after, before = [piece[i : i + 1] for i in range(n)], [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(r, i, i + 1, 2) for i in range(n - 1) if (r := self.ranks.get(piece[i : i + 2])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            _, i, j, size = heapq.heappop(heap)
-            if part[i] is None or after[i] != j or len(part[i]) + len(part[j]) != size:
-                continue
-            part[i], part[j], after[i] = part[i] + part[j], None, after[j]
-            if after[i] >= 0:
-                before[after[i]] = i
-            for a, b in ((before[i], i), (i, after[i])):
-                if a >= 0 and b >= 0 and (r := self.ranks.get(part[a] + part[b])) is not None:
-                    heapq.heappush(heap, (r, a, b, len(part[a]) + len(part[b])))
-        return [self.ranks[p] for p in part if p is not None]
-
     def encode(self, pieces: list[str]) -> bytes:
         """Ids of the pieces in order, as little-endian unsigned 32-bit integers."""
         if len(self.known) > CACHED:
             self.known = {}
         known = self.known
         for piece in set(pieces).difference(known):
-            known[piece] = np.array(self.merged(piece.encode()), "<u4").tobytes()
+            known[piece] = np.array(self.merger.encode_ordinary(piece), "<u4").tobytes()
         return b"".join(map(known.__getitem__, pieces))
 
     def decode(self, ids: bytes) -> bytes:
