@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_DIGITS = 3          # 16^3 buckets per group for hash-ordered ranks
+SKETCH_ACCURACY = 10_000 # a sketch's rank is off by one in so many rows at most
+BRACKET = 0.001          # share of a group's rows between the sketch's values around a wanted rank
 
 
 def seeded_hash(seed: int, *parts: Column) -> Column:
@@ -63,75 +65,47 @@ def bucketed_running_sum(
     return joined
 
 
-def exact_percentiles(
-    df: DataFrame, keys: Sequence[str], value: str, percents: dict[str, float], buckets: int = 256
-) -> DataFrame:
+def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, percents: dict[str, float]) -> DataFrame:
     """Linearly interpolated percentiles per group: one row per ``keys`` with a column per named percent (0..1).
 
-    Equal values are counted map-side first. A histogram of ``buckets`` equal-width cells per group finds
-    the cell holding each wanted rank, and only the values of those cells are ordered, per (group, cell).
+    A mergeable sketch brackets each wanted rank, the values below the bracket are only counted, and only those inside it are
+    ordered: about ``BRACKET`` of the group, wherever its values lie. A bracket that misses its rank is widened to the group.
     """
     if not keys:
-        alone = exact_percentiles(df.withColumn("_all", F.lit(0)), ["_all"], value, percents, buckets)
+        alone = exact_percentiles(df.withColumn("_all", F.lit(0)), ["_all"], value, percents)
         return alone.drop("_all")
     keys = list(keys)
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .select(*keys, F.col(value).cast("double").alias("_v"))
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    spread = counted.groupBy(*keys).agg(
-        F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_rows")
-    )
-    width = F.col("_hi") - F.col("_lo")
-    cell = F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * buckets), F.lit(buckets - 1)))
-    celled = counted.join(spread, keys).withColumn("_cell", F.coalesce(cell, F.lit(0)))
-    by_cell = celled.groupBy(*keys, "_cell", "_rows").agg(F.sum("_n").alias("_cell_rows"))
-    upto = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
-    by_cell = by_cell.withColumn("_end", F.sum("_cell_rows").over(upto)).withColumn(
-        "_start", F.col("_end") - F.col("_cell_rows")
+    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    names = list(percents)
+    edges = [min(1.0, max(0.0, p + e)) for p in percents.values() for e in (-BRACKET / 2, BRACKET / 2)]
+    spread = values.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"),
+        F.percentile_approx("_v", [float(e) for e in edges], SKETCH_ACCURACY).alias("_edges"),
     )
-    # zero-based ranks on both sides of every wanted position
-    wanted = F.array_distinct(
-        F.flatten(
-            F.array(
-                *[
-                    F.array(
-                        F.floor((F.col("_rows") - 1) * F.lit(p)),
-                        F.ceil((F.col("_rows") - 1) * F.lit(p)),
-                    )
-                    for p in percents.values()
-                ]
-            )
-        )
+    wanted = F.explode(F.array(*[
+        F.struct(F.lit(n).alias("name"), ((F.col("_rows") - 1) * F.lit(p)).alias("at"), F.col("_edges")[2 * i].alias("from"), F.col("_edges")[2 * i + 1].alias("to"))
+        for i, (n, p) in enumerate(percents.items())
+    ]))
+    brackets = spread.select(*keys, "_lo", "_hi", wanted.alias("_w")).select(*keys, "_lo", "_hi", "_w.*")
+    counted = values.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    inside = F.col("_v").between(F.col("from"), F.col("to"))
+    tallied = counted.join(brackets, keys).groupBy(*keys, "name", "at", "from", "to", "_lo", "_hi").agg(
+        F.sum(F.when(F.col("_v") < F.col("from"), F.col("_n")).otherwise(0)).alias("_below"), F.sum(F.when(inside, F.col("_n")).otherwise(0)).alias("_inside")
     )
-    hit = by_cell.where(F.exists(wanted, lambda r: (r >= F.col("_start")) & (r < F.col("_end"))))
-    picked = celled.join(hit.select(*keys, "_cell", "_start"), [*keys, "_cell"])
-    running = Window.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = picked.withColumn("_last", F.col("_start") + F.sum("_n").over(running)).withColumn(
-        "_first", F.col("_last") - F.col("_n")
+    holds = (F.col("_below") <= F.floor("at")) & (F.ceil("at") < F.col("_below") + F.col("_inside"))
+    placed = tallied.select(
+        *keys, "name", "at", F.when(holds, F.col("from")).otherwise(F.col("_lo")).alias("from"),
+        F.when(holds, F.col("to")).otherwise(F.col("_hi")).alias("to"), F.when(holds, F.col("_below")).otherwise(0).alias("_below"),
     )
+    running = Window.partitionBy(*keys, "name").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.join(placed, keys).where(inside).withColumn("_last", F.col("_below") + F.sum("_n").over(running))
 
     def value_at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("_first")) & (rank < F.col("_last")), F.col("_v")))
-
-    outputs = []
-    for name, p in percents.items():
-        position = (F.col("_rows") - 1) * F.lit(p)
-        outputs += [
-            value_at(F.floor(position)).alias(f"_a_{name}"),
-            value_at(F.ceil(position)).alias(f"_b_{name}"),
-            F.max(position - F.floor(position)).alias(f"_f_{name}"),
-        ]
-    found = ranked.groupBy(*keys).agg(*outputs)
-    return found.select(
-        *keys,
-        *[
-            (F.col(f"_a_{n}") + (F.col(f"_b_{n}") - F.col(f"_a_{n}")) * F.col(f"_f_{n}")).alias(n)
-            for n in percents
-        ],
-    )
+        return F.max(F.when((rank >= F.col("_last") - F.col("_n")) & (rank < F.col("_last")), F.col("_v")))
+
+    found = ranked.groupBy(*keys, "name", "at").agg(value_at(F.floor("at")).alias("_a"), value_at(F.ceil("at")).alias("_b"))
+    found = found.withColumn("_p", F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("at") - F.floor("at")))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("_p"))).alias(n) for n in names])
 
 
 def bucketed_previous(df: DataFrame, keys: Sequence[str], bucket: str, order: str, tie: str, out: str) -> DataFrame:

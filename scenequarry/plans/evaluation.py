@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,9 @@ from scenequarry.operators import items as I
 from scenequarry.operators import packing, sampling, scoring, vocabulary
 from scenequarry.plans.bindings import bind, oracle, table
 from scenequarry.plans.registry import Register
-from scenequarry.session import cut_lineage
+from scenequarry.session import checkpoint_folder, cut_lineage
 from scenequarry.sources import predictions as P
+from scenequarry.sources.annotations import load_benchmark
 
 BENCHMARK = "rsvqa-lr"
 query = Register()
@@ -117,6 +120,46 @@ def annotation_items(spark, d):
     return items(spark, d).select("item_id", "qtype", "question", "answer", F.col("image_paths")[0].alias("path"))
 
 
+def _written_annotations(spark: SparkSession, d: str, base: str) -> str:
+    """The bound annotations written as files of JSON lines, in a fresh folder: its path."""
+    folder = f"{checkpoint_folder(spark)}/annotations-{uuid.uuid4()}"
+    answers = bind(spark, d, "answers")
+    listed = answers.groupBy(F.col("question_id").alias("id")).agg(F.array_sort(F.collect_list("id")).alias("answers_ids"))
+    bind(spark, d, "questions").join(listed, "id", "left").write.json(f"{folder}/{base}_questions")
+    answers.write.json(f"{folder}/{base}_answers")
+    bind(spark, d, "images").write.json(f"{folder}/{base}_images")
+    return folder
+
+
+@query("annotation_files", oracle("items", "SELECT item_id, qtype, question, answer, path FROM items"))
+def annotation_files(spark, d):
+    """The three-file source, chosen by benchmark name with its default split."""
+    found = load_benchmark(spark, BENCHMARK, _written_annotations(spark, d, "LR_split_test"), layout="lines", image_dir="Images_LR")
+    return found.select("item_id", "qtype", "question", "answer", F.col("image_paths")[0].alias("path"))
+
+
+@query("annotation_pair_files", oracle("items", "SELECT item_id, answer, 'im/im1/' || file_name AS before, 'im/im2/' || file_name AS after FROM items"))
+def annotation_pair_files(spark, d):
+    found = load_benchmark(spark, "cdvqa", _written_annotations(spark, d, "Val"), split="Val", layout="lines", image_dir="im")
+    return found.select("item_id", "answer", F.col("image_paths")[0].alias("before"), F.col("image_paths")[1].alias("after"))
+
+
+@query(
+    "annotation_flat_file",
+    "SELECT CAST(d.doc_id AS VARCHAR) AS item_id, md5(d.text) AS question, d.lang AS answer, CASE WHEN d.doc_id % 3 = 0 THEN 'unknown' ELSE d.source END AS qtype, 'imgs/' || d.doc_id || '.png' AS path FROM documents d",
+)
+def annotation_flat_file(spark, d):
+    """The flat-list source over a written copy of the documents."""
+    folder = f"{checkpoint_folder(spark)}/annotations-{uuid.uuid4()}"
+    rows = table(spark, d, "documents").select(
+        F.concat(F.col("doc_id").cast("string"), F.lit(".png")).alias("image_id"), F.col("text").alias("question"), F.col("lang").alias("ground_truth"),
+        F.col("doc_id").alias("question_id"), F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("type"), F.lit("documents").alias("dataset"),
+    )
+    rows.write.json(f"{folder}/VRSBench_EVAL_vqa")
+    found = load_benchmark(spark, "vrsbench-vqa", folder, layout="lines", image_dir="imgs")
+    return found.select("item_id", F.md5("question").alias("question"), "answer", "qtype", F.col("image_paths")[0].alias("path"))
+
+
 @query(
     "annotation_pair_items",
     oracle("items", "SELECT item_id, answer, 'im/im1/' || file_name AS before, 'im/im2/' || file_name AS after FROM items"),

@@ -91,13 +91,15 @@ def retention_stream(spark, d):
     return spark.read.parquet(f"{folder}/out")
 
 
-def sample_predictor(item: dict, prompt: str) -> tuple[str, float | None]:
-    """A stand-in model: fails on every nineteenth item and answers the rest from the prompt alone."""
-    if item["pos"] % 19 == 0:
+def sample_predictor(items: list[dict]) -> list[tuple[str, float | None]]:
+    """A stand-in model: fails on a batch with a nineteenth item and answers others from the prompts alone."""
+    if any(item["pos"] % 19 == 0 for item in items):
         raise ValueError("unreadable")
-    if "yes or no" in prompt:
-        return "Yes.", 0.75
-    return ("There are twelve." if "number" in prompt else "low vegetation"), None
+
+    def other(prompt: str) -> tuple[str, None]:
+        return ("There are twelve." if "number" in prompt else "low vegetation"), None
+
+    return [("Yes.", 0.75) if "yes or no" in item["prompt"] else other(item["prompt"]) for item in items]
 
 
 ANSWERED = """an AS (SELECT i.*, CASE WHEN pos % 19 = 0 THEN NULL WHEN qtype = 'presence' THEN 'Yes.' WHEN qtype = 'count' THEN 'There are twelve.' ELSE 'low vegetation' END AS reply,
@@ -116,10 +118,10 @@ def predictor_replies(spark, d):
     oracle("boxes", "SELECT region_no, CASE WHEN region_no % 11 = 0 THEN '' ELSE 'crop ' || x || ' ' || y END AS caption FROM boxes"),
 )
 def captioned_crops(spark, d):
-    def captioner(item: dict) -> str:
-        if item["region_no"] % 11 == 0:
+    def captioner(crops: list[dict]) -> list[str]:
+        if any(crop["region_no"] % 11 == 0 for crop in crops):
             raise RuntimeError("no caption")
-        return f" crop  {item['x']}\n{item['y']} "
+        return [f" crop  {crop['x']}\n{crop['y']} " for crop in crops]
 
     return predictor.run_captioner(bind(spark, d, "boxes"), captioner).select("region_no", "caption")
 

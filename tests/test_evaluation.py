@@ -196,7 +196,7 @@ def test_stream_scoring_resumes(spark, tmp_path):
 
     def run():
         stream = spark.readStream.schema(items.schema).parquet(f"{tmp_path}/in")
-        stream_scoring.start_scoring(stream, spaces, lambda item, prompt: ("yes", 0.5), f"{tmp_path}/run", config).awaitTermination()
+        stream_scoring.start_scoring(stream, spaces, lambda items: [("yes", 0.5)] * len(items), f"{tmp_path}/run", config).awaitTermination()
         return stream_scoring.read_log(spark, f"{tmp_path}/run/predictions")
 
     assert run().count() == 5
@@ -210,7 +210,7 @@ def test_items_without_images_are_error_records(spark):
     items = make_items(spark, {"presence": 8})
     spaces = vocabulary.build_answer_spaces(items)
     inventory = spark.createDataFrame([(f"img{i}.tif",) for i in range(1, 7)], "path string")
-    got = stream_scoring.score_new_items(items, spaces, lambda item, prompt: ("yes", None), None, inventory).collect()
+    got = stream_scoring.score_new_items(items, spaces, lambda items: [("yes", None)] * len(items), None, inventory).collect()
     lost = {r["item_id"]: r["error"] for r in got if r["error"]}
     assert set(lost) == {"0", "7"} and lost["0"].endswith("img0.tif") and not any(r["correct"] for r in got if r["error"])
 
@@ -224,12 +224,15 @@ def test_summary_tables_are_written(spark, tmp_path):
 
 
 def test_predictor_errors_become_records(spark):
-    def fails(item, prompt):
-        raise KeyError("gone")
-
-    df = spark.createDataFrame([("1", "p", None), ("2", "p", "missing")], "item_id string, prompt string, error string")
-    got = {r["item_id"]: r["error"] for r in predictor.run_predictor(df, fails).collect()}
-    assert got == {"1": "KeyError: 'gone'", "2": "missing"}
+    def fails(items):
+        if any(item["item_id"] == "1" for item in items):
+            raise KeyError("gone")
+        return [("yes", 0.5)] * len(items)
+
+    rows = [("1", "p", None), ("2", "p", "missing"), ("3", "p", None), ("4", "p", None)]
+    df = spark.createDataFrame(rows, "item_id string, prompt string, error string").coalesce(1)
+    got = {r["item_id"]: (r["reply"], r["error"]) for r in predictor.run_predictor(df, fails).collect()}
+    assert got == {"1": (None, "KeyError: 'gone'"), "2": (None, "missing"), "3": ("yes", None), "4": ("yes", None)}
 
 
 def test_progress(spark):

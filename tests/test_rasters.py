@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scenequarry.operators import measures, radiometry, ranking, rasters
+from scenequarry.operators import fusion, measures, radiometry, ranking, rasters
 
 
 def pixel_table(spark, arrays, scene_id=0, valid=None):
@@ -59,7 +59,27 @@ def test_scene_measures(spark):
     row = measures.scene_measures(pixel_table(spark, {"r": img, "g": green, "b": img}), ["scene_id"]).first()
     assert (row["green_dominant_pct"], row["dark_pct"], row["edge_pct"], row["mean_g"]) == (100, 0, 0, 90)
     hidden = pixel_table(spark, {"r": img, "g": img, "b": img}, valid=np.zeros((4, 4)))
-    assert measures.scene_measures(hidden, ["scene_id"]).isEmpty()
+    row = measures.scene_measures(hidden, ["scene_id"]).first()
+    assert (row["width_px"], row["dark_pct"], row["edge_pct"], row["mean_g"]) == (4, None, None, None)
+    assert measures.scene_facts(measures.scene_measures(hidden, ["scene_id"])).first()["facts"] == "image 4x4 px; no valid pixels."
+
+
+def test_groups_and_bands_without_valid_pixels_stay(spark):
+    img = np.full((4, 4), 90.0)
+    hidden = pixel_table(spark, {"r": img, "g": img, "b": img}, valid=np.zeros((4, 4))).withColumn("group_id", F.lit(1))
+    stretched = radiometry.stretch(hidden, radiometry.shared_bounds(hidden))
+    assert stretched.count() == 16 and stretched.where("r + g + b > 0").isEmpty()
+    bands = hidden.selectExpr("scene_id", "1 AS band", "row", "col", "r AS value", "valid", "height", "width")
+    filled = radiometry.fill_invalid(bands)
+    assert filled.count() == 16 and filled.where("value IS NOT NULL").isEmpty()
+    assert [tuple(r) for r in fusion.unfused_pairs(hidden.withColumnRenamed("scene_id", "pair_id")).collect()] == [(hidden.first()["scene_id"], "no valid radar pixels")]
+
+
+def test_percentiles_with_one_huge_value(spark):
+    df = spark.range(100_000).selectExpr("if(id = 7, 1e12, cast(pmod(hash(id), 99991) AS double)) AS v")
+    values = [r["v"] for r in df.collect()]
+    got = ranking.exact_percentiles(df, [], "v", {"lo": .02, "mid": .5, "top": 1.0}).first()
+    assert np.allclose(list(got), np.percentile(values, [2, 50, 100]))
 
 
 def test_percentiles_match_numpy_with_hot_and_tiny_groups(spark):
