@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenequarry.functions import answers as A
+from scenequarry.operators.joins import join_small
 from scenequarry.operators.ranking import bucketed_row_number, hash_bucket, seeded_hash
 
 
@@ -17,7 +18,7 @@ def build_packs(items: DataFrame, spaces: DataFrame, per_pack: int = 8, seed: in
     Questions of an image are ordered by a seeded hash and cut every ``per_pack``; ``pack_order`` shuffles packs.
     """
     prepared = (
-        items.join(spaces.select("qtype", "kind", "options"), "qtype")
+        join_small(items, spaces.select("qtype", "kind", "options"), ["qtype"])
         .select(
             F.concat_ws("|", "image_paths").alias("image_key"),
             "image_paths",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scenequarry.functions import answers as A
 from scenequarry.functions.measures import wilson_bounds
+from scenequarry.operators.joins import join_small
 from scenequarry.operators.ranking import bucketed_running_sum, exact_percentiles
 
 # --- Fixed values: question types left out of the published protocol. ---
@@ -25,13 +26,13 @@ def with_prompts(items: DataFrame, spaces: DataFrame) -> DataFrame:
     prompt = A.benchmark_prompt(
         F.col("question"), F.col("kind"), F.col("options"), F.size("image_paths") == 2
     )
-    return items.join(spaces.select("qtype", "kind", "options"), "qtype").select(items["*"], prompt.alias("prompt"))
+    return join_small(items, spaces.select("qtype", "kind", "options"), ["qtype"]).select(items["*"], prompt.alias("prompt"))
 
 
 def score_replies(records: DataFrame, spaces: DataFrame) -> DataFrame:
     """Adds predicted and correct to records(qtype, answer, reply[, error]); a failed record is wrong, not dropped."""
     failed = F.col("error").isNotNull() if "error" in records.columns else F.lit(False)
-    joined = records.join(spaces.select("qtype", "kind", "forms"), "qtype")
+    joined = join_small(records, spaces.select("qtype", "kind", "forms"), ["qtype"])
     predicted = F.when(~failed, A.canonical(F.col("kind"), F.col("forms"), F.col("reply")))
     return (
         joined.withColumn("predicted", predicted)

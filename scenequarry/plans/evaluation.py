@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scenequarry.functions import answers as A
 from scenequarry.operators import items as I
 from scenequarry.operators import packing, sampling, scoring, vocabulary
+from scenequarry.operators.joins import join_small
 from scenequarry.plans.bindings import bind, oracle, table
 from scenequarry.plans.registry import Register
 from scenequarry.session import checkpoint_folder, cut_lineage
@@ -356,7 +357,7 @@ def prior_run_report(spark, d):
     """The flagship path: join annotations, build vocabularies, answer with the prior, score and summarise."""
     all_items = stored_items(spark, d)
     spaces = vocabulary.build_answer_spaces(all_items)
-    answered = all_items.join(vocabulary.prior_answers(all_items).withColumnRenamed("prior", "reply"), "qtype")
+    answered = join_small(all_items, vocabulary.prior_answers(all_items).withColumnRenamed("prior", "reply"), ["qtype"])
     summary = scoring.accuracy_summary(scoring.score_replies(answered, spaces))
     return summary.select("qtype", "n", "correct", *_r6("accuracy", "ci_low", "ci_high"))
 

@@ -193,3 +193,15 @@ def test_lockout_as_a_stream_keeps_state_between_batches(spark, tmp_path):
         query.awaitTermination()
     got = spark.read.parquet(f"{tmp_path}/out").orderBy("seq").collect()
     assert [r["verdict"] for r in got] == EXPECTED
+
+
+def test_join_small_salts_beyond_the_bound(spark, monkeypatch):
+    from scenequarry.operators import joins
+
+    large = spark.range(1000).selectExpr("id", "id % 7 AS k")
+    small = spark.range(5).selectExpr("id AS k", "id * 10 AS v")
+    want = sorted(map(tuple, large.join(small, ["k"], "left").select("id", "k", "v").collect()), key=str)
+    for bound in (10, 2):
+        monkeypatch.setattr(joins, "BROADCAST_ROWS", bound)
+        got = joins.join_small(large, small, ["k"], "left").select("id", "k", "v").collect()
+        assert sorted(map(tuple, got), key=str) == want
