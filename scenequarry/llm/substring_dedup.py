@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenequarry.llm.common import byte_list, schema_of
+from scenequarry.llm.common import byte_list, schema_of, sliced
 
 WINDOW = 35                        # words
 # A perfect difference set: every difference modulo the period is one of two members, so of any two starts
@@ -19,6 +19,8 @@ PERIOD, COVER = 21, (0, 1, 4, 14, 16)
 ANCHOR = WINDOW - PERIOD + 1       # words hashed at a cover position: they lie within the window for every shift
 BASE_A, BASE_B, MIX = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 
+ROWS = 1 << 16                     # rows of a batch sent back
+
 POSTED = "part int, key bigint, positions binary, keys binary, counts binary, hashes binary, checks binary, sure binary"
 
 
@@ -106,20 +108,21 @@ def _post(keys: list[int], found: list[tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def _collected(batches: Iterator[pa.RecordBatch], repeated: bool) -> Iterator[pa.RecordBatch]:
-    """(key, positions): of the blocks of one part, the entries whose hash is there more than once or sure, or else the others."""
+    """(key, position) for the entries of one part whose hash is there more than once or sure, or else for the others."""
     wide = np.uint32 if repeated else np.uint64
     blocks = []
 
-    def out(keys, positions):
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(positions, pa.binary())], ["__key", "positions"])
+    def out(keys, at):
+        for i in range(0, len(keys), ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + ROWS]), pa.array(at[i : i + ROWS])], ["__key", "position"])
 
     for batch in batches:
         for row in batch.to_pylist():
+            at = np.frombuffer(row["positions"], np.int32)
             if not row["keys"]:
-                yield out([row["key"]], [row["positions"]])
+                yield from out(np.full(len(at), row["key"], np.int64), at)
                 continue
             counts = np.frombuffer(row["counts"], np.int32)
-            at = np.frombuffer(row["positions"], np.int32)
             checks = np.frombuffer(row["checks"], np.uint32) if row["checks"] else np.zeros(len(at), np.uint32)
             sure = np.unpackbits(np.frombuffer(row["sure"], np.uint8), count=len(at)).astype(bool)
             blocks.append((np.repeat(np.frombuffer(row["keys"], np.int64), counts), at, np.frombuffer(row["hashes"], wide), checks, sure))
@@ -131,14 +134,14 @@ def _collected(batches: Iterator[pa.RecordBatch], repeated: bool) -> Iterator[pa
     group = np.cumsum(fresh) - 1
     many = (np.bincount(group) > 1) | (np.bincount(group, sure[order]) > 0)
     own = order[many[group] == repeated]
-    own = own[np.argsort(keys[own], kind="stable")]
-    if len(own):
-        pieces = np.split(own, np.flatnonzero(np.diff(keys[own])) + 1)
-        yield out([int(keys[x[0]]) for x in pieces], [at[x].tobytes() for x in pieces])
+    yield from out(keys[own], at[own])
 
 
-def _positions(blocks: list[bytes] | None) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(blocks or []), np.int32)).astype(np.int64)
+def _positions(column: pa.Array) -> list[np.ndarray | None]:
+    """The distinct positions of each row of a list column, ascending; null where there are none."""
+    values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    present = column.is_valid().to_pylist()
+    return [np.unique(values[a:b]).astype(np.int64) if there else None for a, b, there in zip(ends, ends[1:], present)]
 
 
 def drop_repeats(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -160,8 +163,8 @@ def drop_repeats(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("do
     def over(find: Callable, tell: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, found = [], []
-            for batch in batches:
-                extra = batch.columns[key_at + 2].to_pylist() if batch.num_columns > key_at + 2 else [None] * batch.num_rows
+            for batch in sliced(batches):
+                extra = _positions(batch.column(key_at + 2)) if batch.num_columns > key_at + 2 else [None] * batch.num_rows
                 for key, text, more in zip(batch.column(key_at).to_pylist(), byte_list(batch.column(key_at + 1)), extra):
                     own = find(text, more)
                     if own is not None and len(own[0]):
@@ -176,25 +179,26 @@ def drop_repeats(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("do
         at = anchors_of(words)
         return at, rolled(words, at, ANCHOR, BASE_A), np.zeros(len(at), np.uint64)
 
-    def windows(text: bytes, repeated: list[bytes]):
+    def windows(text: bytes, repeated: np.ndarray):
         words = word_hashes(text)
-        at = candidates_of(len(words), _positions(repeated))
+        at = candidates_of(len(words), repeated)
         return at, rolled(words, at, WINDOW, BASE_A), rolled(words, at, WINDOW, BASE_B) >> np.uint64(32)
 
     def meet(posted: DataFrame, repeated: bool, name: str) -> DataFrame:
         dealt = posted.repartitionById(parts, F.col("part"))
-        own = dealt.mapInArrow(lambda batches: _collected(batches, repeated), "__key bigint, positions binary")
-        return own.groupBy("__key").agg(F.collect_list("positions").alias(name))
+        own = dealt.mapInArrow(lambda batches: _collected(batches, repeated), "__key bigint, position int")
+        return own.groupBy("__key").agg(F.collect_list("position").alias(name))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             n_words, n_removed, kept = [], [], []
             texts = byte_list(batch.column(key_at + 1))
-            for text, repeated, alone in zip(texts, batch.column(key_at + 2).to_pylist(), batch.column(key_at + 3).to_pylist()):
+            for text, repeated, alone in zip(texts, _positions(batch.column(key_at + 2)), _positions(batch.column(key_at + 3))):
                 words = text.split()
                 n = len(words)
-                if repeated:
-                    starts = np.setdiff1d(candidates_of(n, _positions(repeated)), _positions(alone), assume_unique=True)
+                if repeated is not None:
+                    starts = candidates_of(n, repeated)
+                    starts = starts if alone is None else np.setdiff1d(starts, alone, assume_unique=True)
                     gone = covered_by(n, starts)
                     words = [w for w, g in zip(words, gone.tolist()) if not g]
                 n_words.append(n)
