@@ -13,23 +13,25 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenequarry.llm.common import schema_of, whole
+from scenequarry.llm.common import schema_of, sliced, whole
 
 CHUNK, OVERLAP = 16384, 512    # characters
 MARGIN = 4                     # a cut this near the end of a chunk may depend on what follows it
-CACHED = 1 << 18               # pieces whose ids a task remembers
+CACHED = 1 << 17               # pieces whose ids a task remembers
+
+
+def ranks_of(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
 class Vocabulary:
     """The ranks of a vocabulary file, and the ids of pieces that were merged before."""
 
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         # merges the bytes of one pre-token; the texts are cut by this module
-        self.merger = tiktoken.Encoding("pieces", pat_str="(?s:.+)", mergeable_ranks=self.ranks, special_tokens={})
+        self.merger = tiktoken.Encoding("pieces", pat_str="(?s:.+)", mergeable_ranks=ranks_of(path), special_tokens={})
         self.known: dict[str, bytes] = {}
 
     def encode(self, pieces: list[str]) -> bytes:
@@ -41,9 +43,6 @@ class Vocabulary:
             known[piece] = np.array(self.merger.encode_ordinary(piece), "<u4").tobytes()
         return b"".join(map(known.__getitem__, pieces))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str, pattern: str) -> Vocabulary:
@@ -51,6 +50,11 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
+@lru_cache(maxsize=2)
+def tokens_of(path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in ranks_of(path).items()}
+
+
 def chunks_of(text: str) -> Iterator[str]:
     """Chunks of CHUNK characters, each with the OVERLAP characters that follow it."""
     for at in range(0, max(len(text), 1), CHUNK):
@@ -88,23 +92,34 @@ def stitched(pattern: regex.Pattern, text: str, cuts: list[np.ndarray]) -> list[
     return [text[a:b] for a, b in zip(ends, ends[1:])]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
+def joined_tokens(path: str, ids: list[bytes | None]) -> pa.Array:
+    token = tokens_of(path).__getitem__
+    return pa.array([b"".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in ids], pa.binary())
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "token_ids", decoded: str | None = None) -> DataFrame:
     """The columns of ``docs`` but the text, and ``ids``: its token ids as little-endian unsigned 32-bit integers.
 
+    With ``decoded`` the ids are decoded again by the same worker, into a column of that name.
+
     Texts of up to CHUNK characters are encoded where they lie. Longer ones are cut into overlapping chunks, the
     chunks are dealt out and pre-tokenised in parallel, and the chunks of a text meet again to be stitched and encoded: no
     more than one text is in a group. A null text is empty and has no ids; special tokens are plain text. Repeated
     rows and null keys are rows of their own. A column named like ``ids`` is replaced.
     """
-    keep = [c for c in docs.columns if c not in (text, ids)]
+    keep = [c for c in docs.columns if c not in (text, ids, decoded)]
+    made = [ids, *([decoded] if decoded else [])]
     given = docs.select(*keep, whole(text).alias("__text"))
-    out = schema_of(given.drop("__text"), f"`{ids}` binary")
+    out = schema_of(given.drop("__text"), *(f"`{c}` binary" for c in made))
+
+    def with_ids(batch: pa.RecordBatch, coded: list[bytes]) -> pa.RecordBatch:
+        more = [joined_tokens(path, coded)] if decoded else []
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(coded, pa.binary()), *more], [*keep, *made])
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
-        for batch in batches:
-            coded = [words.encode(words.pattern.findall(t)) for t in batch.columns[-1].to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(coded, pa.binary())], [*keep, ids])
+        for batch in sliced(batches):
+            yield with_ids(batch, [words.encode(words.pattern.findall(t)) for t in batch.columns[-1].to_pylist()])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,8 +131,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
                 yield pa.RecordBatch.from_arrays([*same, *made], [*keep, "__key", "__k", "__n", "__chunk"])
 
     def pretokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rule = vocabulary(path, pattern).pattern
-        for batch in batches:
+        rule = regex.compile(pattern)
+        for batch in sliced(batches):
             *same, k, n, chunk = batch.columns
             texts = chunk.to_pylist()
             cuts = [cuts_of(rule, t, i + 1 == m).tobytes() for t, i, m in zip(texts, k.to_pylist(), n.to_pylist())]
@@ -126,12 +141,12 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
 
     def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(path, pattern)
-        for batch in batches:
+        for batch in sliced(batches):
             coded = []
             for parts in batch.columns[-1].to_pylist():
                 cuts = [np.frombuffer(p["cuts"], np.int32) for p in parts]
                 coded.append(words.encode(stitched(words.pattern, "".join(p["chunk"] for p in parts), cuts)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(coded, pa.binary())], [*keep, ids])
+            yield with_ids(batch, coded)
 
     long_text = F.length("__text") > CHUNK
     near = given.where(~long_text).mapInArrow(short, out)
@@ -145,16 +160,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     return near.unionByName(joined.mapInArrow(stitch, out))
 
 
-def decode(coded: DataFrame, path: str, pattern: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
+def decode(coded: DataFrame, path: str, ids: str = "token_ids", to: str = "decoded") -> DataFrame:
     """``coded`` with ``to``: the bytes of its ids in order, joined raw; ids that cut a character are fine. Null ids are none."""
     names = [c for c in coded.columns if c != to]
     at = names.index(ids)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path, pattern)
-        for batch in batches:
-            texts = [words.decode(x or b"") for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], [*names, to])
+        for batch in sliced(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, joined_tokens(path, batch.column(at).to_pylist())], [*names, to])
 
     given = coded.select(*names)
     return given.mapInArrow(join, schema_of(given, f"`{to}` binary"))
@@ -163,7 +176,7 @@ def decode(coded: DataFrame, path: str, pattern: str, ids: str = "token_ids", to
 def digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """The columns of ``docs`` but the text, with n_tokens, ids_sha256 and decoded_sha256 (lowercase hex), from ids and decoded bytes."""
     made = ("n_tokens", "ids_sha256", "decoded_sha256")
-    coded = decode(encode(docs.select(*(c for c in docs.columns if c not in made)), path, pattern, text), path, pattern)
+    coded = encode(docs.select(*(c for c in docs.columns if c not in made)), path, pattern, text, decoded="decoded")
     return coded.select(
         *(c for c in coded.columns if c not in ("token_ids", "decoded")), (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ SPACE_BYTES = SPACES.encode()
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 
+SLICE_ROWS = 500       # texts of an Arrow batch worked on at once
 ROW_BITS = 33          # monotonically_increasing_id keeps the row of a partition in its low 33 bits
 
 
@@ -39,6 +42,13 @@ def hex64(value: Column) -> Column:
     return F.lpad(F.lower(F.hex(value)), 16, "0")
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of SLICE_ROWS rows, so that a worker holds few texts as Python objects beside the batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def byte_list(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a text column of an Arrow batch, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

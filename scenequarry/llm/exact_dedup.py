@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenequarry.llm.common import SPACE_BYTES, byte_list, schema_of, whole, without_spaces
+from scenequarry.llm.common import SPACE_BYTES, byte_list, schema_of, sliced, whole, without_spaces
 from scenequarry.session import cut_lineage
 
 PREFIX = 16            # leading characters of the normalised text in the sort key
@@ -21,7 +21,7 @@ def _runs(text_at: int, keep: int):
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, row, last, digest = TaskContext.get().partitionId(), 0, None, ""
-        for batch in batches:
+        for batch in sliced(batches):
             digests, leads = [], []
             for text in byte_list(batch.column(text_at)):
                 normal = text.translate(None, SPACE_BYTES)

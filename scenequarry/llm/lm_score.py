@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenequarry.llm.common import byte_list
+from scenequarry.llm.common import byte_list, sliced
 
 # The shared vocabulary: every word of the corpus has one of 2^20 slots and every pair of words one of 2^22 cells, as
 # hashed n-gram models for data selection have. So the models' size is fixed, whatever the corpus; their counts are of all documents.
@@ -74,7 +74,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The counts of a partition's texts, (id, text, in target): sparse slices of the table."""
     counts = [np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64)]
     seen = False
-    for batch in batches:
+    for batch in sliced(batches):
         for text, chosen in zip(byte_list(batch.column(1)), batch.column(2).to_pylist()):
             pair, word, _ = cells_of(text)
             for into in counts if chosen else counts[1:]:
@@ -131,7 +131,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
     models = docs.sparkSession.sparkContext.broadcast(fit(marked))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [models.value.losses(t, c) for t, c in zip(byte_list(batch.column(1)), batch.column(2).to_pylist())]
             n, own, other = zip(*rows) if rows else ((), (), ())
             made = [pa.array(n, pa.int64()), pa.array(own, pa.float64()), pa.array(other, pa.float64())]

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scenequarry.llm.common import byte_list, hex64, schema_of
+from scenequarry.llm.common import byte_list, hex64, schema_of, sliced
 from scenequarry.operators.components import connected_components
 from scenequarry.session import cut_lineage
 
@@ -44,7 +44,7 @@ def fingerprints(docs: DataFrame, text: str = "text", keep: Sequence[str] = ("do
     given = docs.select(*keep, F.col(text).alias("__text"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             marks = [fingerprint(t) for t in byte_list(batch.columns[-1])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(marks, pa.int64())], [*batch.schema.names[:-1], "__fp"])
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenequarry.llm.common import byte_list, schema_of
+from scenequarry.llm.common import byte_list, schema_of, sliced
 
 POSITIVE_ROWS, UNLABELLED_ROWS = 3000, 9000    # bound of the sample of labelled rows that the fit reads
 MIN_ROWS, MIN_SHARE = 4, 0.02                  # a word takes part if in so many and such a share of the positive rows,
@@ -138,7 +138,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(sample, "__id")
 
     def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:                                                  # whole texts, reduced to their words
+        for batch in sliced(batches):                                          # whole texts, reduced to their words
             sets = [b" ".join(sorted(set(t.translate(PLAIN).split()))) for t in byte_list(batch.columns[1])]
             yield pa.RecordBatch.from_arrays([batch.columns[0], batch.columns[2], pa.array(sets, pa.binary())], ["id", "positive", "words"])
 
@@ -157,7 +157,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)                     # words of the bounded sample
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             scores = [sent.value.score(t) for t in byte_list(batch.columns[-1])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*batch.schema.names[:-1], to])
 

@@ -188,15 +188,15 @@ def test_fingerprint_is_homomorphic(spark):
 def test_byte_bpe(messy, nothing, spark):
     path, pattern = BPE
     words = byte_bpe.vocabulary(path, pattern)
-    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=words.ranks, special_tokens={})
-    got = byte_bpe.decode(byte_bpe.encode(messy.select("doc_id", "text", "size"), path, pattern), path, pattern).collect()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.ranks_of(path), special_tokens={})
+    got = byte_bpe.decode(byte_bpe.encode(messy.select("doc_id", "text", "size"), path, pattern), path).collect()
     def ids(text):
         return np.array(library.encode_ordinary(text or ""), "<u4").tobytes()
 
     assert Counter((r.doc_id, bytes(r.token_ids), bytes(r.decoded)) for r in got) == Counter((d, ids(t), (t or "").encode()) for d, t, *_ in ROWS)
     assert byte_bpe.digests(nothing, path, pattern).count() == 0
     for piece in ("hello", "漢字かな", "xqzzyyqqx", "a" * 40):
-        assert np.frombuffer(words.encode([piece]), "<u4").tolist() == brute.bpe(piece.encode(), words.ranks)
+        assert np.frombuffer(words.encode([piece]), "<u4").tolist() == brute.bpe(piece.encode(), byte_bpe.ranks_of(path))
 
 
 def test_stitching_at_any_cut(monkeypatch):

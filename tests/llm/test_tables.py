@@ -93,7 +93,7 @@ def test_pipeline_against_plain_python(spark):
     rows = [r for r in rows if near[r.doc_id] == r.doc_id]
     copies = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(rows, docs.schema)).collect()}
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.vocabulary(path, pattern).ranks, special_tokens={})
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.ranks_of(path), special_tokens={})
     want = Counter()
     for r in rows:
         ids = library.encode_ordinary(r.text)
