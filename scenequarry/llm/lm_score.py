@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenequarry.llm.common import byte_list, sliced
+from scenequarry.session import cut_lineage
 
 # The shared vocabulary: every word of the corpus has one of 2^20 slots and every pair of words one of 2^22 cells, as
 # hashed n-gram models for data selection have. So the models' size is fixed, whatever the corpus; their counts are of all documents.
@@ -126,8 +127,9 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
     target model is uniform. An empty table gives an empty one, and other columns do not matter.
     """
     chosen = target.select(F.col(target.columns[0]).alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("chosen", F.lit(True))
-    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(chosen, "doc_id", "left")
-    marked = given.select("doc_id", "text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(chosen.hint("merge"), "doc_id", "left")
+    # the list of targets grows with the corpus, so it is never broadcast; both passes read the joined rows
+    marked = cut_lineage(given.select("doc_id", "text", F.coalesce("chosen", F.lit(False)).alias("chosen")))
     models = docs.sparkSession.sparkContext.broadcast(fit(marked))
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
