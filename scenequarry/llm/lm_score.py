@@ -7,121 +7,167 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenequarry.llm.common import byte_list, sliced
+from scenequarry.llm.common import ROW_BITS, byte_list, schema_of, sliced
 from scenequarry.session import cut_lineage
 
-# The shared vocabulary: every word of the corpus has one of 2^20 slots and every pair of words one of 2^22 cells, as
-# hashed n-gram models for data selection have. So the models' size is fixed, whatever the corpus; their counts are of all documents.
-WORD_BITS, PAIR_BITS = 20, 22
-PARTS = 64                       # slices of the count tables, each added up in one task
+# Words and pairs of words are counted each for itself, known by 128 bits. No table has a size of its own: documents are put
+# in blocks, a block asks for its distinct n-grams, and the n-grams are dealt to as many parts as the corpus needs.
+WORD_BITS = 20                   # add-one smoothing of the word model reckons with 2^20 word forms; no table has this size
 SMOOTHING = 50.0                 # pseudo-counts of the word model in the pair model
 MIX = np.uint64(0x9E3779B97F4A7C15)
-SIZE = (1 << PAIR_BITS) + (1 << WORD_BITS)      # cells of pairs, then slots of words
-SLICE = SIZE // PARTS
+BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 20_000       # a block ends with the text that passes one of these
+PART_BYTES = 16 << 20            # text per part of the n-grams
 
 
-def cells_of(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per word of the text: the pair's cell, the word's slot and the slot of the word before (0 at the start), as table positions."""
-    words = text.lower().split()
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    before = np.r_[np.zeros(min(1, len(words)), np.uint64), hashes[:-1]]
-    pairs = ((before * MIX) ^ hashes) * MIX >> np.uint64(64 - PAIR_BITS)
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which the keys (rows of two numbers) are sorted, and where a new one starts in it."""
+    order = np.argsort(keys[:, 0])
+    for again in (True, False):
+        rows = keys[order]
+        first, second = rows[1:, 0] != rows[:-1, 0], rows[1:, 1] != rows[:-1, 1]
+        if again and (~first & second).any():           # equal in the first number only
+            order = np.lexsort((keys[:, 1], keys[:, 0]))
+        else:
+            break
+    return order, np.flatnonzero(np.r_[np.ones(min(1, len(keys)), bool), first | second])
 
-    def slot(h):
-        return (h >> np.uint64(64 - WORD_BITS)).astype(np.int64) + (1 << PAIR_BITS)
 
-    return pairs.astype(np.int64), slot(hashes), slot(before)
+def _places(order: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Per key its place among the distinct ones."""
+    places = np.empty(len(order), np.int64)
+    places[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(order)]))
+    return places
 
 
 @dataclass
-class Models:
-    """Counts of the target and of the background, and their numbers of words."""
-
-    target: np.ndarray
-    background: np.ndarray
-    n_target: float
-    n_background: float
-
-    def losses(self, text: bytes, in_target: bool) -> tuple[int, float, float]:
-        """(words, mean loss per word under the target model, the same under the background); the text's own counts are left out.
-
-        The background counts are scaled to the target's number of words, so both models are smoothed alike.
-        """
-        pair, word, before = cells_of(text)
-        n = len(pair)
-        if not n:
-            return 0, 0.0, 0.0
-        own = []
-        for cells in (pair, word, before):
-            _, back, counts = np.unique(cells, return_inverse=True, return_counts=True)
-            own.append(counts[back])
-        scale = min(1.0, max(self.n_target, 1.0) / max(self.n_background, 1.0))
-        means = []
-        for counts, total, rate, out in ((self.target, self.n_target, 1.0, in_target), (self.background, self.n_background, scale, True)):
-            less = [x if out else 0 for x in own]
-            c2, c1, ch = (np.maximum(counts[cells] - x, 0) * rate for cells, x in zip((pair, word, before), less))
-            mass = max(total - (n if out else 0), 0) * rate
-            unigram = (c1 + 1.0) / (mass + (1 << WORD_BITS))
-            # a slot's count is that of its words wherever they stand, at the end too: at least the sum of its pairs
-            means.append(float(-np.log((c2 + SMOOTHING * unigram) / (np.maximum(ch, c2) + SMOOTHING)).mean()))
-        return n, means[0], means[1]
+class Block:
+    """The n-grams of some texts: ``keys`` holds the pair (with the word before) of each word, then the words themselves."""
+
+    keys: np.ndarray
+    sizes: np.ndarray        # words per text
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Block:
+        words = [text.lower().split() for text in texts]
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for some in words for w in some), np.uint64).reshape(-1, 2)
+        before = np.zeros_like(hashes)
+        before[1:] = hashes[:-1]
+        before[cls.heads(sizes)] = 0
+        return cls(np.concatenate([((before * MIX) ^ hashes) * MIX, hashes]), sizes)
+
+    @staticmethod
+    def heads(sizes: np.ndarray) -> np.ndarray:
+        """The places of the texts' first words."""
+        return (np.cumsum(sizes) - sizes)[sizes > 0]
+
+
+@dataclass
+class Totals:
+    """Numbers of words of target and background, and the number of parts of the n-grams."""
+
+    target: int
+    background: int
+    parts: int
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The counts of a partition's texts, (id, text, in target): sparse slices of the table."""
-    counts = [np.zeros(SIZE, np.int64), np.zeros(SIZE, np.int64)]
-    seen = False
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text, in target) with their block and number of words."""
+    block, n_bytes, n_rows = TaskContext.get().partitionId() << ROW_BITS, 0, 0
     for batch in sliced(batches):
-        for text, chosen in zip(byte_list(batch.column(1)), batch.column(2).to_pylist()):
-            pair, word, _ = cells_of(text)
-            for into in counts if chosen else counts[1:]:
-                np.add.at(into, pair, 1)
-                np.add.at(into, word, 1)
-            seen = True
-    if not seen:
-        return
-    target, background = counts
-    for part in range(PARTS):
-        own = slice(part * SLICE, (part + 1) * SLICE)
-        at = np.flatnonzero(background[own])
-        if len(at):
-            rows = ([part], [at.astype(np.int32).tobytes()], [target[own][at].tobytes()], [background[own][at].tobytes()])
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int32(), *(pa.binary(),) * 3))], ["part", "at", "target", "background"])
-
-
-def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for row in batch.to_pylist():
-            total = sums.setdefault(row["part"], np.zeros((2, SLICE), np.int64))
-            at = np.frombuffer(row["at"], np.int32)
-            for k, name in enumerate(("target", "background")):
-                total[k][at] += np.frombuffer(row[name], np.int64)
-    if sums:
-        tables = [pa.array([x[k].astype(np.float32).tobytes() for x in sums.values()], pa.binary()) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), *tables], ["part", "target", "background"])
-
-
-def fit(marked: DataFrame) -> Models:
-    """Models from all rows of ``marked`` (id, text, in target). Only the tables of fixed size come back: 2 x 4 bytes a cell."""
-    counted = marked.mapInArrow(_count, "part int, at binary, target binary, background binary")
-    slices = counted.repartitionById(PARTS, F.col("part")).mapInArrow(_add_up, "part int, target binary, background binary").collect()
-    tables = np.zeros((2, SIZE), np.float32)
-    for row in slices:
-        for k, name in enumerate(("target", "background")):
-            tables[k, row["part"] * SLICE : (row["part"] + 1) * SLICE] = np.frombuffer(row[name], np.float32)
-    totals = tables[:, 1 << PAIR_BITS :].sum(axis=1, dtype=np.float64)
-    return Models(tables[0], tables[1], float(totals[0]), float(totals[1]))
+        blocks, words = [], []
+        for text in byte_list(batch.column(1)):
+            blocks.append(block)
+            words.append(len(text.split()))
+            n_bytes, n_rows = n_bytes + len(text), n_rows + 1
+            if n_bytes >= BLOCK_BYTES or n_rows >= BLOCK_ROWS:
+                block, n_bytes, n_rows = block + 1, 0, 0
+        more = [pa.array(blocks, pa.int64()), pa.array(words, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "block", "n_tokens"])
+
+
+def _asked(parts: int):
+    """Per block and part one row: the block's distinct n-grams there, sorted, with their counts in its texts."""
+
+    def ask(docs: pa.Table) -> pa.Table:
+        block = Block.of(byte_list(docs["text"].combine_chunks()))
+        order, starts = _distinct(block.keys)
+        chosen = np.tile(np.repeat(docs["chosen"].to_numpy(zero_copy_only=False).astype(np.int32), block.sizes), 2)
+        keys = block.keys[order[starts]]
+        counts = np.diff(np.r_[starts, len(order)]).astype(np.int32)
+        target = np.add.reduceat(chosen[order], starts) if len(starts) else counts
+        part = ((keys[:, 0] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)      # grows with the key: parts are slices
+        rows = []
+        for p, at in zip(*np.unique(part, return_index=True)):
+            own = slice(at, np.searchsorted(part, p, "right"))
+            rows.append((int(p), keys[own].tobytes(), target[own].astype(np.int32).tobytes(), counts[own].tobytes()))
+        columns = zip(*rows) if rows else ((), (), (), ())
+        made = [pa.array(x, t) for x, t in zip(columns, (pa.int64(), *(pa.binary(),) * 3))]
+        return pa.Table.from_arrays([pa.array([docs["block"][0].as_py()] * len(rows), pa.int64()), *made], ["block", "part", "keys", "target", "background"])
+
+    return ask
+
+
+def _answered(asked: pa.Table) -> pa.Table:
+    """Per row of a part's requests the counts of its n-grams in the corpus, in the same order."""
+    keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in asked["keys"]]).reshape(-1, 2)
+    ends = np.cumsum(pc.binary_length(asked["keys"]).to_numpy())[:-1] // 16
+    order, starts = _distinct(keys)
+    places = _places(order, starts)
+    answers = []
+    for name in ("target", "background"):
+        counts = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in asked[name]]).astype(np.int64)
+        total = np.add.reduceat(counts[order], starts)[places]
+        answers.append(pa.array([x.tobytes() for x in np.split(total, ends)], pa.binary()))
+    return pa.Table.from_arrays([asked["block"], asked["part"], *answers], ["block", "part", "target", "background"])
+
+
+def _rated(totals: Totals):
+    """The losses of a block's documents by the counts that came back."""
+
+    def rate(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        block = Block.of(byte_list(docs["text"].combine_chunks()))
+        sizes, n = block.sizes, int(block.sizes.sum())
+        heads, doc = Block.heads(sizes), np.repeat(np.arange(len(sizes)), sizes)
+        order, starts = _distinct(block.keys)
+        places = _places(order, starts)
+        answers = answers.sort_by("part")
+        # how often the document itself has the n-gram
+        _, back, own = np.unique(np.tile(doc, 2) * max(len(starts), 1) + places, return_inverse=True, return_counts=True)
+        own = own[back]
+        chosen = docs["chosen"].to_numpy(zero_copy_only=False).astype(bool)[doc]
+        scale = min(1.0, max(totals.target, 1) / max(totals.background, 1))
+        means = []
+        for name, total, rate, out in (("target", totals.target, 1.0, chosen), ("background", totals.background, scale, np.ones(n, bool))):
+            counts = np.frombuffer(b"".join(answers[name].to_pylist()), np.int64)
+            if len(counts) != len(starts):
+                raise ValueError(f"{len(starts)} n-grams asked for, {len(counts)} counts came back")
+            known = (counts[places] - own * np.tile(out, 2)) * rate
+            c2, c1 = known[:n], known[n:]
+            ch = np.r_[np.zeros(min(1, n)), c1[:-1]]
+            ch[heads] = 0.0
+            mass = (total - sizes[doc] * out) * rate
+            unigram = (c1 + 1.0) / (mass + (1 << WORD_BITS))
+            # a word's count is of wherever it stands, at the end too: at least the sum of its pairs; the start of a text has none
+            losses = -np.log((c2 + SMOOTHING * unigram) / (np.maximum(ch, c2) + SMOOTHING))
+            means.append(np.bincount(doc, losses, len(sizes)) / np.maximum(sizes, 1))
+        made = [pa.array(sizes), *(pa.array(m, pa.float64()) for m in means)]
+        return pa.Table.from_arrays([docs["doc_id"], *made], ["doc_id", "n_tokens", "target_loss", "background_loss"])
+
+    return rate
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, target_loss, background_loss, score (background less target, per word; higher: more like the target).
 
     ``target`` lists the ids (its first column) of the documents that the target model learns from; the background model learns from all.
+    The background counts are scaled to the target's number of words, so both models are smoothed alike.
     A document's own counts are left out when it is scored. Null counts as empty; texts without words have losses and score 0.
     A null id is never a target. Repeated ids in ``target`` count once, repeated documents are rows of their own. Without targets the
     target model is uniform. An empty table gives an empty one, and other columns do not matter.
@@ -129,18 +175,19 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "
     chosen = target.select(F.col(target.columns[0]).alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("chosen", F.lit(True))
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(chosen.hint("merge"), "doc_id", "left")
     # the list of targets grows with the corpus, so it is never broadcast; both passes read the joined rows
-    marked = cut_lineage(given.select("doc_id", "text", F.coalesce("chosen", F.lit(False)).alias("chosen")))
-    models = docs.sparkSession.sparkContext.broadcast(fit(marked))
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            rows = [models.value.losses(t, c) for t, c in zip(byte_list(batch.column(1)), batch.column(2).to_pylist())]
-            n, own, other = zip(*rows) if rows else ((), (), ())
-            made = [pa.array(n, pa.int64()), pa.array(own, pa.float64()), pa.array(other, pa.float64())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "n_tokens", "target_loss", "background_loss"])
-
+    given = given.select("doc_id", "text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+    marked = cut_lineage(given.mapInArrow(_blocks, schema_of(given, "block bigint", "n_tokens bigint")))
+    words = F.coalesce(F.sum("n_tokens"), F.lit(0))
+    sums = marked.agg(F.coalesce(F.sum(F.when(F.col("chosen"), F.col("n_tokens"))), F.lit(0)), words, F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    totals = Totals(sums[0], sums[1], max(1, -(-sums[2] // PART_BYTES)))
+
+    # both passes group the same columns by block, so the texts are dealt out once
+    blocks = marked.select("block", "doc_id", "text", "chosen")
+    asked = blocks.groupBy("block").applyInArrow(_asked(totals.parts), "block bigint, part bigint, keys binary, target binary, background binary")
+    answers = asked.groupBy("part").applyInArrow(_answered, "block bigint, part bigint, target binary, background binary")
     kind = docs.schema[doc_id].dataType.simpleString()
-    scored = marked.mapInArrow(rate, f"doc_id {kind}, n_tokens bigint, target_loss double, background_loss double")
+    losses = f"doc_id {kind}, n_tokens bigint, target_loss double, background_loss double"
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_rated(totals), losses)
     return scored.withColumn("score", F.col("background_loss") - F.col("target_loss"))
 
 

@@ -256,6 +256,38 @@ def test_lm_score(spark, messy, nothing):
     assert lm_score.cross_entropy_difference(messy, target.limit(0)).count() == len(ROWS)
 
 
+def test_lm_score_counts_every_ngram_for_itself(spark):
+    # so many distinct words and pairs that a table of 2^22 cells would mix up some of each text, in several blocks
+    rng = np.random.default_rng(7)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 1 << 40, 2000)) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10_000, "a b a b a"), (10_001, "b a b c"), (10_002, "a b a b a"), (10_003, ""), (10_004, None), (None, "c a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    target = docs.where("doc_id % 2 = 0").select("doc_id")
+    got = {r.doc_id: r for r in lm_score.cross_entropy_difference(docs, target).collect()}
+    assert len(got) == len(rows)
+    assert all(r.n_tokens == len((t or "").split()) for d, t in rows for r in [got[d]])
+    words, pairs, n = (Counter(), Counter()), (Counter(), Counter()), [0, 0]
+    for d, t in rows:
+        w = (t or "").split()
+        for k in (0, 1) if d is not None and d % 2 == 0 else (1,):
+            words[k].update(w)
+            pairs[k].update(zip([None, *w], w))
+            n[k] += len(w)
+    for d, t in [*rows[:3], *rows[300:]]:
+        w = (t or "").split()
+        own, own2 = Counter(w), Counter(zip([None, *w], w))
+        for k, name in enumerate(("target_loss", "background_loss")):
+            out = k == 1 or (d is not None and d % 2 == 0)
+            rate = 1.0 if k == 0 else n[0] / n[1]
+            loss = 0.0
+            for before, word in zip([None, *w], w):
+                c2 = (pairs[k][before, word] - out * own2[before, word]) * rate
+                c1, ch = ((words[k][x] - out * own[x]) * rate for x in (word, before))
+                uni = (c1 + 1) / ((n[k] - out * len(w)) * rate + (1 << lm_score.WORD_BITS))
+                loss -= np.log((c2 + lm_score.SMOOTHING * uni) / (max(ch, c2) + lm_score.SMOOTHING))
+            assert got[d][name] == pytest.approx(loss / max(len(w), 1), rel=1e-9)
+
+
 @needs_tables
 @pytest.mark.parametrize("name", ["op1_mixing", "op2_exact_dedup", "op8_url_filter"])
 def test_queries_match_sql(spark, name):
