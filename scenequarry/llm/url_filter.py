@@ -12,7 +12,7 @@ from scenequarry.session import cut_lineage
 # (verdict, host, path): the rules of the query.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-DEPTH = 4                          # levels of the tree below the host; deeper segments are one wildcard
+DEPTH = 4                          # levels below the host that every path is smoothed over; deeper paths over all of theirs
 FANOUT, REPEATS = 8, 2             # a node of FANOUT branches or more, seen fewer than REPEATS times each, has a variable segment
 ALIKE = 4                          # square of the standard errors within which a branch is like its parent
 PRIOR_WEIGHT, BLOCK_FROM = 4.0, 0.5
@@ -39,50 +39,55 @@ def by_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return choice
 
 
-def segments(path: Column) -> list[Column]:
-    """The first DEPTH segments, numbers and long hex strings as *, missing ones empty; a deeper path ends in ** at the last level."""
+def segments(path: Column) -> Column:
+    """All segments of the path, numbers and long hex strings as *."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    named = F.transform(parts, lambda s: F.when(s.rlike(VARIABLE), "*").otherwise(s))
-    levels = [F.coalesce(F.get(named, F.lit(i)), F.lit("")) for i in range(DEPTH)]
-    return [*levels[:-1], F.when(F.size(parts) > DEPTH, "**").otherwise(levels[-1])]
-
-
-def _generalised(nodes: DataFrame) -> DataFrame:
-    """Replaces the segments below a node by * where it has many branches that hardly repeat, level by level."""
-    for d in range(1, DEPTH + 1):
-        parent = ["host", *(f"t{i}" for i in range(1, d))]
-        branches = nodes.where(F.col(f"t{d}") != "").groupBy(*parent, f"t{d}").agg(F.sum("n").alias("n"))
-        wide = branches.groupBy(*parent).agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("n"))
-        wide = wide.where((F.col("kids") >= FANOUT) & (F.col("n") < REPEATS * F.col("kids"))).select(*parent, F.lit(True).alias("wide"))
-        nodes = nodes.join(wide, parent, "left").withColumn(f"t{d}", F.when(F.col("wide") & (F.col(f"t{d}") != ""), "*").otherwise(F.col(f"t{d}"))).drop("wide")
+    return F.transform(parts, lambda s: F.when(s.rlike(VARIABLE), "*").otherwise(s))
+
+
+def _segment(names: str, d: int) -> Column:
+    """The d-th segment, from 1; empty behind the end."""
+    return F.coalesce(F.get(names, F.lit(d - 1)), F.lit(""))
+
+
+def _generalised(nodes: DataFrame, deepest: int) -> DataFrame:
+    """Replaces the segments (array t) below a node by * where it has many branches that hardly repeat, level by level."""
+    for d in range(1, deepest + 1):
+        above, rest = F.slice("t", 1, d - 1), F.slice("t", F.lit(d + 1), F.greatest(F.size("t") - d, F.lit(0)))
+        nodes = nodes.withColumn("above", above)
+        branches = nodes.where(F.size("t") >= d).groupBy("host", "above", _segment("t", d).alias("name")).agg(F.sum("n").alias("n"))
+        wide = branches.groupBy("host", "above").agg(F.count(F.lit(1)).alias("kids"), F.sum("n").alias("n"))
+        wide = wide.where((F.col("kids") >= FANOUT) & (F.col("n") < REPEATS * F.col("kids"))).select("host", "above", F.lit(True).alias("wide"))
+        replaced = F.when(F.col("wide") & (F.size("t") >= d), F.concat("above", F.array(F.lit("*")), rest)).otherwise(F.col("t"))
+        nodes = nodes.join(wide, ["host", "above"], "left").withColumn("t", replaced).drop("wide", "above")
         nodes = cut_lineage(nodes)                       # each level reads the one before several times
     return nodes
 
 
-def _judged(nodes: DataFrame) -> DataFrame:
+def _judged(nodes: DataFrame, deepest: int) -> DataFrame:
     """``nodes`` with ``purity``: the smoothed share of blocked urls, from the whole table down to the merged branch.
 
     Branches whose share does not differ from their parent's are merged into one, with the unlabelled ones; each level is smoothed toward
-    the level above.
+    the level above, down to the path's last or to DEPTH of them if it has fewer.
     """
     whole = nodes.agg(F.coalesce(F.sum("labelled"), F.lit(0)).alias("a_labelled"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("a_blocked"))
     labelled, blocked = whole.first()
     nodes = nodes.withColumn("purity", F.lit((blocked + PRIOR_WEIGHT * 0.5) / (labelled + PRIOR_WEIGHT)))
-    keys: list[str] = []
-    for d in range(DEPTH + 1):
-        name = "host" if d == 0 else f"t{d}"
+    nodes = nodes.withColumn("merged", F.array().cast("array<string>"))
+    for d in range(max(DEPTH, deepest) + 1):
         if d:
-            top = nodes.groupBy(*keys).agg(F.sum("labelled").alias("p_n"), F.sum("blocked").alias("p_b"))
-            own = nodes.groupBy(*keys, name).agg(F.sum("labelled").alias("c_n"), F.sum("blocked").alias("c_b")).join(top, keys)
+            nodes = nodes.withColumn("name", _segment("t", d))          # "" behind a path's end, a branch of its own
+            top = nodes.groupBy("host", "merged").agg(F.sum("labelled").alias("p_n"), F.sum("blocked").alias("p_b"))
+            own = nodes.groupBy("host", "merged", "name").agg(F.sum("labelled").alias("c_n"), F.sum("blocked").alias("c_b")).join(top, ["host", "merged"])
             n, b, big_n, big_b = (F.col(c).cast("double") for c in ("c_n", "c_b", "p_n", "p_b"))
             gap = b * big_n - n * big_b
             alike = gap * gap <= ALIKE * n * big_b * (big_n - big_b)
-            own = own.select(*keys, name, F.when(alike & (F.col(name) != ""), "+").otherwise(F.col(name)).alias("merged"))
-            nodes = nodes.join(own, [*keys, name]).drop(name).withColumnRenamed("merged", name)
-        keys = [*keys, name]
-        sums = nodes.groupBy(*keys).agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
+            own = own.select("host", "merged", "name", F.when(alike & (F.col("name") != ""), "+").otherwise(F.col("name")).alias("branch"))
+            nodes = nodes.join(own, ["host", "merged", "name"]).withColumn("merged", F.concat("merged", F.array("branch"))).drop("name", "branch")
+        sums = nodes.groupBy("host", "merged").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b"))
         smoothed = (F.col("b") + PRIOR_WEIGHT * F.col("purity")) / (F.col("l") + PRIOR_WEIGHT)
-        nodes = nodes.join(sums, keys).withColumn("purity", smoothed).drop("l", "b")
+        reached = F.greatest(F.size("t"), F.lit(DEPTH)) >= d
+        nodes = nodes.join(sums, ["host", "merged"]).withColumn("purity", F.when(reached, smoothed).otherwise(F.col("purity"))).drop("l", "b")
         nodes = cut_lineage(nodes)
     return nodes
 
@@ -105,19 +110,17 @@ def judge(
     given = given.withColumn("choice", by_rule(F.col("host"), F.col("path"), rules))
     if label is None:
         given = given.withColumn("label", F.when(F.col("choice").isNotNull(), (F.col("choice.verdict") == "block").cast("int")))
-    split = given.select("*", *(s.alias(f"o{i + 1}") for i, s in enumerate(segments(F.col("path")))))
-    original = [f"o{i}" for i in range(1, DEPTH + 1)]
-    nodes = split.groupBy("host", *original).agg(
+    split = given.withColumn("o", segments(F.col("path")))
+    nodes = split.groupBy("host", "o").agg(
         F.count(F.lit(1)).alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("blocked")
     )
-    named = _generalised(cut_lineage(nodes.select("*", *(F.col(o).alias(o.replace("o", "t")) for o in original))))
-    templates = [f"t{i}" for i in range(1, DEPTH + 1)]
-    tree = named.groupBy("host", *templates).agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    kept = [f"k{i}" for i in range(1, DEPTH + 1)]
-    judged = _judged(cut_lineage(tree.select("*", *(F.col(t).alias(k) for t, k in zip(templates, kept)))))
-    judged = judged.select("host", *(F.col(k).alias(t) for t, k in zip(templates, kept)), "purity")
-    purities = cut_lineage(named.join(judged, ["host", *templates]).select("host", *original, "purity"))
+    nodes = cut_lineage(nodes.withColumn("t", F.col("o")))
+    deepest = nodes.agg(F.max(F.size("o"))).first()[0] or 0
+    named = _generalised(nodes, deepest)
+    tree = named.groupBy("host", "t").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    judged = _judged(cut_lineage(tree), deepest).select("host", "t", "purity")
+    purities = cut_lineage(named.join(judged, ["host", "t"]).select("host", "o", "purity"))
     method = F.when(F.col("purity") >= BLOCK_FROM, "block").otherwise("allow")
-    return split.join(purities, ["host", *original]).select(
+    return split.join(purities, ["host", "o"]).select(
         "page_id", "host", "path", F.col("choice.rule").alias("rule"), F.coalesce("choice.verdict", method).alias("verdict"), "purity",
     )

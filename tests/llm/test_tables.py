@@ -78,6 +78,17 @@ def test_template_tree_learns_purity(spark):
     assert all(r.verdict == ("block" if r.page_id % 3 == 0 else "allow") for r in got)
 
 
+def test_template_tree_tells_deep_paths_apart(spark):
+    # the urls differ in their sixth segment only, and some end before it
+    kinds = ("ads", "news")
+    rows = [(i, f"http://h.io/a/b/c/d/e/{kinds[i % 2]}/x{'/y' * (i % 5)}", None if i % 10 > 7 else int(i % 2 == 0)) for i in range(400)]
+    rows += [(400 + i, "http://h.io/a/b/c/d/e", 0) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, label int")
+    got = url_filter.judge(pages, rules=(), label=pages["label"]).collect()
+    assert len(got) == 440
+    assert all(r.verdict == ("block" if r.page_id < 400 and r.page_id % 2 == 0 else "allow") for r in got)
+
+
 @needs_tables
 def test_pipeline_against_plain_python(spark):
     """Every stage redone in Python over the small table; the classifier's model and the mix's order are the operators' own."""
