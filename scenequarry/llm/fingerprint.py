@@ -10,16 +10,16 @@ from scenequarry.session import cut_lineage
 
 SIGNS = 64             # lanes of +1 and -1: their sums tell how much two multisets share
 SUMS = 4               # lanes of uniform 32-bit numbers: their sums tell multisets apart
-SIGN_BITS, SUM_BITS = 16, 32   # the first lanes are kept modulo 2^16, the others modulo 2^32
+LANE_BITS = 32         # all lanes are kept modulo 2^32
 
 # A paragraph ends with its line or sentence, or after a word of eight letters or more, so that texts of a single line have several.
 PARAGRAPH_END = r"(?<=[.!?;:,\n])\s*|(?<=\p{L}{8})\s+|\n+"
 
 
-def _wrapped(lane: Column, bits: int) -> Column:
-    """The lane modulo 2^bits, as a signed int."""
-    half = 1 << (bits - 1)
-    return ((lane + half).bitwiseAND((1 << bits) - 1) - half).cast("int")
+def _wrapped(lane: Column) -> Column:
+    """The lane modulo 2^LANE_BITS, as a signed int."""
+    half = 1 << (LANE_BITS - 1)
+    return ((lane + half).bitwiseAND((1 << LANE_BITS) - 1) - half).cast("int")
 
 
 def lanes(texts: DataFrame, key: list[str], text: str) -> DataFrame:
@@ -45,24 +45,20 @@ def lanes(texts: DataFrame, key: list[str], text: str) -> DataFrame:
         total(F.col("__b").bitwiseAND(low), "__u2"), total(F.shiftrightunsigned("__b", 32), "__u3"),
     )
     ones = [F.col(f"__s{j}").bitwiseAND(low) for j in range(half)] + [F.shiftrightunsigned(f"__s{j}", 32) for j in range(half)]
-    signs = [_wrapped(2 * c - F.col("__n"), SIGN_BITS) for c in ones]
-    return sums.select(*key, F.array(*signs, *(_wrapped(F.col(f"__u{j}"), SUM_BITS) for j in range(SUMS))).alias("lanes"))
+    signs = [_wrapped(2 * c - F.col("__n")) for c in ones]
+    return sums.select(*key, F.array(*signs, *(_wrapped(F.col(f"__u{j}")) for j in range(SUMS))).alias("lanes"))
 
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """Lanes of two multisets together, or with ``sign`` -1 of the first without the second."""
     both = F.zip_with(a, b, lambda x, y: x.cast("long") + sign * y.cast("long"))
-    return F.transform(both, lambda x, i: F.when(i < SIGNS, _wrapped(x, SIGN_BITS)).otherwise(_wrapped(x, SUM_BITS)))
+    return F.transform(both, _wrapped)
 
 
 def as_text(vector: Column) -> Column:
     """The fingerprint: all lanes in lowercase hex digits, as many as their bits need."""
-    digits = F.transform(vector, lambda x: F.lower(F.hex(x.cast("long").bitwiseAND((1 << SUM_BITS) - 1))))
-
-    def last(x: Column, width: int) -> Column:
-        return F.right(F.lpad(x, 8, "0"), F.lit(width))
-
-    return F.array_join(F.transform(digits, lambda x, i: F.when(i < SIGNS, last(x, SIGN_BITS // 4)).otherwise(last(x, SUM_BITS // 4))), "")
+    digits = F.transform(vector, lambda x: F.lower(F.hex(x.cast("long").bitwiseAND((1 << LANE_BITS) - 1))))
+    return F.array_join(F.transform(digits, lambda x: F.lpad(x, LANE_BITS // 4, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:

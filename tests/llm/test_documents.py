@@ -185,6 +185,16 @@ def test_fingerprint_is_homomorphic(spark):
     assert both == v[1] and rest == v[4]
 
 
+def test_likeness_of_a_paragraph_repeated_many_times(spark):
+    # the lanes grow past 2^15, then past 2^16, and must keep their signs
+    docs = spark.createDataFrame([(n, "One two.\n" * n) for n in (100, 40_000, 70_000)], "k int, t string")
+    v = {r.k: r.lanes for r in fingerprint.lanes(docs, ["k"], "t").collect()}
+    assert [x * 400 for x in v[100][: fingerprint.SIGNS]] == v[40_000][: fingerprint.SIGNS]
+    pairs = spark.createDataFrame([(v[100], v[40_000]), (v[100], v[70_000])], "a array<int>, b array<int>")
+    assert [r[0] for r in pairs.select(fingerprint.likeness(pairs.a, pairs.b)).collect()] == pytest.approx([1.0, 1.0])
+    assert [len(r[0]) for r in pairs.select(fingerprint.as_text(pairs.b)).collect()] == [68 * 8] * 2
+
+
 def test_byte_bpe(messy, nothing, spark):
     path, pattern = BPE
     words = byte_bpe.vocabulary(path, pattern)
