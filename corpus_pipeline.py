@@ -37,8 +37,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' columns without the text, with the number of tokens and the digests of ids and decoded bytes."""
-    return byte_bpe.digests(docs, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
+    """The documents' columns without the text, with token_ids, their number and the digests of ids and decoded bytes."""
+    return byte_bpe.digests(docs, public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN, keep_ids=True)
 
 
 STAGES = [("toxicity", clean), ("exact dedup", distinct), ("near dedup", unlike), ("mixing", mixture), ("byte-level BPE", encoded)]

@@ -173,11 +173,15 @@ def decode(coded: DataFrame, path: str, ids: str = "token_ids", to: str = "decod
     return given.mapInArrow(join, schema_of(given, f"`{to}` binary"))
 
 
-def digests(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """The columns of ``docs`` but the text, with n_tokens, ids_sha256 and decoded_sha256 (lowercase hex), from ids and decoded bytes."""
+def digests(docs: DataFrame, path: str, pattern: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
+    """The columns of ``docs`` but the text, with n_tokens, ids_sha256 and decoded_sha256 (lowercase hex), from ids and decoded bytes.
+
+    With ``keep_ids`` the ids themselves are a column token_ids before them.
+    """
     made = ("n_tokens", "ids_sha256", "decoded_sha256")
     coded = encode(docs.select(*(c for c in docs.columns if c not in made)), path, pattern, text, decoded="decoded")
     return coded.select(
-        *(c for c in coded.columns if c not in ("token_ids", "decoded")), (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+        *(c for c in coded.columns if c not in ("token_ids", "decoded")), *(["token_ids"] if keep_ids else []),
+        (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )

@@ -122,3 +122,13 @@ def test_pipeline_of_awkward_rows(spark, tmp_path):
         after = stage(spark, docs, str(tmp_path))
         assert after.columns == docs.columns and stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_pipeline_ends_with_token_ids(spark):
+    docs = spark.createDataFrame([(1, "One two three."), (2, None), (3, "x " * 9000)], "doc_id bigint, text string")
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=byte_bpe.ranks_of(path), special_tokens={})
+    got = {r.doc_id: r for r in corpus_pipeline.encoded(spark, docs, "").collect()}
+    for d, text in ((1, "One two three."), (2, ""), (3, "x " * 9000)):
+        assert np.frombuffer(got[d].token_ids, "<u4").tolist() == library.encode_ordinary(text)
+        assert got[d].ids_sha256 == sha(bytes(got[d].token_ids)) and got[d].n_tokens * 4 == len(got[d].token_ids)
