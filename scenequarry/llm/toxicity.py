@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenequarry.llm.common import byte_list, schema_of, sliced
@@ -16,6 +16,7 @@ from scenequarry.llm.common import byte_list, schema_of, sliced
 POSITIVE_ROWS, UNLABELLED_ROWS = 3000, 9000    # bound of the sample of labelled rows that the fit reads
 MIN_ROWS, MIN_SHARE = 4, 0.02                  # a word takes part if in so many and such a share of the positive rows,
 MIN_Z, MIN_PURITY = 4.0, 0.4                   # its share there stands out, and such a part of all its rows must be positive
+TEXTS_PER_ID = 16                              # texts of one sampled id in the fit, those of smallest hash; repeated rows count once
 ROUNDS, BATCH, RATE, DECAY = 200, 1000, 0.05, 1e-4
 THRESHOLD = 0.3
 # A-Z as a-z; every other ASCII character but letters, digits and the apostrophe as a space.
@@ -119,11 +120,14 @@ def _shift(z: np.ndarray, prior: float) -> float:
     return float(np.log(THRESHOLD / (1 - THRESHOLD)) - (values[at] + values[at + 1]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Model:
+def fit(
+    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", texts_per_id: int = TEXTS_PER_ID,
+) -> Model:
     """A model from the labelled rows that are not held out.
 
     The class prior is the share of toxic rows among all of them. The texts come from a bounded sample, the rows of
-    smallest hash: POSITIVE_ROWS toxic ones, and UNLABELLED_ROWS of any kind whose labels are not looked at. Several labels
+    smallest hash: POSITIVE_ROWS toxic ones, and UNLABELLED_ROWS of any kind whose labels are not looked at. Of an id with several
+    texts the sample holds at most ``texts_per_id``, so what comes to the driver is bounded whatever an id's number of rows. Several labels
     of a document count as their largest; null labels and ids are left out. Without a toxic row every score is near 0.
     """
     known = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
@@ -142,8 +146,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             sets = [b" ".join(sorted(set(t.translate(PLAIN).split()))) for t in byte_list(batch.columns[1])]
             yield pa.RecordBatch.from_arrays([batch.columns[0], batch.columns[2], pa.array(sets, pa.binary())], ["id", "positive", "words"])
 
-    rows = texts.mapInArrow(distinct_words, "id bigint, positive boolean, words binary").toPandas()
-    rows = rows.assign(words=rows["words"].map(bytes)).drop_duplicates().sort_values(["positive", "id", "words"])
+    found = texts.mapInArrow(distinct_words, "id bigint, positive boolean, words binary").distinct()
+    by_text = Window.partitionBy("id", "positive").orderBy(F.xxhash64("words"), "words")
+    rows = found.withColumn("place", F.row_number().over(by_text)).where(F.col("place") <= texts_per_id).drop("place").toPandas()
+    rows = rows.assign(words=rows["words"].map(bytes)).sort_values(["positive", "id", "words"])
     chosen = rows["positive"].astype(bool)
     if not chosen.any():
         return Model({}, -8.0)

@@ -237,6 +237,18 @@ def test_toxicity(spark, messy, nothing):
     assert toxicity.drop_toxic(docs, labels).count() == sum(i % 9 > 0 for i in range(600))
 
 
+def test_toxicity_sample_of_an_id_with_many_texts(spark, monkeypatch):
+    rows = [(i, f"nice words number n{i} and {'idiot scum' if i % 9 == 0 else 'friend'}") for i in range(600)]
+    many = rows + [(1, f"other friend x{i % 400}") for i in range(3000)]
+    labels = spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(600)], "doc_id bigint, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "non_negative_fit", lambda positive, unlabelled, prior: seen.append((positive, unlabelled)))
+    for docs in (rows, rows + rows, many):
+        toxicity.fit(spark.createDataFrame(docs, "doc_id bigint, text string"), labels)
+    assert seen[0] == seen[1] and seen[0][0] == seen[2][0]
+    assert len(seen[2][1]) == len(seen[0][1]) - 1 + toxicity.TEXTS_PER_ID
+
+
 def test_lm_score(spark, messy, nothing):
     good = [(i, f"alpha beta gamma delta g{i % 50} alpha beta gamma") for i in range(300)]
     bad = [(1000 + i, f"qq ww b{i % 50} zz qq ww zz qq") for i in range(300)]
