@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 SLICE_ROWS = 500       # texts of an Arrow batch worked on at once
+BOUNDED_BYTES, BOUNDED_ROWS = 4 << 20, 2000     # a bounded slice of a batch ends before the text that passes one of these
 ROW_BITS = 33          # monotonically_increasing_id keeps the row of a partition in its low 33 bits
 
 
@@ -49,6 +52,19 @@ def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE_ROWS)
 
 
+def bounded(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of bounded rows and bytes; one text beyond the bound is a piece of its own."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(text_at).cast(pa.binary())).fill_null(0).to_numpy(zero_copy_only=False)
+        ends, start = np.cumsum(sizes), 0
+        while start < batch.num_rows:
+            base = ends[start - 1] if start else 0
+            stop = min(start + BOUNDED_ROWS, int(np.searchsorted(ends, base + BOUNDED_BYTES, "right")))
+            stop = max(stop, start + 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def byte_list(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a text column of an Arrow batch, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scenequarry.llm import byte_bpe, chat_format, exact_dedup, fingerprint, lm_score, mixing, simhash, substring_dedup, toxicity, url_filter
+from scenequarry.llm import byte_bpe, chat_format, exact_dedup, fertility, fingerprint, lm_score, mixing, phrases, ranked_search, simhash
+from scenequarry.llm import substring_dedup, toxicity, url_filter
 from scenequarry.llm.common import table
 
 QUERIES: dict = {}
@@ -175,3 +176,79 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     target = lm_score.good_rows(table(spark, sf_dir, "labels"), toxicity.held_out(F.col("doc_id")))
     return lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), target)
+
+
+PIECE_FILE = "piece_bpe_32k.model"
+
+
+@_query("op11_fertility")
+def op11_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = (public_tokenizers.path(PIECE_FILE), public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN)
+    return fertility.judge(table(spark, sf_dir, "documents"), *files)
+
+
+def _phrases_sql() -> str:
+    """Every phrase exploded and counted for itself."""
+    grams = "\nUNION ALL ".join(
+        f"SELECT lang, array_to_string(w[i : i + {k - 1}], ' ') AS phrase, {k} AS size FROM (SELECT lang, w, unnest(range(1, len(w) - {k - 2})) AS i FROM pieces WHERE len(w) >= {k})"
+        for k in range(1, 6)
+    )
+    return rf"""
+WITH texts AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), pieces AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w
+  FROM (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts)
+), grams AS ({grams}
+), phrases AS (
+  SELECT lang, phrase, size, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang
+), longer AS (
+  SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w FROM phrases WHERE size >= 2
+), cuts AS (
+  SELECT *, array_to_string(w[1 : k], ' ') AS lhs, array_to_string(w[k + 1 : size], ' ') AS rhs FROM (SELECT *, unnest(range(1, size)) AS k FROM longer)
+), rated AS (
+  SELECT c.lang, c.phrase, c.size, c.a, c.k, x.f AS l, y.f AS r, t.n, ((1000::HUGEINT * c.a * t.n) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN phrases x ON x.lang = c.lang AND x.phrase = c.lhs JOIN phrases y ON y.lang = c.lang AND y.phrase = c.rhs JOIN totals t ON t.lang = c.lang
+), weakest AS (
+  SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), held AS (
+  SELECT lang, array_to_string(w[i : i + s - 1], ' ') AS phrase, max(a) AS held
+  FROM (SELECT lang, a, w, s, unnest(range(1, size - s + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS s FROM longer)) GROUP BY ALL
+)
+SELECT lang, row_number() OVER best AS rank, phrase, a, l, r, n, score
+FROM weakest LEFT JOIN held USING (lang, phrase) WHERE held IS NULL OR 100 * held < 100 * a
+WINDOW best AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)
+QUALIFY row_number() OVER best <= 2000
+"""
+
+
+@_query("op12_phrases", _phrases_sql())
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+SEARCH_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents
+), sizes AS (
+  SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS n_terms FROM words WHERE len(w) > 0
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS term FROM benchmark
+), held AS (
+  SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held, sizes GROUP BY term, n_docs
+), scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM asked JOIN held USING (term) JOIN weights USING (term), sizes GROUP BY item_id, doc_id
+)
+SELECT item_id, (row_number() OVER best)::INT AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW best AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER best <= 10
+"""
+
+
+@_query("op13_ranked_search", SEARCH_SQL)
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
