@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,10 +23,10 @@ FOLD = bytes.maketrans(bytes(range(65, 91)) + ENDS + b"\t", bytes(range(97, 123)
 END = b"."                        # stands between pieces, as no word holds it
 
 NO_LANG = "und"
-FLUSH = 1 << 18                   # distinct words of a task that are counted before they are sent on
 BUCKET = 1 << 15                  # bits of a row of Spark's bitmaps
 MOST_BITS = 1 << 27               # 16 MiB: the filter's bound; beyond it lets more through, with the same result
-BITS_PER_WORD = 64
+BITS_PER_KEY = 64
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -32,76 +34,106 @@ def tokens_of(text: bytes) -> list[bytes]:
     return text.translate(FOLD).replace(END, b" . ").split()
 
 
-def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
-    """The words of each language of a slice of the texts, END after each text."""
+@dataclass
+class Words:
+    """The texts of one language in a slice: END stands after each text and piece."""
+
+    lang: str
+    coded: pa.DictionaryArray
+
+    def hashes(self) -> np.ndarray:
+        """Of the distinct words, with the language."""
+        seed = xxhash.xxh64_intdigest(self.lang.encode())
+        found = (xxhash.xxh64_intdigest(w, seed) for w in self.coded.dictionary.to_pylist())
+        return np.fromiter(found, np.uint64, len(self.coded.dictionary))
+
+    def at(self) -> np.ndarray:
+        """The number of the distinct word at each place."""
+        return self.coded.indices.to_numpy()
+
+    def ends(self) -> np.ndarray:
+        """Which of the distinct words is END."""
+        return pc.equal(self.coded.dictionary, END).to_numpy(zero_copy_only=False)
+
+
+def _by_lang(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
     for batch in bounded(batches, 1):
         words = defaultdict(list)
         for lang, text in zip(batch.column(0).to_pylist(), byte_list(batch.column(1))):
             words[lang].extend(tokens_of(text))
             words[lang].append(END)
-        yield from words.items()
+        for lang, own in words.items():
+            yield Words(lang, pa.array(own, pa.binary()).dictionary_encode())
+
+
+def _pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return ((left * MIX) ^ right) * MIX
+
+
+def _passing(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, word, n), pre-aggregated in the task; the empty word counts all."""
-    counts: dict[str, Counter] = defaultdict(Counter)
-
-    def out():
-        for lang, own in counts.items():
-            own.pop(END, None)
-            own[b""] = own.total()
-            words = pa.array(own.keys(), pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), words, pa.array(own.values(), pa.int64())], ["lang", "word", "n"])
-        counts.clear()
-
-    for lang, words in _by_lang(batches):
-        counts[lang].update(words)
-        if sum(map(len, counts.values())) > FLUSH:
-            yield from out()
-    yield from out()
-
-
-def _filter_of(frequent: DataFrame) -> np.ndarray:
-    """Bits of a filter that every frequent (lang, word) passes; bounded, whatever their number."""
-    words = frequent.where("word <> ''")
+    """(key, lang, n): per slice its words by hash, and all words of a language under no key."""
+    for words in _by_lang(batches):
+        some = ~words.ends()
+        counts = np.bincount(words.at(), minlength=len(some))[some]
+        keys = pa.concat_arrays([pa.array(words.hashes()[some].view(np.int64)), pa.nulls(1, pa.int64())])
+        langs = pa.concat_arrays([pa.nulls(len(counts), pa.string()), pa.array([words.lang])])
+        yield pa.RecordBatch.from_arrays([keys, langs, pa.array(np.r_[counts, counts.sum()].astype(np.int64))], ["key", "lang", "n"])
+
+
+def _paired(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(key, n): per slice the pairs of neighbours that may both be frequent, by hash."""
+    for words in _by_lang(batches):
+        hashes = words.hashes()
+        good = (_passing(hashes, frequent) & ~words.ends())[words.at()]
+        left = np.flatnonzero(good[:-1] & good[1:])
+        at = hashes[words.at()]
+        keys, counts = np.unique(_pair_hashes(at[left], at[left + 1]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["key", "n"])
+
+
+def _filter_of(counts: DataFrame) -> np.ndarray:
+    """Bits of a filter that every key of the table passes; bounded, whatever their number."""
     bits = BUCKET
-    while bits < min(MOST_BITS, BITS_PER_WORD * words.count()):
+    while bits < min(MOST_BITS, BITS_PER_KEY * counts.count()):
         bits *= 2
-    spot = F.xxhash64("lang", "word").bitwiseAND(bits - 1) + 1           # Spark's bitmaps count from 1
-    rows = words.select(F.bitmap_bucket_number(spot).alias("b"), F.bitmap_bit_position(spot).alias("p"))
+    spot = F.col("key").bitwiseAND(bits - 1) + 1                         # Spark's bitmaps count from 1
+    rows = counts.select(F.bitmap_bucket_number(spot).alias("b"), F.bitmap_bit_position(spot).alias("p"))
     found = np.zeros(bits // 8, np.uint8)
     for b, bitmap in rows.groupBy("b").agg(F.bitmap_construct_agg("p")).collect():       # rows are BUCKET bits: MOST_BITS in all
         found[(b - 1) * (BUCKET // 8) : b * (BUCKET // 8)] = np.frombuffer(bitmap, np.uint8)
     return np.unpackbits(found, bitorder="little").astype(bool)
 
 
-def _windows(batches: Iterator[pa.RecordBatch], passes: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
-    """(lang, w1, .., n): the window of ``width`` words from every frequent word, padded from the piece's end or the first rare word on.
+def _windows(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, pairs: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+    """(lang, w1, .., n): the window of ``width`` words from every frequent word, padded from the piece's end or the first rare word or pair on.
 
-    No phrase with a rare word is frequent, so what is padded away counts for none. Equal windows of a slice are one row.
+    No phrase with a rare word or pair is frequent, so what is padded away counts for none. Equal windows of a slice are one row.
     """
     names = ["lang", *(f"w{k}" for k in range(1, width + 1)), "n"]
-    for lang, words in _by_lang(batches):
-        coded = pa.array(words, pa.binary()).dictionary_encode()
-        seed = xxhash.xxh64_intdigest(lang.encode(), 42)                 # as Spark chains columns
-        distinct = coded.dictionary.to_pylist()
-        spots = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in distinct), np.uint64, len(distinct)) & np.uint64(len(passes) - 1)
-        good = passes[spots.astype(np.int64)] & np.array([w != END for w in distinct], bool)
+    for words in _by_lang(batches):
+        hashes = words.hashes()
+        good = _passing(hashes, frequent) & ~words.ends()
+        if not good.any():
+            continue
+        places = words.at()
         number = np.where(good, np.cumsum(good), 0)                      # 0 pads
-        ids = np.r_[number[coded.indices.to_numpy()], np.zeros(width, np.int64)]
-        own = pa.concat_arrays([pa.array([b""], pa.binary()), coded.dictionary.filter(pa.array(good))]).cast(pa.string())
+        own = pa.concat_arrays([pa.array([b""], pa.binary()), words.coded.dictionary.filter(pa.array(good))]).cast(pa.string())
+        joined = np.r_[_passing(_pair_hashes(hashes[places[:-1]], hashes[places[1:]]), pairs), np.zeros(width, bool)]
+        ids = np.r_[number[places], np.zeros(width, np.int64)]
         at = np.flatnonzero(ids)
-        if not len(at):
-            continue
         columns = [ids[at]]
         for k in range(1, width):
-            columns.append(np.where(columns[-1] > 0, ids[at + k], 0))
+            columns.append(np.where((columns[-1] > 0) & joined[at + k - 1], ids[at + k], 0))
         key = columns[0]
         for column in columns[1:]:                                       # exact: equal beginnings are numbered anew after each word
             key = np.unique(key * len(own) + column, return_inverse=True)[1]
         _, first, counts = np.unique(key, return_index=True, return_counts=True)
         made = [own.take(pa.array(column[first])) for column in columns]
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), *made, pa.array(counts, pa.int64())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([words.lang] * len(first), pa.string()), *made, pa.array(counts.astype(np.int64))], names)
 
 
 def phrase_counts(docs: DataFrame, min_count: int, max_words: int, text: str = "text", lang: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -109,19 +141,21 @@ def phrase_counts(docs: DataFrame, min_count: int, max_words: int, text: str = "
 
     Only the longest windows are counted; ROLLUP sums the shorter phrases from them, as every occurrence of a phrase begins one window.
     """
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     given = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text).alias("text"))
-    counted = given.mapInArrow(_counted, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    frequent = cut_lineage(counted.where((F.col("word") == "") | (F.col("n") >= min_count)))
-    passes = spark.sparkContext.broadcast(_filter_of(frequent))
+    counted = given.mapInArrow(_counted, "key bigint, lang string, n bigint").groupBy("key", "lang").agg(F.sum("n").alias("n"))
+    words = cut_lineage(counted.where(F.col("key").isNull() | (F.col("n") >= min_count)))
+    frequent = context.broadcast(_filter_of(words.where("key IS NOT NULL")))
+    paired = given.mapInArrow(lambda batches: _paired(batches, frequent.value), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    pairs = context.broadcast(_filter_of(cut_lineage(paired.where(F.col("n") >= min_count))))
     leads = [f"w{k}" for k in range(1, max_words + 1)]
     schema = f"lang string, {', '.join(f'{w} string' for w in leads)}, n bigint"
-    windows = given.mapInArrow(lambda batches: _windows(batches, passes.value, max_words), schema)
+    windows = given.mapInArrow(lambda batches: _windows(batches, frequent.value, pairs.value, max_words), schema)
     summed = windows.rollup("lang", *leads).agg(F.sum("n").alias("f"))
     last = F.coalesce(*reversed(leads))                                  # of the columns a row is grouped by; a pad is no phrase
     size = sum(F.col(w).isNotNull().cast("int") for w in leads)
     phrases = summed.where((F.col("f") >= min_count) & (last != "")).select("lang", F.concat_ws(" ", *leads).alias("phrase"), size.alias("size"), "f")
-    return cut_lineage(phrases), frequent.where("word = ''").select("lang", "n")
+    return cut_lineage(phrases), words.where("key IS NULL").select("lang", "n")
 
 
 def _part(words: Column, start: Column | int, size: Column) -> Column:
@@ -136,7 +170,8 @@ def collocations(docs: DataFrame, min_count: int = 100, top: int = 2000, max_wor
     Ranks go by score, a (both descending) and phrase in byte order.
 
     Null texts are empty, a null language is ``und`` (together with rows so marked); repeated rows count again, ids and other columns do not
-    matter, and a table without phrases gives none. Words that are rare alone are passed over by a bounded filter; its size changes no result.
+    matter, and a table without phrases gives none. Windows end at words and pairs of words that are rare, by two filters over hashes of a bounded size:
+    they let some rare ones through, never keep a frequent one out, and so change no result.
     """
     phrases, totals = phrase_counts(docs, min_count, max_words, text, lang)
     words = F.split("phrase", " ")
