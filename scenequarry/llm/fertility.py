@@ -137,7 +137,7 @@ def measure(docs: DataFrame, pieces: str, ranks: str, pattern: str, text: str =
     ``pieces`` is a sentencepiece model with byte fallback, ``ranks`` a file of byte-level ranks with ``pattern``. Words are tokenised one by one, each
     distinct word of a task once. ``language`` is the column ``lang``, or the script of most letters where it is null (or no such column is named).
     Null counts as empty; a text without words has no tokens and measures of 0. Repeated rows and null ids are rows of their own, an empty table
-    gives an empty one, and kept columns that are named like a made one are replaced.
+    gives an empty one, and kept columns that are named like a made one are replaced (by ``judge`` too).
     """
     made = [m.split()[0] for m in MADE]
     keep = [c for c in keep if c not in made]
@@ -155,8 +155,8 @@ def measure(docs: DataFrame, pieces: str, ranks: str, pattern: str, text: str =
 
 
 def size_class() -> Column:
-    """Texts of like length: the power of two below the number of tokens, as short texts stray more."""
-    return F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)) + 0.5)).cast("int")
+    """Texts of like length, by the power of two up to the number of words (what a vocabulary does not change): short texts stray more."""
+    return F.length(F.bin(F.greatest(F.col("n_words"), F.lit(1))))
 
 
 def bands(rows: DataFrame, fence: float = FENCE, min_group: int = MIN_GROUP) -> DataFrame:
@@ -197,10 +197,13 @@ def judge(
     Bands come from all documents (or ``given``, a table like that of ``bands``); a group without band rejects nothing.
     Texts and tokens are read once; the measures are written and read again for the bands.
     """
-    rows = cut_lineage(measure(docs, pieces, ranks, pattern, text, lang, keep))
+    rows = cut_lineage(measure(docs, pieces, ranks, pattern, text, lang, [c for c in keep if c not in ("base_failed", "kept")]))
     limits = given if given is not None else bands(rows)
+    sides = [c for c in limits.columns if c not in ("language", "size_class")]
+    limits = limits.select("language", F.col("size_class").alias("__class"), F.struct(*sides).alias("__band"))
+    joined = join_small(rows.withColumn("__class", size_class()), limits, ["language", "__class"], "left")
     inside = F.lit(True)
     for m in MEASURES:
-        inside = inside & (F.col(m) >= F.coalesce(F.col(f"{m}_low"), F.col(m))) & (F.col(m) <= F.coalesce(F.col(f"{m}_high"), F.col(m)))
-    joined = join_small(rows.withColumn("size_class", size_class()), limits, ["language", "size_class"], "left")
+        low, high = (F.coalesce(F.col("__band")[f"{m}_{side}"], F.col(m)) for side in ("low", "high"))
+        inside = inside & F.col(m).between(low, high)
     return joined.select(*rows.columns, failed().alias("base_failed"), (~failed() & inside).alias("kept"))

@@ -126,42 +126,82 @@ class Best:
             self.kth[item] = -self.found[item][-1][0]
 
 
-def walk(tree: Node, chunk: Chunk, ids: list, best: Best, weights: np.ndarray) -> int:
-    """Both trees from their roots: a pair of nodes whose bound lies below the weakest kth score of its items goes with all below it. The pairs looked at."""
-    safe = float(weights.sum()) * 1e6 < EXACT
-    weight_of = np.zeros(len(weights), np.int64)
-    looked = 0
-
-    def visit(node: Node, level: int, nodes: np.ndarray) -> None:
-        nonlocal looked
+class Walk:
+    """Both trees walked from their roots: a pair of nodes whose bound lies below the weakest kth score of its items goes with all below it.
+
+    Items that lack documents first score the batch at the end of their steepest way down, so that there is a kth score to begin with.
+    ``looked`` counts the pairs whose bound was taken.
+    """
+
+    def __init__(self, tree: Node, chunk: Chunk, ids: list, best: Best, weights: np.ndarray):
+        self.tree, self.chunk, self.ids, self.best = tree, chunk, ids, best
+        self.safe = float(weights.sum()) * 1e6 < EXACT          # beyond, bounds would be rounded: nothing is pruned
+        self.weight_of = np.zeros(len(weights), np.int64)
+        self.done: dict[int, int] = {}                          # an item's first batch
+        self.looked = 0
+
+    def run(self) -> None:
+        if len(self.chunk.term):
+            top = len(self.chunk.levels) - 1
+            self.begin(self.tree, top)
+            self.visit(self.tree, top, np.zeros(1, np.int64))
+
+    def below(self, level: int, nodes: np.ndarray) -> np.ndarray:
+        children = (nodes[:, None] * FAN + np.arange(FAN)).ravel()
+        return children[children < len(self.chunk.levels[level - 1])]
+
+    def bounds(self, level: int, nodes: np.ndarray, node: Node) -> np.ndarray:
+        self.looked += len(nodes)
+        return self.chunk.bounds(level, nodes, node)
+
+    def begin(self, node: Node, level: int) -> None:
+        for child in node.children:
+            self.begin(child, level)
+        if node.children or len(self.best.found[node.items[0]]) == self.best.top:
+            return
+        at = np.zeros(1, np.int64)
+        while level:
+            children = self.below(level, at)
+            level -= 1
+            at = children[[self.bounds(level, children, node).argmax()]]
+        self.done[node.items[0]] = int(at[0])
+        self.score(node, at)
+
+    def score(self, node: Node, batches: np.ndarray) -> None:
+        item, best = node.items[0], self.best
+        self.weight_of[node.terms] = node.weights
+        docs, scores = self.chunk.scores(batches, self.weight_of)
+        self.weight_of[node.terms] = 0
+        good = np.flatnonzero(scores >= best.kth[item])
+        if len(good) > best.top:                                # all that tie with the weakest stay, ids decide among them
+            good = good[scores[good] >= np.partition(scores[good], -best.top)[-best.top]]
+        if len(good):
+            best.add(item, [self.ids[d] for d in docs[good]], scores[good])
+
+    def visit(self, node: Node, level: int, nodes: np.ndarray) -> None:
         while True:
-            looked += len(nodes)
-            if safe:                                    # beyond, bounds would be rounded: nothing is pruned
-                nodes = nodes[chunk.bounds(level, nodes, node) >= best.kth[node.items].min()]
+            bounds = self.bounds(level, nodes, node)
+            if self.safe:
+                able = bounds >= self.best.kth[node.items].min()
+                nodes, bounds = nodes[able], bounds[able]
             if not len(nodes):
                 return
             if not node.children and not level:
                 break
             if level:
-                below = (nodes[:, None] * FAN + np.arange(FAN)).ravel()
-                level, nodes = level - 1, below[below < len(chunk.levels[level - 1])]
+                nodes, level = self.below(level, nodes), level - 1
             if node.children:
                 for child in node.children:
-                    visit(child, level, nodes)
+                    self.visit(child, level, nodes)
                 return
-        weight_of[node.terms] = node.weights
-        docs, scores = chunk.scores(nodes, weight_of)
-        weight_of[node.terms] = 0
         item = node.items[0]
-        good = np.flatnonzero(scores >= best.kth[item])
-        if len(good) > best.top:                        # all that tie with the weakest stay, ids decide among them
-            good = good[scores[good] >= np.partition(scores[good], -best.top)[-best.top]]
-        if len(good):
-            best.add(item, [ids[d] for d in docs[good]], scores[good])
-
-    if len(chunk.term):
-        visit(tree, len(chunk.levels) - 1, np.zeros(1, np.int64))
-    return looked
+        order = np.argsort(-bounds, kind="stable")              # the most promising batches first
+        for at in range(0, len(order), FAN):
+            some = order[at : at + FAN]
+            some = some[(bounds[some] >= self.best.kth[item]) | (not self.safe)]
+            if not len(some):
+                return
+            self.score(node, nodes[some][nodes[some] != self.done.get(item, -1)])
 
 
 def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +262,7 @@ def _searched(batches: Iterator[pa.RecordBatch], items: Items, weights: np.ndarr
         nonlocal parts, ids, entries
         if ids:
             chunk = Chunk(*(np.concatenate(x) for x in zip(*parts)), len(ids), weights)
-            walk(tree, chunk, ids, best, weights)
+            Walk(tree, chunk, ids, best, weights).run()
         parts, ids, entries = [], [], 0
 
     kind = pa.null()
