@@ -188,7 +188,8 @@ SQL["telemetry"] = """
 SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"model":"base","k":7,"ok":true,"none":null,"props":' || props || '}'
   WHEN 1 THEN '{"list":[1,"a",false,null],"empty":[],"ok":false,"deep":[[[[[true,null],' || props || ']]]]}'
   WHEN 2 THEN '{"order":{"summary":"as uploaded","b":1},"raw":{"b":1},"props":' || props || '}'
-  ELSE props END AS telemetry FROM events"""
+  ELSE CASE event_id % 100 WHEN 3 THEN '{"deep":' || repeat('[', 120) || '"]x["' || repeat(']', 120) || ',' || substr(props, 2)
+    WHEN 7 THEN '{"deep":' || repeat('[', 5000) || repeat(']', 5000) || ',' || substr(props, 2) ELSE props END END AS telemetry FROM events"""
 SQL["coordinates"] = """
 SELECT k, CASE WHEN k % 50 = 49 THEN '  ' WHEN k % 50 = 48 THEN 'N - E' ELSE CASE k % 12
   WHEN 0 THEN a || '.5, ' || b || '.25' WHEN 1 THEN a || '.5n ' || b || '.25E' WHEN 2 THEN b || '.25E ' || a || '.5N'
@@ -254,6 +255,19 @@ SELECT o_orderkey AS pair_id, 0.0 AS a_left, 0.0 AS a_bottom, CAST(600 + o_custk
   CAST(60 + o_custkey % 700 AS INT) AS a_width, CAST(50 + o_custkey % 300 AS INT) AS a_height,
   CAST(o_orderkey % 97 * 8 - 300 AS DOUBLE) + 0.37 AS b_left, CAST(o_orderkey % 89 * 6 - 200 AS DOUBLE) + 0.37 AS b_bottom,
   CAST(o_orderkey % 97 * 8 + 700 AS DOUBLE) + 0.37 AS b_right, CAST(o_orderkey % 89 * 6 + 500 AS DOUBLE) + 0.37 AS b_top FROM orders"""
+SQL["footprint_grids"] = """
+SELECT o_orderkey AS id, CAST(o_orderkey * 7919 % 100003 AS DOUBLE) AS x0, CAST(o_orderkey * 104729 % 100019 AS DOUBLE) - 50000 AS y0,
+  CAST(o_orderkey * 7919 % 100003 + CASE WHEN o_orderkey % 50 = 0 THEN 9000 WHEN o_orderkey % 7 = 0 THEN 0 ELSE 40 + o_custkey % 900 END AS DOUBLE) AS x1,
+  CASE WHEN o_orderkey % 77 = 1 THEN NULL ELSE CAST(o_orderkey * 104729 % 100019 + 30 + o_custkey % 700 AS DOUBLE) - 50000 END AS y1,
+  CAST(60 + o_custkey % 700 AS INT) AS width, CAST(50 + o_custkey % 300 AS INT) AS height FROM orders"""
+SQL["footprint_boxes"] = """
+SELECT c_custkey AS id, CAST(c_custkey * 6151 % 99991 AS DOUBLE) + 0.37 AS x0, CAST(c_custkey * 49157 % 99989 AS DOUBLE) - 49999.63 AS y0,
+  CAST(c_custkey * 6151 % 99991 + CASE WHEN c_custkey % 300 = 0 THEN 60000 ELSE 5 + c_custkey % 1300 END AS DOUBLE) + 0.37 AS x1,
+  CAST(c_custkey * 49157 % 99989 + CASE WHEN c_custkey % 300 = 0 THEN 30000 ELSE 300 + c_custkey % 11 END AS DOUBLE) - 49999.63 AS y1 FROM customer"""
+SQL["scene_bounds"] = """
+SELECT c_custkey AS id, CASE WHEN c_custkey % 20 = 0 THEN NULL ELSE w / 8 - 90 END AS south, w / 4 - 170 AS west, w / 8 - 90 + CASE WHEN c_custkey % 31 = 0 THEN -1 ELSE s END AS north,
+  w / 4 - 170 + s + CAST(c_custkey % 5 AS DOUBLE) / 64 AS east
+FROM (SELECT c_custkey, CAST(c_custkey % 3 + c_nationkey % 17 * 5 AS DOUBLE) AS w, CASE c_custkey % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 1.0 WHEN 2 THEN 8.0 ELSE 7.5 END AS s FROM customer) t"""
 SQL["captures"] = """
 SELECT o_orderkey AS k, CASE WHEN o_orderkey % 20 = 0 THEN NULL ELSE CAST(o_custkey % 50 AS DOUBLE) END AS s1, CAST(o_custkey % 60 AS DOUBLE) AS w1,
   CAST(o_custkey % 50 + 10 - o_orderkey % 12 AS DOUBLE) AS n1, CAST(o_custkey % 60 + 8 AS DOUBLE) AS e1,

@@ -399,6 +399,37 @@ def footprint_coverage(spark, d):
     return out.select("pair_id", F.round(F.col("coverage") + 1e-9, 6).alias("coverage"), F.col("rejected").cast("int").alias("rejected"))
 
 
+@query(
+    "covering_footprints",
+    oracle(
+        "footprint_grids footprint_boxes",
+        """WITH p AS (SELECT a.id AS a_id, b.id AS b_id, a.width AS w, a.height AS h, (a.x1 - a.x0) / a.width AS sx, (a.y1 - a.y0) / a.height AS sy, a.x0 AS al, a.y0 AS ab, b.x0 AS bl, b.x1 AS br, b.y0 AS bb, b.y1 AS bt
+FROM footprint_grids a JOIN footprint_boxes b ON a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1 WHERE a.x1 > a.x0 AND a.y1 > a.y0),
+c AS (SELECT *, greatest(0, least(ceil((br - al) / sx - 0.5), w) - greatest(ceil((bl - al) / sx - 0.5), 0)) * greatest(0, least(ceil((bt - ab) / sy - 0.5), h) - greatest(ceil((bb - ab) / sy - 0.5), 0)) / (w * h) AS v FROM p)
+SELECT a_id, b_id, round(v + 1e-9, 6) AS coverage, CASE WHEN v < 0.5 THEN 1 ELSE 0 END AS rejected FROM c""",
+    ),
+)
+def covering_footprints(spark, d):
+    out = spatial.covering_footprints(bind(spark, d, "footprint_grids"), bind(spark, d, "footprint_boxes"))
+    return out.select("a_id", "b_id", F.round(F.col("coverage") + 1e-9, 6).alias("coverage"), F.col("rejected").cast("int").alias("rejected"))
+
+
+@query(
+    "same_area_captures",
+    oracle(
+        "scene_bounds",
+        """WITH s AS (SELECT * FROM scene_bounds WHERE south IS NOT NULL AND north > south AND east > west),
+p AS (SELECT x.id AS a, y.id AS b, greatest(0, least(x.north, y.north) - greatest(x.south, y.south)) * greatest(0, least(x.east, y.east) - greatest(x.west, y.west)) AS i,
+  (x.north - x.south) * (x.east - x.west) + (y.north - y.south) * (y.east - y.west) AS t FROM s x JOIN s y ON x.id < y.id)
+SELECT a, b, round(i / (t - i), 6) AS overlap FROM p WHERE i / (t - i) >= 0.85""",
+    ),
+)
+def same_area_captures(spark, d):
+    bounds = F.struct("south", "west", "north", "east").alias("bounds")
+    out = spatial.same_area_pairs(bind(spark, d, "scene_bounds").select("id", bounds))
+    return out.select("a", "b", F.round("overlap", 6).alias("overlap"))
+
+
 @query(
     "capture_overlap",
     oracle(

@@ -403,9 +403,9 @@ def domain_rejects(spark, d):
     "telemetry_text",
     oracle(
         "",
-        """SELECT event_id, n AS name, t AS text FROM (SELECT event_id, unnest(CASE event_id % 4 WHEN 0 THEN ['model', 'k', 'ok', 'none', 'props'] WHEN 1 THEN ['list', 'empty', 'ok', 'deep'] WHEN 2 THEN ['order', 'raw', 'props'] ELSE ['k'] END) AS n,
+        """SELECT event_id, n AS name, t AS text FROM (SELECT event_id, unnest(CASE event_id % 4 WHEN 0 THEN ['model', 'k', 'ok', 'none', 'props'] WHEN 1 THEN ['list', 'empty', 'ok', 'deep'] WHEN 2 THEN ['order', 'raw', 'props'] ELSE CASE WHEN event_id % 100 IN (3, 7) THEN ['deep', 'k'] ELSE ['k'] END END) AS n,
   unnest(CASE event_id % 4 WHEN 0 THEN ['base', '7', 'yes', 'n/a', replace(props, ' ', '')] WHEN 1 THEN ['1; a; no; n/a', 'none', 'no', 'yes; n/a; ' || replace(props, ' ', '')]
-  WHEN 2 THEN ['as uploaded', '{"b":1}', replace(props, ' ', '')] ELSE [regexp_extract(props, '(-?[0-9]+)', 1)] END) AS t FROM events)""",
+  WHEN 2 THEN ['as uploaded', '{"b":1}', replace(props, ' ', '')] ELSE CASE event_id % 100 WHEN 3 THEN [']x['] WHEN 7 THEN ['none'] ELSE [] END || [regexp_extract(props, '(-?[0-9]+)', 1)] END) AS t FROM events)""",
     ),
 )
 def telemetry_text(spark, d):
