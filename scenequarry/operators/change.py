@@ -55,9 +55,10 @@ def join_dates(pairs: DataFrame, pixels: DataFrame) -> DataFrame:
     return joined.withColumn("valid", F.col("_va") & F.col("_vb")).drop("_va", "_vb", "scene_a", "scene_b")
 
 
-def blur_size(height: int, width: int) -> int:
+def blur_size(height: Column, width: Column) -> Column:
     """The blur kernel of a scene size: it only grows with the scene, noise does not shrink with it."""
-    size = max(3, round(BLUR * max((height * width) ** 0.5 / REFERENCE_SIDE, 1.0)))
+    scale = F.sqrt(height.cast("double") * width) / REFERENCE_SIDE
+    size = F.greatest(F.lit(3), F.bround(BLUR * F.greatest(scale, F.lit(1.0))).cast("int"))
     return size + 1 - size % 2
 
 
@@ -66,8 +67,8 @@ def cloud_flag(modality: Column, gray_a: Column, gray_b: Column) -> Column:
     return (modality != "sar") & (F.greatest(gray_a, gray_b) > CLOUD_GRAY)
 
 
-def pair_signals(joined: DataFrame, size: int) -> DataFrame:
-    """(pair_id, row, col, height, width, modality, diff, cloud, safe, d_l, d_a, d_b) for pairs of one blur size.
+def pair_signals(joined: DataFrame) -> DataFrame:
+    """(pair_id, row, col, height, width, modality, diff, cloud, safe, d_l, d_a, d_b) for pairs of all sizes.
 
     Gray is linear in the channels, so blurring the six channels once serves the gray and the colour difference.
     """
@@ -79,6 +80,7 @@ def pair_signals(joined: DataFrame, size: int) -> DataFrame:
             gray(F.col("r_b"), F.col("g_b"), F.col("b_b")),
         ),
     )
+    size = blur_size(F.col("height"), F.col("width"))
     blurred = gaussian_blur(flagged, PAIR, COLOURS, size)
     safe = erode_valid(blurred, PAIR, "valid", size + 2)
     before, after = ([F.col(f"{c}_{s}") for c in "rgb"] for s in "ab")
@@ -189,9 +191,9 @@ def region_items(major: DataFrame, subtle: DataFrame) -> DataFrame:
     return both.withColumn("region_no", F.row_number().over(order)).withColumn("place", place).drop("_k", "position")
 
 
-def detect(joined: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """(signals, items): the whole change pipeline for pairs of one blur size."""
-    signals = cut_lineage(pair_signals(joined, size))
+def detect(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(signals, items): the whole change pipeline, for pairs of all sizes at once."""
+    signals = cut_lineage(pair_signals(joined))
     shapes = pair_shapes(signals)
     clouds = cut_lineage(cloud_mask(signals, shapes))
     major = cut_lineage(major_regions(signals, clouds, shapes))

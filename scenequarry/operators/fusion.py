@@ -40,12 +40,12 @@ def normalised_radar(joined: DataFrame) -> DataFrame:
     return joined.join(bounds, PAIR, "left").withColumn("sar", F.floor(clamp(scaled, 0.0, 255.0)).cast("double")).drop("_lo", "_hi")
 
 
-def smooth_radar(radar: DataFrame, side: int) -> DataFrame:
-    """Gaussian scaled to the scene, then an edge-preserving filter; pairs of one longest side."""
-    sigma = max(1.0, side / 200.0)
-    size = round(sigma * 6 + 1) | 1
-    blurred = gaussian_blur(radar, PAIR, ["sar"], size, sigma)
-    return bilateral_filter(blurred, PAIR, "sar", BILATERAL_DIAMETER, BILATERAL_VALUE_SIGMA, max(3.0, side / 100.0))
+def smooth_radar(radar: DataFrame) -> DataFrame:
+    """Gaussian scaled to the scene's longest side, then an edge-preserving filter."""
+    side = F.greatest("height", "width")
+    sigma = F.greatest(F.lit(1.0), side / 200.0)
+    blurred = gaussian_blur(radar, PAIR, ["sar"], F.bround(sigma * 6 + 1).cast("int").bitwiseOR(F.lit(1)), sigma)
+    return bilateral_filter(blurred, PAIR, "sar", BILATERAL_DIAMETER, BILATERAL_VALUE_SIGMA, F.greatest(F.lit(3.0), side / 100.0))
 
 
 def unfused_pairs(joined: DataFrame) -> DataFrame:
@@ -53,15 +53,15 @@ def unfused_pairs(joined: DataFrame) -> DataFrame:
     return joined.groupBy(*PAIR).agg(F.max("valid").alias("_any")).where("NOT _any").select(*PAIR, F.lit("no valid radar pixels").alias("reason"))
 
 
-def fuse(joined: DataFrame, side: int, weight: float | None = None) -> DataFrame:
-    """(pair_id, row, col, r, g, b): the fused scene.
+def fuse(joined: DataFrame, weight: float | None = None) -> DataFrame:
+    """(pair_id, row, col, r, g, b): the fused scenes, of all sizes at once.
 
     joined(pair_id, row, col, r, g, b, sar, valid, height, width): optical channels and the radar value on one grid;
     ``valid`` is false where the radar has no data, and those pixels keep their own brightness, as do all of a pair without
     valid pixels (``unfused_pairs`` lists these).
     """
     radar = normalised_radar(cut_lineage(joined))
-    smoothed = cut_lineage(smooth_radar(radar, side))      # read by the median and by the blend
+    smoothed = cut_lineage(smooth_radar(radar))      # read by the median and by the blend
     centre = exact_percentiles(smoothed.where("valid"), PAIR, "sar", {"_centre": 0.5})
     shift = F.when(F.col("valid"), F.lit(fusion_weight(weight)) * (F.col("sar") - F.col("_centre"))).otherwise(0.0)
     value = F.floor(clamp(F.greatest("r", "g", "b") + shift, 0.0, 255.0))

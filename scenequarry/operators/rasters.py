@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scenequarry.operators.stencils import over_lines, over_tiles
+
 REFLECT = "reflect"        # edge pixel not repeated: c b | a b c
 SYMMETRIC = "symmetric"    # edge pixel repeated: b a | a b c
 
@@ -74,32 +78,41 @@ def gaussian_weights(size: int, sigma: float | None = None) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
-def gaussian_blur(df: DataFrame, keys: Sequence[str], values: Sequence[str], size: int, sigma: float | None = None) -> DataFrame:
-    """Separable blur of several columns at once: one window pass per axis."""
-    weights = gaussian_weights(size, sigma)
-    radius = size // 2
-    for axis in ("col", "row"):
-        padded = mirror_pad(df, axis, radius, REFLECT)
-        across = "row" if axis == "col" else "col"
-        line = f"OVER (PARTITION BY {', '.join([*keys, across])} ORDER BY {axis})"
+@lru_cache(maxsize=256)
+def _weights(size: int, sigma: float) -> np.ndarray:
+    return np.array(gaussian_weights(size, sigma or None))
 
-        def blurred(v: str) -> Column:
-            taps = [f"{v} * {weights[radius]!r}D"] + [
-                f"(lag({v}, {i}) {line} + lead({v}, {i}) {line}) * {weights[radius + i]!r}D" for i in range(1, radius + 1)
-            ]
-            return F.expr(" + ".join(taps)).alias(v)
 
-        df = unpad(padded.select(*_keep(padded, values), *[blurred(v) for v in values]), axis)
-    return df
+def gaussian_blur(df: DataFrame, keys: Sequence[str], values: Sequence[str], size: int | Column, sigma: float | Column | None = None) -> DataFrame:
+    """Separable blur of several columns at once, one pass per axis; ``size`` and ``sigma`` may differ between scenes, never within one.
 
+    The table has ``height`` and ``width``. Values that are null make null every pixel that they reach.
+    """
+    sized = df.withColumns({"_size": F.lit(size).cast("int"), "_half": F.floor(F.lit(size) / 2).cast("int"), "_sigma": F.coalesce(F.lit(sigma).cast("double"), F.lit(0.0))})
+
+    def blurred(line: np.ndarray, first: dict) -> np.ndarray:
+        return np.convolve(line, _weights(int(first["_size"]), float(first["_sigma"])), "valid")
 
-def erode_valid(df: DataFrame, keys: Sequence[str], valid: str, size: int) -> DataFrame:
-    """A boolean mask shrunk by a square kernel; outside the scene counts as valid."""
-    radius = size // 2
     for axis in ("col", "row"):
-        line = _line(keys, axis).rowsBetween(-radius, radius)
-        df = df.select(*_keep(df, [valid]), F.min(valid).over(line).alias(valid))
-    return df
+        sized = over_lines(sized, keys, axis, values, "_half", blurred)
+    return sized.select(*df.columns)
+
+
+def erode_valid(df: DataFrame, keys: Sequence[str], valid: str, size: int | Column) -> DataFrame:
+    """A boolean mask shrunk by a square kernel; outside the scene counts as valid. ``size`` may differ between scenes.
+
+    Along a line a pixel stays where the nearest invalid ones before and behind lie beyond the kernel: two running values, for any kernel.
+    """
+    radius = F.floor(F.lit(size) / 2)
+    sized = df.withColumn("_half", radius)
+    for axis in ("col", "row"):
+        line = _line(keys, axis)
+        hole = F.when(~F.col(valid), F.col(axis))
+        before = F.max(hole).over(line.rowsBetween(Window.unboundedPreceding, 0))
+        behind = F.min(hole).over(line.rowsBetween(0, Window.unboundedFollowing))
+        far = (F.coalesce(F.col(axis) - before, F.col("_half") + 1) > F.col("_half")) & (F.coalesce(behind - F.col(axis), F.col("_half") + 1) > F.col("_half"))
+        sized = sized.select(*_keep(sized, [valid]), far.alias(valid))
+    return sized.select(*[c for c in df.columns])
 
 
 def gradient(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
@@ -117,35 +130,28 @@ def gradient(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFr
 
 
 def bilateral_filter(
-    df: DataFrame, keys: Sequence[str], value: str, diameter: int, sigma_value: float, sigma_space: float
+    df: DataFrame, keys: Sequence[str], value: str, diameter: int, sigma_value: float, sigma_space: float | Column
 ) -> DataFrame:
     """Edge-preserving mean over a disc: neighbours weigh less the farther away and the more different they are.
 
-    The neighbours of one image row are gathered per pixel (``diameter`` values), then the rows above and below.
+    Tiles are shifted over themselves, and two sums are kept per pixel whatever the diameter. ``sigma_space`` may differ between scenes.
     """
     radius = diameter // 2
-    padded = mirror_pad(mirror_pad(df, "col", radius, REFLECT), "row", radius, REFLECT)
-    across = _line(keys, "col").rowsBetween(-radius, radius)
-    down = _line(keys, "row")
-    strips = unpad(padded.withColumn("_strip", F.collect_list(value).over(across)), "col")
-    rows = [
-        F.lag("_strip", -o).over(down) if o < 0 else F.lead("_strip", o).over(down) if o else F.col("_strip")
-        for o in range(-radius, radius + 1)
-    ]
-    gathered = unpad(strips.withColumn("_near", F.flatten(F.array(*rows))), "row")
-    reach = []
-    for dy in range(-radius, radius + 1):
-        for dx in range(-radius, radius + 1):
-            far = dx * dx + dy * dy
-            reach.append(math.exp(-far / (2 * sigma_space**2)) if far <= radius * radius else 0.0)
-    spatial = F.array(*[F.lit(w) for w in reach])
-    closeness = lambda v, w: w * F.exp(-F.pow(v - F.col(value), 2) / (2 * sigma_value**2))
-    weights = F.zip_with("_near", spatial, closeness)
-    weighed = gathered.withColumn("_weights", weights)
-    add = lambda acc, x: acc + x
-    top = F.aggregate(F.zip_with("_near", "_weights", lambda v, w: v * w), F.lit(0.0), add)
-    smoothed = top / F.aggregate("_weights", F.lit(0.0), add)
-    return weighed.withColumn(value, smoothed).drop("_strip", "_near", "_weights")
+    disc = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dx * dx + dy * dy <= radius * radius]
+
+    def smoothed(tile: np.ndarray, first: dict) -> np.ndarray:
+        height, width = tile.shape[0] - 2 * radius, tile.shape[1] - 2 * radius
+        here = tile[radius : radius + height, radius : radius + width]
+        top, bottom = np.zeros_like(here), np.zeros_like(here)
+        for dy, dx in disc:
+            near = tile[radius + dy : radius + dy + height, radius + dx : radius + dx + width]
+            weight = np.exp(-(dx * dx + dy * dy) / (2 * first["_space"] ** 2) - (near - here) ** 2 / (2 * sigma_value**2))
+            top += near * weight
+            bottom += weight
+        return top / bottom
+
+    spaced = df.withColumn("_space", F.lit(sigma_space).cast("double"))
+    return over_tiles(spaced, keys, [value], radius, smoothed).select(*df.columns)
 
 
 def area_resize(df: DataFrame, keys: Sequence[str], values: Sequence[str], new_height: Column, new_width: Column) -> DataFrame:

@@ -266,8 +266,8 @@ def normalization_labels(spark, d):
 # ------------------------------------------------------------------ filters
 
 
-def mirror(x: str, repeat: bool) -> str:
-    return f"CASE WHEN {x} < 0 THEN -({x}){' - 1' if repeat else ''} WHEN {x} > 63 THEN {127 if repeat else 126} - ({x}) ELSE {x} END"
+def mirror(x: str, repeat: bool, size: str = "64") -> str:
+    return f"CASE WHEN {x} < 0 THEN -({x}){' - 1' if repeat else ''} WHEN {x} >= {size} THEN 2 * {size} - {1 if repeat else 2} - ({x}) ELSE {x} END"
 
 
 def box_sql(source: str, keys: str, radius: int, out: str) -> str:
@@ -355,6 +355,43 @@ def gaussian_blur(spark, d):
     return rasters.gaussian_blur(pixels(spark, d), ["scene_id"], ["r", "g", "b"], 21).select("scene_id", "row", "col", *r4("r", "g", "b"))
 
 
+SIZES = "s AS (SELECT scene_id * 3 + k AS scene_id, k, p.row, p.col, r, g, valid, h AS height, w AS width FROM pixels p, (VALUES (0, 64, 64), (1, 40, 25), (2, 9, 64)) z(k, h, w) WHERE p.row < h AND p.col < w)"
+
+
+def scenes_of_three_sizes(spark, d):
+    sizes = spark.createDataFrame([(0, 64, 64), (1, 40, 25), (2, 9, 64)], "k int, height int, width int")
+    cut = pixels(spark, d).drop("height", "width").join(F.broadcast(sizes), (F.col("row") < F.col("height")) & (F.col("col") < F.col("width")))
+    return cut.select((F.col("scene_id") * 3 + F.col("k")).alias("scene_id"), "row", "col", "r", "g", "valid", "height", "width")
+
+
+SIZED_WEIGHTS = ", ".join(f"({k}, {i - n // 2}, {w!r})" for k, n in enumerate((21, 15, 3)) for i, w in enumerate(rasters.gaussian_weights(n)))
+SIZED_STEP = lambda src, out, axis, other: (
+    f"{out} AS (SELECT p.scene_id, p.row, p.col, any_value(p.k) AS k, any_value(p.height) AS height, any_value(p.width) AS width, sum(q.r * o.w) AS r, sum(q.g * o.w) AS g FROM {src} p JOIN o ON o.k = p.k "
+    f"JOIN {src} q ON q.scene_id = p.scene_id AND q.{other} = p.{other} AND q.{axis} = {mirror(f'p.{axis} + o.i', False, 'p.width' if axis == 'col' else 'p.height')} GROUP BY 1, 2, 3)"
+)
+
+
+@query(
+    "blurred_sizes",
+    oracle("pixels", f"WITH {SIZES}, o(k, i, w) AS (VALUES {SIZED_WEIGHTS}), {SIZED_STEP('s', 'bh', 'col', 'row')}, {SIZED_STEP('bh', 'bl', 'row', 'col')} SELECT scene_id, row, col, round(r + 1e-9, 4) AS r, round(g + 1e-9, 4) AS g FROM bl"),
+)
+def blurred_sizes(spark, d):
+    size = F.when(F.col("height") == 64, 21).when(F.col("height") == 40, 15).otherwise(3)
+    return rasters.gaussian_blur(scenes_of_three_sizes(spark, d), ["scene_id"], ["r", "g"], size).select("scene_id", "row", "col", *r4("r", "g"))
+
+
+@query(
+    "eroded_sizes",
+    oracle(
+        "pixels",
+        f"WITH {SIZES} SELECT p.scene_id, p.row, p.col, CASE WHEN bool_and(q.valid) THEN 1 ELSE 0 END AS valid FROM s p JOIN s q ON q.scene_id = p.scene_id AND abs(q.row - p.row) <= p.height // 8 AND abs(q.col - p.col) <= p.height // 8 GROUP BY 1, 2, 3",
+    ),
+)
+def eroded_sizes(spark, d):
+    kernel = F.floor(F.col("height") / 8) * 2 + 1
+    return rasters.erode_valid(scenes_of_three_sizes(spark, d), ["scene_id"], "valid", kernel).select("scene_id", "row", "col", F.col("valid").cast("int").alias("valid"))
+
+
 @query(
     "eroded_validity",
     oracle("pixels", "SELECT p.scene_id, p.row, p.col, CASE WHEN bool_and(q.valid) THEN 1 ELSE 0 END AS valid FROM pixels p JOIN pixels q ON q.scene_id = p.scene_id AND abs(q.row - p.row) <= 11 AND abs(q.col - p.col) <= 11 GROUP BY 1, 2, 3"),
@@ -578,7 +615,7 @@ sg AS MATERIALIZED (SELECT x.pair_id, x.row, x.col, x.modality, abs(0.299 * x.r_
 
 
 def signals(spark, d):
-    return cut_lineage(change.pair_signals(joined(spark, d), change.blur_size(SIDE, SIDE)))
+    return cut_lineage(change.pair_signals(joined(spark, d)))
 
 
 @query("change_signals", oracle(CHANGE, f"WITH {SIGNALS} SELECT pair_id, row, col, round(diff + 1e-9, 4) AS diff, CAST(cloud AS INT) AS cloud, CAST(safe AS INT) AS safe FROM sg"))
@@ -661,7 +698,7 @@ both_kinds AS (SELECT 0 AS k, 'major' AS kind, pair_id, position, x, y, w, h, ar
 )
 def change_items(spark, d):
     """The whole pipeline: major and subtle regions of every pair in one list."""
-    _, items = change.detect(joined(spark, d), change.blur_size(SIDE, SIDE))
+    _, items = change.detect(joined(spark, d))
     return items.select("pair_id", "region_no", "kind", "x", "y", "w", "h", F.round("frac", 6).alias("frac"))
 
 
@@ -714,7 +751,7 @@ vv AS (SELECT f.*, greatest(r, g, b) AS top, floor(least(greatest(greatest(r, g,
     oracle(CHANGE, f"WITH {FUSED} SELECT pair_id, row, col, {', '.join(f'CAST(round_even(CASE WHEN top > 0 THEN {c} * v / top ELSE v END, 0) AS INT) AS {c}' for c in 'rgb')} FROM vv"),
 )
 def fused_scenes(spark, d):
-    return fusion.fuse(fusion_input(spark, d), SIDE)
+    return fusion.fuse(fusion_input(spark, d))
 
 
 @query(

@@ -147,7 +147,7 @@ def detected(spark):
             pixels = one if pixels is None else pixels.unionByName(one)
         pairs.append((i, 2 * i, 2 * i + 1, modality))
     pair_table = spark.createDataFrame(pairs, "pair_id bigint, scene_a bigint, scene_b bigint, modality string")
-    _, items = change.detect(change.join_dates(pair_table, pixels), change.blur_size(side, side))
+    _, items = change.detect(change.join_dates(pair_table, pixels))
     rows = items.orderBy("pair_id", "region_no").collect()
     return {name: [r for r in rows if r["pair_id"] == i] for i, name in enumerate(cases)}
 
