@@ -8,13 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenequarry.operators.components import connected_components
+from scenequarry.operators.joins import join_small
 from scenequarry.session import cut_lineage
 
 BUCKET = 64         # columns per bucket when runs of neighbouring rows are matched
+BAND = 64           # image rows that are labelled in one task
 
 
 def scene_scale(reference_side: int = 512) -> Column:
@@ -117,23 +121,66 @@ def subtract(a: DataFrame, b: DataFrame, shapes: DataFrame, keys: Sequence[str])
     return complement(union(complement(a, shapes, keys), b.select(*a.columns), keys), shapes, keys)
 
 
+def _touching(start: np.ndarray, end: np.ndarray, line: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of runs (sorted by image row and start) on neighbouring rows that touch."""
+    span = int(end.max()) + 2 * reach + 2           # a number line on which the rows lie one after the other
+    first = np.searchsorted(line * span + end, (line + 1) * span + start - reach, "left")
+    past = np.searchsorted(line * span + start, (line + 1) * span + end + reach, "right")
+    # runs of other rows between the two places: none, as only the next row lies on that stretch
+    n = np.maximum(past - first, 0)
+    upper = np.repeat(np.arange(len(line)), n)
+    return upper, np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def _labels(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The smallest member of each one's group, by union-find."""
+    parent = list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for a, b in zip(u.tolist(), v.tolist()):
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    return np.fromiter(map(root, range(n)), np.int64, n)
+
+
 def label_runs(runs: DataFrame, keys: Sequence[str], connectivity: int = 8) -> DataFrame:
-    """Adds ``label``: the id of the run's connected group (4- or 8-neighbour)."""
+    """Adds ``label``: the id of the run's connected group (4- or 8-neighbour), its smallest row * width + start.
+
+    Bands of BAND image rows are labelled in one task each; only the runs on both sides of a border between bands link
+    labels, and only labels with such links go through the rounds for large graphs.
+    """
     keys = list(keys)
     reach = 1 if connectivity == 8 else 0
-    named = cut_lineage(runs.withColumn("node", F.col("row").cast("long") * F.col("width") + F.col("start")))
+    columns = [f.name for f in runs.schema.fields]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in runs.schema.fields), "_label bigint"])
+
+    def label_band(band: pa.Table) -> pa.Table:
+        band = band.sort_by([("row", "ascending"), ("start", "ascending")])
+        line, start, end, width = (band[c].to_numpy().astype(np.int64) for c in ("row", "start", "end", "width"))
+        labels = _labels(len(line), *_touching(start, end, line - line[0], reach))
+        return band.select(columns).append_column("_label", pa.array((line * width + start)[labels], pa.int64()))
+
+    banded = runs.withColumn("_band", F.floor(F.col("row") / BAND))
+    named = cut_lineage(banded.groupBy(*keys, "_band").applyInArrow(label_band, schema))
     bucket = lambda a, b: F.explode(F.sequence(F.floor(a / BUCKET), F.floor(b / BUCKET))).alias("_b")
-    upper = named.select(
-        *keys, (F.col("row") + 1).alias("row"), F.col("node").alias("u"), F.col("start").alias("s1"), F.col("end").alias("e1"),
+    upper = named.where(F.col("row") % BAND == BAND - 1).select(
+        *keys, (F.col("row") + 1).alias("row"), F.col("_label").alias("u"), F.col("start").alias("s1"), F.col("end").alias("e1"),
         bucket(F.col("start") - reach, F.col("end") + reach),
     )
-    lower = named.select(
-        *keys, "row", F.col("node").alias("v"), F.col("start").alias("s2"), F.col("end").alias("e2"), bucket(F.col("start"), F.col("end"))
+    lower = named.where(F.col("row") % BAND == 0).select(
+        *keys, "row", F.col("_label").alias("v"), F.col("start").alias("s2"), F.col("end").alias("e2"), bucket(F.col("start"), F.col("end"))
     )
     touching = (F.col("s1") <= F.col("e2") + reach) & (F.col("s2") <= F.col("e1") + reach)
-    edges = upper.join(lower, [*keys, "row", "_b"]).where(touching).select(*keys, "u", "v").distinct()
-    roots = connected_components(named.select(*keys, "node"), edges, keys)
-    return named.join(roots, [*keys, "node"]).drop("node").withColumnRenamed("root", "label")
+    edges = cut_lineage(upper.join(lower, [*keys, "row", "_b"]).where(touching).select(*keys, "u", "v").distinct())
+    linked = edges.select(*keys, F.col("u").alias("node")).union(edges.select(*keys, F.col("v"))).distinct()
+    roots = connected_components(linked, edges, keys).select(*keys, F.col("node").alias("_label"), "root")
+    return join_small(named, roots, [*keys, "_label"], "left").withColumn("label", F.coalesce("root", "_label")).drop("_label", "root")
 
 
 def group_measures(labelled: DataFrame, keys: Sequence[str]) -> DataFrame:

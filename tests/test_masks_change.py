@@ -75,7 +75,9 @@ def flood(mask, eight):
 
 
 @pytest.mark.parametrize("eight", [True, False])
-def test_groups_match_a_flood_fill(spark, eight):
+@pytest.mark.parametrize("band", [64, 7, 1])
+def test_groups_match_a_flood_fill(spark, monkeypatch, eight, band):
+    monkeypatch.setattr(masks, "BAND", band)
     mask = np.random.default_rng(7).random((30, 150)) < .45
     runs, _ = mask_table(spark, mask)
     labelled = masks.label_runs(runs, KEY, 8 if eight else 4)

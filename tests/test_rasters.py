@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scenequarry.operators import fusion, measures, radiometry, ranking, rasters
+from scenequarry.operators import fusion, measures, radiometry, ranking, rasters, stencils
 
 
 def pixel_table(spark, arrays, scene_id=0, valid=None):
@@ -48,6 +48,76 @@ def test_blur_wider_than_the_scene(spark, noise):
     assert np.allclose(got, expected)
 
 
+def plain_blur(img, size, sigma=None):
+    weights, half = np.array(rasters.gaussian_weights(size, sigma)), size // 2
+    flat = np.apply_along_axis(lambda v: np.convolve(v, weights, "valid"), 1, np.pad(img, half, mode="reflect"))
+    return np.apply_along_axis(lambda v: np.convolve(v, weights, "valid"), 0, flat)
+
+
+@pytest.mark.parametrize("line", [1024, 8, 3])
+def test_blur_of_many_sizes_in_blocks(spark, monkeypatch, line):
+    """Scenes of three sizes and kernels in one call, lines cut into blocks shorter than a kernel."""
+    monkeypatch.setattr(stencils, "LINE", line)
+    rng = np.random.default_rng(1)
+    images = {0: rng.random((9, 14)), 1: rng.random((20, 31)), 2: rng.random((1, 5))}
+    sizes = {0: (21, 2.0), 1: (9, 0.7), 2: (3, 1.5)}
+    table = None
+    for i, img in images.items():
+        one = pixel_table(spark, {"v": img, "w": 2 * img}, i)
+        table = one if table is None else table.unionByName(one)
+    by = lambda n: F.element_at(F.create_map(*[F.lit(x) for k, s in sizes.items() for x in (k, s[n])]), F.col("scene_id").cast("int"))
+    out = rasters.gaussian_blur(table, ["scene_id"], ["v", "w"], by(0), by(1))
+    assert out.columns == table.columns and out.count() == table.count()
+    for i, img in images.items():
+        assert np.allclose(to_array(out.where(F.col("scene_id") == i), "v"), plain_blur(img, *sizes[i]))
+        assert np.allclose(to_array(out.where(F.col("scene_id") == i), "w"), 2 * plain_blur(img, *sizes[i]))
+
+
+def test_kernels_of_all_sizes_have_one_plan(spark, noise):
+    def operators(size):
+        plan = rasters.gaussian_blur(pixel_table(spark, {"v": noise}), ["scene_id"], ["v"], size)._jdf.queryExecution().optimizedPlan().toString()
+        return len(plan.splitlines()), len(plan)
+
+    small, large = operators(21), operators(169)
+    assert small[0] == large[0] and abs(small[1] - large[1]) < 20
+
+
+def test_nulls_reach_as_far_as_the_kernel(spark):
+    img = np.ones((1, 12))
+    table = pixel_table(spark, {"v": img}).withColumn("v", F.when(F.col("col") != 6, F.col("v")))
+    got = rasters.gaussian_blur(table, ["scene_id"], ["v"], 5).orderBy("col").collect()
+    assert [r["v"] is None for r in got] == [4 <= c <= 8 for c in range(12)]
+
+
+@pytest.mark.parametrize("tile", [128, 6])
+def test_bilateral_in_tiles(spark, monkeypatch, tile):
+    monkeypatch.setattr(stencils, "TILE", tile)
+    rng = np.random.default_rng(2)
+    images = {0: rng.integers(0, 255, (9, 14)).astype(float), 1: rng.integers(0, 255, (3, 20)).astype(float)}
+    table = pixel_table(spark, {"v": images[0]}, 0).unionByName(pixel_table(spark, {"v": images[1]}, 1))
+    out = rasters.bilateral_filter(table, ["scene_id"], "v", 5, 40.0, F.when(F.col("scene_id") == 0, 3.0).otherwise(1.5))
+    for i, img in images.items():
+        p, want = np.pad(img, 2, mode="reflect"), np.zeros_like(img)
+        for r, c in np.ndindex(img.shape):
+            w = {(y, x): np.exp(-(y * y + x * x) / (2 * (3.0 if i == 0 else 1.5) ** 2) - (p[r + 2 + y, c + 2 + x] - img[r, c]) ** 2 / 3200) for y in range(-2, 3) for x in range(-2, 3) if x * x + y * y <= 4}
+            want[r, c] = sum(v * p[r + 2 + y, c + 2 + x] for (y, x), v in w.items()) / sum(w.values())
+        assert np.allclose(to_array(out.where(F.col("scene_id") == i), "v"), want)
+
+
+def test_erosion_of_many_sizes(spark):
+    rng = np.random.default_rng(3)
+    masks = {0: rng.random((20, 30)) < 0.97, 1: rng.random((6, 9)) < 0.9}
+    table = None
+    for i, mask in masks.items():
+        one = pixel_table(spark, {"v": mask.astype(float)}, i, mask)
+        table = one if table is None else table.unionByName(one)
+    out = rasters.erode_valid(table, ["scene_id"], "valid", F.when(F.col("scene_id") == 0, 7).otherwise(3)).withColumn("e", F.col("valid").cast("double"))
+    for i, half in ((0, 3), (1, 1)):
+        p = np.pad(masks[i], half, constant_values=True)
+        want = np.array([[p[r : r + 2 * half + 1, c : c + 2 * half + 1].all() for c in range(masks[i].shape[1])] for r in range(masks[i].shape[0])])
+        assert np.array_equal(to_array(out.where(F.col("scene_id") == i), "e").astype(bool), want)
+
+
 def test_gradient_matches_numpy(spark, noise):
     gy, gx = np.gradient(noise)
     assert np.allclose(to_array(rasters.gradient(pixel_table(spark, {"v": noise}), ["scene_id"], "v", "e"), "e"), np.hypot(gx, gy))
