@@ -2,192 +2,235 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scenequarry.llm.common import ROW_BITS, byte_list, schema_of, sliced
+from scenequarry.llm.common import byte_list
+from scenequarry.operators.joins import join_small
 from scenequarry.session import cut_lineage
 
-# Words and pairs of words are counted each for itself, known by 128 bits. No table has a size of its own: documents are put
-# in blocks, a block asks for its distinct n-grams, and the n-grams are dealt to as many parts as the corpus needs.
-WORD_BITS = 20                   # add-one smoothing of the word model reckons with 2^20 word forms; no table has this size
+# Words and pairs of words are counted each for itself, known by 72 bits. No table has a size of its own: documents are dealt to blocks,
+# a block asks for its distinct n-grams, and the n-grams are dealt to as many parts as the corpus needs.
 SMOOTHING = 50.0                 # pseudo-counts of the word model in the pair model
 MIX = np.uint64(0x9E3779B97F4A7C15)
-BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 20_000       # a block ends with the text that passes one of these
+BLOCK_BYTES, BLOCK_ROWS = 8 << 20, 50_000       # text and rows of a block, about
 PART_BYTES = 16 << 20            # text per part of the n-grams
+HOT_ROWS = 1000                  # rows of one id beyond which they are dealt to several blocks
 
 
-def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order in which the keys (rows of two numbers) are sorted, and where a new one starts in it."""
-    order = np.argsort(keys[:, 0])
-    for again in (True, False):
-        rows = keys[order]
-        first, second = rows[1:, 0] != rows[:-1, 0], rows[1:, 1] != rows[:-1, 1]
-        if again and (~first & second).any():           # equal in the first number only
-            order = np.lexsort((keys[:, 1], keys[:, 0]))
-        else:
-            break
-    return order, np.flatnonzero(np.r_[np.ones(min(1, len(keys)), bool), first | second])
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers, byte by byte: all lowest bytes, then the next; as many as the largest number needs."""
+    width = max(1, (int(numbers.max()).bit_length() + 7) // 8) if len(numbers) else 1
+    return bytes([width]) + np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
-def _places(order: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Per key its place among the distinct ones."""
-    places = np.empty(len(order), np.int64)
-    places[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(order)]))
-    return places
+def unpacked(data: bytes) -> np.ndarray:
+    width = data[0]
+    columns = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((columns.shape[1], 8), np.uint8)
+    out[:, :width] = columns.T
+    return out.view("<u8").ravel()
 
 
 @dataclass
-class Block:
-    """The n-grams of some texts: ``keys`` holds the pair (with the word before) of each word, then the words themselves."""
+class Grams:
+    """n-grams of one kind, each known by 64 and 8 bits; ``at`` numbers the distinct ones in ascending order."""
 
     keys: np.ndarray
-    sizes: np.ndarray        # words per text
+    checks: np.ndarray
+
+    def __post_init__(self):
+        order = np.argsort(self.keys, kind="stable")
+        same = self.keys[order][1:] == self.keys[order][:-1]
+        if (same & (self.checks[order][1:] != self.checks[order][:-1])).any():
+            order = np.lexsort((self.checks, self.keys))
+            same = (self.keys[order][1:] == self.keys[order][:-1]) & (self.checks[order][1:] == self.checks[order][:-1])
+        first = np.r_[np.ones(min(1, len(order)), bool), ~same]
+        self.order, self.starts = order, np.flatnonzero(first)
+        self.at = np.empty(len(order), np.int64)
+        self.at[order] = np.cumsum(first) - 1
+
+    def summed(self, numbers: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(numbers[self.order], self.starts) if len(self.starts) else numbers[:0]
 
-    @classmethod
-    def of(cls, texts: list[bytes]) -> Block:
-        words = [text.lower().split() for text in texts]
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.keys[self.order[self.starts]], self.checks[self.order[self.starts]]
+
+
+class Block:
+    """The documents of a block: words per text, the words and the pairs (each word with the one before) at their places."""
+
+    def __init__(self, rows: pa.Table):
+        marks = rows["mark"].to_numpy(zero_copy_only=False).astype(bool)
+        self.rows = rows.filter(pa.array(~marks))
+        ids = self.rows["doc_id"].combine_chunks()
+        marked = rows.filter(pa.array(marks))["doc_id"].combine_chunks()
+        self.chosen = pc.is_in(ids, marked, skip_nulls=True).to_numpy(zero_copy_only=False).astype(bool)
+        words = [text.lower().split() for text in byte_list(self.rows["text"].combine_chunks())]
+        self.sizes = np.fromiter(map(len, words), np.int64, len(words))
         hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for some in words for w in some), np.uint64).reshape(-1, 2)
         before = np.zeros_like(hashes)
         before[1:] = hashes[:-1]
-        before[cls.heads(sizes)] = 0
-        return cls(np.concatenate([((before * MIX) ^ hashes) * MIX, hashes]), sizes)
+        self.heads = (np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]       # first words of texts
+        before[self.heads] = 0
+        pairs = ((before * MIX) ^ hashes) * MIX
+        shift = np.uint64(56)
+        self.words, self.pairs = (Grams(x[:, 0].copy(), (x[:, 1] >> shift).astype(np.uint8)) for x in (hashes, pairs))
+        self.doc = np.repeat(np.arange(len(words)), self.sizes)
 
-    @staticmethod
-    def heads(sizes: np.ndarray) -> np.ndarray:
-        """The places of the texts' first words."""
-        return (np.cumsum(sizes) - sizes)[sizes > 0]
+    def counts(self, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
+        """In the block's targets and in all its texts."""
+        return grams.summed(self.chosen[self.doc].astype(np.int64)), grams.summed(np.ones(len(self.doc), np.int64))
 
 
-@dataclass
-class Totals:
-    """Numbers of words of target and background, and the number of parts of the n-grams."""
+def _part_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Parts are slices of the keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
 
-    target: int
-    background: int
-    parts: int
+ASKED = "block bigint, part bigint, n_words bigint, keys binary, checks binary, target binary, background binary"
+ANSWERED = "block bigint, part bigint, n_words bigint, n_pairs bigint, shared binary, target binary, background binary, vocabulary bigint, target_words bigint, background_words bigint"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, text, in target) with their block and number of words."""
-    block, n_bytes, n_rows = TaskContext.get().partitionId() << ROW_BITS, 0, 0
-    for batch in sliced(batches):
-        blocks, words = [], []
-        for text in byte_list(batch.column(1)):
-            blocks.append(block)
-            words.append(len(text.split()))
-            n_bytes, n_rows = n_bytes + len(text), n_rows + 1
-            if n_bytes >= BLOCK_BYTES or n_rows >= BLOCK_ROWS:
-                block, n_bytes, n_rows = block + 1, 0, 0
-        more = [pa.array(blocks, pa.int64()), pa.array(words, pa.int64())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "block", "n_tokens"])
+def _table(schema: str, columns: list) -> pa.Table:
+    types = {"bigint": pa.int64(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table({name: pa.array(values, types[kind]) for (name, kind), values in zip(fields, columns)})
 
 
 def _asked(parts: int):
-    """Per block and part one row: the block's distinct n-grams there, sorted, with their counts in its texts."""
-
-    def ask(docs: pa.Table) -> pa.Table:
-        block = Block.of(byte_list(docs["text"].combine_chunks()))
-        order, starts = _distinct(block.keys)
-        chosen = np.tile(np.repeat(docs["chosen"].to_numpy(zero_copy_only=False).astype(np.int32), block.sizes), 2)
-        keys = block.keys[order[starts]]
-        counts = np.diff(np.r_[starts, len(order)]).astype(np.int32)
-        target = np.add.reduceat(chosen[order], starts) if len(starts) else counts
-        part = ((keys[:, 0] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)      # grows with the key: parts are slices
-        rows = []
-        for p, at in zip(*np.unique(part, return_index=True)):
-            own = slice(at, np.searchsorted(part, p, "right"))
-            rows.append((int(p), keys[own].tobytes(), target[own].astype(np.int32).tobytes(), counts[own].tobytes()))
-        columns = zip(*rows) if rows else ((), (), (), ())
-        made = [pa.array(x, t) for x, t in zip(columns, (pa.int64(), *(pa.binary(),) * 3))]
-        return pa.Table.from_arrays([pa.array([docs["block"][0].as_py()] * len(rows), pa.int64()), *made], ["block", "part", "keys", "target", "background"])
+    """Per block a row for each part: the block's distinct words and pairs there, as differences, with their counts in its texts."""
+
+    def ask(rows: pa.Table) -> pa.Table:
+        block = Block(rows)
+        if not len(block.sizes):
+            return _table(ASKED, [[]] * 7)
+        kinds = []
+        for grams in (block.words, block.pairs):
+            keys, checks = grams.distinct()
+            edges = np.searchsorted(_part_of(keys, parts), np.arange(parts + 1, dtype=np.uint64))
+            kinds.append((keys, checks, *block.counts(grams), edges))
+        out = []
+        for p in range(parts):
+            own = [[x[k[4][p] : k[4][p + 1]] for x in k[:4]] for k in kinds]
+            steps = np.concatenate([np.diff(o[0], prepend=np.uint64(0)) for o in own])
+            out.append((p, len(own[0][0]), packed(steps), np.concatenate([o[1] for o in own]).tobytes(), *(packed(np.concatenate([o[i] for o in own])) for i in (2, 3))))
+        number = rows["block"][0].as_py()
+        return _table(ASKED, [[number] * parts, *zip(*out)])
 
     return ask
 
 
 def _answered(asked: pa.Table) -> pa.Table:
-    """Per row of a part's requests the counts of its n-grams in the corpus, in the same order."""
-    keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in asked["keys"]]).reshape(-1, 2)
-    ends = np.cumsum(pc.binary_length(asked["keys"]).to_numpy())[:-1] // 16
-    order, starts = _distinct(keys)
-    places = _places(order, starts)
-    answers = []
-    for name in ("target", "background"):
-        counts = np.concatenate([np.frombuffer(x.as_buffer(), np.int32) for x in asked[name]]).astype(np.int64)
-        total = np.add.reduceat(counts[order], starts)[places]
-        answers.append(pa.array([x.tobytes() for x in np.split(total, ends)], pa.binary()))
-    return pa.Table.from_arrays([asked["block"], asked["part"], *answers], ["block", "part", "target", "background"])
-
-
-def _rated(totals: Totals):
+    """Per row of a part's requests how often its n-grams are in other blocks (one bit where in none), and the part's totals of words."""
+    rows = asked.to_pylist()
+    n_words = [r["n_words"] for r in rows]
+    steps, checks = [unpacked(r["keys"]) for r in rows], [np.frombuffer(r["checks"], np.uint8) for r in rows]
+    own = [[unpacked(r[name]).astype(np.int64) for r in rows] for name in ("target", "background")]
+    others = [[[], []] for _ in rows]
+    totals = []
+    for kind in (0, 1):
+        cut = [slice(0, n) if kind == 0 else slice(n, None) for n in n_words]
+        keys = [np.cumsum(x[c], dtype=np.uint64) for x, c in zip(steps, cut)]
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        grams = Grams(np.concatenate(keys), np.concatenate([x[c] for x, c in zip(checks, cut)]))
+        for i in (0, 1):
+            counts = np.concatenate([x[c] for x, c in zip(own[i], cut)])
+            summed = grams.summed(counts)
+            if kind == 0:
+                totals.append(int(summed.sum()))
+            for mine, left in zip(others, np.split(summed[grams.at] - counts, ends)):
+                mine[i].append(left)
+        if kind == 0:
+            totals.append(len(grams.starts))
+    out = []
+    for r, (target, background) in zip(rows, others):
+        target, background = np.concatenate(target), np.concatenate(background)
+        shared = background > 0                     # the targets are among all documents
+        out.append((r["block"], r["part"], r["n_words"], len(shared) - r["n_words"], np.packbits(shared).tobytes(), packed(target[shared]), packed(background[shared]), totals[2], totals[0], totals[1]))
+    return _table(ANSWERED, list(zip(*out)))
+
+
+def _rated(rows: pa.Table, answers: pa.Table) -> pa.Table:
     """The losses of a block's documents by the counts that came back."""
-
-    def rate(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        block = Block.of(byte_list(docs["text"].combine_chunks()))
-        sizes, n = block.sizes, int(block.sizes.sum())
-        heads, doc = Block.heads(sizes), np.repeat(np.arange(len(sizes)), sizes)
-        order, starts = _distinct(block.keys)
-        places = _places(order, starts)
-        answers = answers.sort_by("part")
-        # how often the document itself has the n-gram
-        _, back, own = np.unique(np.tile(doc, 2) * max(len(starts), 1) + places, return_inverse=True, return_counts=True)
-        own = own[back]
-        chosen = docs["chosen"].to_numpy(zero_copy_only=False).astype(bool)[doc]
-        scale = min(1.0, max(totals.target, 1) / max(totals.background, 1))
-        means = []
-        for name, total, rate, out in (("target", totals.target, 1.0, chosen), ("background", totals.background, scale, np.ones(n, bool))):
-            counts = np.frombuffer(b"".join(answers[name].to_pylist()), np.int64)
-            if len(counts) != len(starts):
-                raise ValueError(f"{len(starts)} n-grams asked for, {len(counts)} counts came back")
-            known = (counts[places] - own * np.tile(out, 2)) * rate
-            c2, c1 = known[:n], known[n:]
-            ch = np.r_[np.zeros(min(1, n)), c1[:-1]]
-            ch[heads] = 0.0
-            mass = (total - sizes[doc] * out) * rate
-            unigram = (c1 + 1.0) / (mass + (1 << WORD_BITS))
-            # a word's count is of wherever it stands, at the end too: at least the sum of its pairs; the start of a text has none
-            losses = -np.log((c2 + SMOOTHING * unigram) / (np.maximum(ch, c2) + SMOOTHING))
-            means.append(np.bincount(doc, losses, len(sizes)) / np.maximum(sizes, 1))
-        made = [pa.array(sizes), *(pa.array(m, pa.float64()) for m in means)]
-        return pa.Table.from_arrays([docs["doc_id"], *made], ["doc_id", "n_tokens", "target_loss", "background_loss"])
-
-    return rate
+    block = Block(rows)
+    answers = answers.sort_by("part").to_pylist()
+    sizes, n, doc, heads = block.sizes, len(block.doc), block.doc, block.heads
+    others = [[[], []], [[], []]]               # kind, model
+    for a in answers:
+        bits = np.unpackbits(np.frombuffer(a["shared"], np.uint8), count=a["n_words"] + a["n_pairs"])
+        for model, name in enumerate(("target", "background")):
+            full = np.zeros(len(bits), np.int64)
+            full[np.flatnonzero(bits)] = unpacked(a[name])
+            others[0][model].append(full[: a["n_words"]])
+            others[1][model].append(full[a["n_words"] :])
+    vocabulary, target_words, background_words = (sum(a[c] for a in answers) for c in ("vocabulary", "target_words", "background_words"))
+    scale = min(1.0, max(target_words, 1) / max(background_words, 1))
+    # how often the document itself has the n-gram
+    own = []
+    for grams in (block.words, block.pairs):
+        _, back, counts = np.unique(doc * max(len(grams.starts), 1) + grams.at, return_inverse=True, return_counts=True)
+        own.append(counts[back])
+    mine = [block.counts(grams) for grams in (block.words, block.pairs)]
+    chosen = block.chosen[doc]
+    means = []
+    for model, (total, rate, out) in enumerate(((target_words, 1.0, chosen), (background_words, scale, np.ones(n, bool)))):
+        c1, c2 = (
+            ((mine[k][model] + np.concatenate(others[k][model] or [np.zeros(0, np.int64)]))[grams.at] - own[k] * out) * rate
+            for k, grams in enumerate((block.words, block.pairs))
+        )
+        ch = np.r_[np.zeros(min(1, n)), c1[:-1]]
+        ch[heads] = 0.0
+        mass = (total - sizes[doc] * out) * rate
+        unigram = (c1 + 1.0) / (mass + vocabulary + 1.0)
+        # a word's count is of wherever it stands, at the end too: at least the sum of its pairs; the start of a text has none
+        losses = -np.log((c2 + SMOOTHING * unigram) / (np.maximum(ch, c2) + SMOOTHING))
+        means.append(np.bincount(doc, losses, len(sizes)) / np.maximum(sizes, 1))
+    made = [pa.array(sizes), *(pa.array(m, pa.float64()) for m in means)]
+    return pa.Table.from_arrays([block.rows["doc_id"], *made], ["doc_id", "n_tokens", "target_loss", "background_loss"])
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_tokens, target_loss, background_loss, score (background less target, per word; higher: more like the target).
 
     ``target`` lists the ids (its first column) of the documents that the target model learns from; the background model learns from all.
-    The background counts are scaled to the target's number of words, so both models are smoothed alike.
-    A document's own counts are left out when it is scored. Null counts as empty; texts without words have losses and score 0.
-    A null id is never a target. Repeated ids in ``target`` count once, repeated documents are rows of their own. Without targets the
-    target model is uniform. An empty table gives an empty one, and other columns do not matter.
+    The background counts are scaled to the target's number of words, and both models share one vocabulary, the distinct words of all documents
+    and one more, so both are smoothed alike. A document's own counts are left out when it is scored.
+
+    Texts are dealt out once, by id, and so are the targets; rows of an id that many have (and of none) go to several blocks. A block's
+    n-grams go to the parts that count them, and only counts of n-grams that other blocks have too come back.
+
+    Null counts as empty; texts without words have losses and score 0. A null id is never a target. Repeated ids in ``target`` count once,
+    repeated documents are rows of their own. Without targets the target model is uniform. An empty table gives an empty one, and other
+    columns do not matter.
     """
-    chosen = target.select(F.col(target.columns[0]).alias("doc_id")).where("doc_id IS NOT NULL").distinct().withColumn("chosen", F.lit(True))
-    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(chosen.hint("merge"), "doc_id", "left")
-    # the list of targets grows with the corpus, so it is never broadcast; both passes read the joined rows
-    given = given.select("doc_id", "text", F.coalesce("chosen", F.lit(False)).alias("chosen"))
-    marked = cut_lineage(given.mapInArrow(_blocks, schema_of(given, "block bigint", "n_tokens bigint")))
-    words = F.coalesce(F.sum("n_tokens"), F.lit(0))
-    sums = marked.agg(F.coalesce(F.sum(F.when(F.col("chosen"), F.col("n_tokens"))), F.lit(0)), words, F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    totals = Totals(sums[0], sums[1], max(1, -(-sums[2] // PART_BYTES)))
-
-    # both passes group the same columns by block, so the texts are dealt out once
-    blocks = marked.select("block", "doc_id", "text", "chosen")
-    asked = blocks.groupBy("block").applyInArrow(_asked(totals.parts), "block bigint, part bigint, keys binary, target binary, background binary")
-    answers = asked.groupBy("part").applyInArrow(_answered, "block bigint, part bigint, target binary, background binary")
     kind = docs.schema[doc_id].dataType.simpleString()
+    given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    size, rows = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    n_blocks, parts = max(1, -(-size // BLOCK_BYTES), -(-rows // BLOCK_ROWS)), max(1, -(-size // PART_BYTES))
+
+    hot = given.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS)
+    hot = cut_lineage(hot.select("doc_id", F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("shares")))
+    marks = target.select(F.col(target.columns[0]).cast(kind).alias("doc_id")).where("doc_id IS NOT NULL").distinct()
+    shares, row = F.coalesce("shares", F.lit(1)), F.monotonically_increasing_id()
+    block = lambda *of: F.pmod(F.xxhash64(*of), F.lit(n_blocks))
+    dealt = join_small(given, hot, ["doc_id"], "left").select(
+        F.when(F.col("doc_id").isNull(), block(row)).otherwise(block("doc_id", F.pmod(row, shares).cast("int"))).alias("block"), "doc_id", "text", F.lit(False).alias("mark")
+    )
+    marked = join_small(marks, hot, ["doc_id"], "left").select("doc_id", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    marked = marked.select(block("doc_id", "share").alias("block"), "doc_id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("mark"))
+    blocks = dealt.unionByName(marked)          # both passes group it alike and read the same shuffle
+
+    asked = blocks.groupBy("block").applyInArrow(_asked(parts), ASKED)
+    answers = asked.groupBy("part").applyInArrow(_answered, ANSWERED)
     losses = f"doc_id {kind}, n_tokens bigint, target_loss double, background_loss double"
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_rated(totals), losses)
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_rated, losses)
     return scored.withColumn("score", F.col("background_loss") - F.col("target_loss"))
 
 

@@ -266,9 +266,9 @@ def test_lm_score(spark, messy, nothing):
             pairs.update(zip([None, *w], w))
             n += len(w)
     w = texts[200].split()
-    loss = 0.0
+    vocabulary, loss = len({x for t in texts.values() for x in t.split()}), 0.0
     for before, word in zip([None, *w], w):
-        uni = (words[word] + 1) / (n + (1 << lm_score.WORD_BITS))
+        uni = (words[word] + 1) / (n + vocabulary + 1)
         c2 = pairs[(before, word)]
         loss -= np.log((c2 + lm_score.SMOOTHING * uni) / (max(words[before], c2) + lm_score.SMOOTHING))
     assert got[200].target_loss == pytest.approx(loss / len(w), rel=1e-3)
@@ -278,6 +278,24 @@ def test_lm_score(spark, messy, nothing):
     assert lm_score.cross_entropy_difference(messy, target.limit(0)).count() == len(ROWS)
 
 
+def test_numbers_packed_by_bytes():
+    for numbers in ([], [0], [1, 255, 256, 0], [2**64 - 1, 0, 7]):
+        assert lm_score.unpacked(lm_score.packed(np.array(numbers, np.uint64))).tolist() == numbers
+
+
+def test_lm_score_of_hot_ids_and_small_blocks(spark, messy, monkeypatch):
+    """Where the documents lie changes no loss: many blocks and parts, and one id that a third of the rows have."""
+    rows = [(i if i % 3 else 42, f"w{i % 17} w{i % 5} w{i % 3} common w{i}") for i in range(600)] + [(None, f"w{i} none") for i in range(50)]
+    docs = spark.createDataFrame([(d, t, 1, "x", True) for d, t in rows], "doc_id bigint, text string, block int, n_tokens string, chosen boolean").repartition(5)
+    target = spark.createDataFrame([(i,) for i in range(0, 300, 2)] + [(42,), (42,), (None,)], "id int")
+    once = Counter(map(tuple, lm_score.cross_entropy_difference(docs, target).collect()))
+    for name, value in (("BLOCK_ROWS", 40), ("PART_BYTES", 1000), ("HOT_ROWS", 20)):
+        monkeypatch.setattr(lm_score, name, value)
+    again = lm_score.cross_entropy_difference(docs, target).collect()
+    near = lambda counts: sorted((str(d), n, *(round(x, 9) for x in rest)) for (d, n, *rest), k in counts.items() for _ in range(k))
+    assert near(once) == near(Counter(map(tuple, again)))
+
+
 def test_lm_score_counts_every_ngram_for_itself(spark):
     # so many distinct words and pairs that a table of 2^22 cells would mix up some of each text, in several blocks
     rng = np.random.default_rng(7)
@@ -305,7 +323,7 @@ def test_lm_score_counts_every_ngram_for_itself(spark):
             for before, word in zip([None, *w], w):
                 c2 = (pairs[k][before, word] - out * own2[before, word]) * rate
                 c1, ch = ((words[k][x] - out * own[x]) * rate for x in (word, before))
-                uni = (c1 + 1) / ((n[k] - out * len(w)) * rate + (1 << lm_score.WORD_BITS))
+                uni = (c1 + 1) / ((n[k] - out * len(w)) * rate + len(words[1]) + 1)
                 loss -= np.log((c2 + lm_score.SMOOTHING * uni) / (max(ch, c2) + lm_score.SMOOTHING))
             assert got[d][name] == pytest.approx(loss / max(len(w), 1), rel=1e-9)
 
