@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -48,26 +49,37 @@ def event_stream(spark, d):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
-@query("lockout_stream", FOLD)
-def lockout_stream(spark, d):
-    events = event_stream(spark, d).where(F.col("event_type").isin("error", "signup"))
-    attempts = events.select(
-        (F.col("user_id") % 10).cast("string").alias("account"), (F.unix_timestamp("ts").cast("double") / 60).alias("t"),
-        (F.col("event_type") == "signup").alias("ok"), F.col("event_id").alias("seq"),
-    )
-    folder = work_folder(spark)
+@contextmanager
+def rocksdb(spark):
+    """The state store that the stateful streams need, for as long as they run."""
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, lockout.ROCKSDB)
     try:
-        verdicts = lockout.lockout_stream(attempts)
-        running = (
-            verdicts.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint")
-            .trigger(availableNow=True).start()
-        )
-        running.awaitTermination()
+        yield
     finally:
         spark.conf.set(provider, before)
+
+
+@query("lockout_stream", FOLD)
+def lockout_stream(spark, d):
+    """The attempts arrive as files of a quarter of the time each, then a tick far behind the last one; at the end no account has state."""
+    attempts = bind(spark, d, "attempts").select("account", F.col("t").cast("double").alias("t"), "ok", "seq")
+    folder = work_folder(spark)
+    start, end = attempts.agg(F.min("t"), F.max("t")).first()
+    quarter = F.least(F.lit(3), F.floor((F.col("t") - start) / (end - start) * 4))
+    tick = spark.createDataFrame([(None, end + 1e5, True, -1)], attempts.schema).coalesce(1)
+    with rocksdb(spark):
+        for part in [*(attempts.where(quarter == k) for k in range(4)), tick]:
+            part.write.mode("append").parquet(f"{folder}/in")
+            running = (
+                lockout.lockout_stream(spark.readStream.schema(attempts.schema).parquet(f"{folder}/in")).writeStream.format("parquet")
+                .option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+            )
+            running.awaitTermination()
+    left = spark.read.format("statestore").option("stateVarName", "lockout").load(f"{folder}/checkpoint").count()
+    if left:
+        raise RuntimeError(f"{left} rows of state are left after the last window")
     return spark.read.schema(lockout.VERDICTS).parquet(f"{folder}/out").select("account", "seq", "verdict", "wait_s")
 
 
@@ -79,16 +91,23 @@ NOW, MAX_AGE = 1706659200.0, 24.0
     oracle("session_files", f"SELECT session, max(mtime) AS newest FROM session_files WHERE session NOT LIKE 'scratch%' GROUP BY session HAVING max(mtime) < {NOW} - {MAX_AGE} * 3600"),
 )
 def retention_stream(spark, d):
+    """The inventory as it is listed, then a tick of the clock, at which the timers up to now fire."""
     h = F.md5(F.col("user_id").cast("string"))
     uuid_like = F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4), F.substring(h, 17, 4), F.substring(h, 21, 12))
-    inventory = event_stream(spark, d).select(
+    seconds = F.unix_timestamp("ts").cast("double")
+    inventory = table(spark, d, "events").select(
         F.when(F.col("user_id") % 10 == 0, F.concat(F.lit("scratch"), F.col("user_id").cast("string"))).otherwise(uuid_like).alias("session"),
-        F.col("event_id").cast("string").alias("path"), F.unix_timestamp("ts").cast("double").alias("mtime"),
+        F.col("event_id").cast("string").alias("path"), seconds.alias("mtime"), F.least(seconds, F.lit(NOW - 1)).alias("listed"),
     )
     folder = work_folder(spark)
-    expire = lambda expired: expired.write.mode("overwrite").parquet(f"{folder}/out")
-    retention.start_sweeps(inventory, lambda: NOW, MAX_AGE, expire, f"{folder}/checkpoint", every=None).awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    expire = lambda expired: expired.write.mode("append").parquet(f"{folder}/out")
+    tick = spark.createDataFrame([(None, None, None, NOW)], inventory.schema).coalesce(1)
+    with rocksdb(spark):
+        for part in (inventory, tick):
+            part.write.mode("append").parquet(f"{folder}/in")
+            arriving = spark.readStream.schema(inventory.schema).parquet(f"{folder}/in")
+            retention.start_sweeps(arriving, MAX_AGE, expire, f"{folder}/checkpoint", every=None).awaitTermination()
+    return spark.read.schema(retention.EXPIRED).parquet(f"{folder}/out")
 
 
 def sample_predictor(items: list[dict]) -> list[tuple[str, float | None]]:

@@ -6,6 +6,7 @@ count; an expired window starts afresh.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -69,13 +70,16 @@ def lockout_verdicts(attempts: DataFrame) -> DataFrame:
 
 
 class LockoutProcessor(StatefulProcessor):
-    """Per account: failures, start of the window and the last attempt folded."""
+    """Per account with failures: their number, start of the window, the last attempt folded, and the timer that ends the window."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("lockout", "failures int, first_at double, last_t double")
+        self.handle = handle
+        self.state = handle.getValueState("lockout", "failures int, first_at double, last_t double, timer bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        failures, first_at, last_t = self.state.get() if self.state.exists() else (0, 0.0, float("-inf"))
+        if key[0] is None:
+            return
+        failures, first_at, last_t, timer = self.state.get() if self.state.exists() else (0, 0.0, float("-inf"), None)
         batch = pd.concat(list(rows)).sort_values(["t", "seq"])        # one trigger's rows of one account
         verdicts, waits = [], []
         for row in batch.itertuples(index=False):
@@ -86,18 +90,38 @@ class LockoutProcessor(StatefulProcessor):
                 last_t = row.t
             verdicts.append(verdict)
             waits.append(wait)
-        self.state.update((int(failures), float(first_at), float(last_t)))
+        ends = math.ceil((first_at + WINDOW_SECONDS) * 1000) if failures else None
+        if timer is not None and timer != ends:
+            self.handle.deleteTimer(timer)
+        if ends is None:
+            self.state.clear()                                        # nothing to remember of an account without failures
+        else:
+            if timer != ends:
+                self.handle.registerTimer(ends)
+            self.state.update((int(failures), float(first_at), float(last_t), ends))
         yield batch[["account", "t", "seq"]].assign(verdict=verdicts, wait_s=pd.array(waits, dtype="Int64"))
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def lockout_stream(attempts: DataFrame) -> DataFrame:
-    """Stream form over the same columns; needs the RocksDB state store (``ROCKSDB``) in the session."""
+def lockout_stream(attempts: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Stream form over the same columns; needs the RocksDB state store (``ROCKSDB``) in the session.
+
+    ``t`` is event time: attempts may come up to ``delay`` out of order (older than one already judged: ``late``); Spark drops those
+    older than the watermark. A window's timer fires when the watermark passes its end, so only accounts in an open window
+    have state. Rows without an account are ticks of the clock: they move the watermark and have no verdict.
+    """
+    seconds = F.col("t").cast("double")
     shaped = attempts.select(
-        F.col("account").cast("string").alias("account"), F.col("t").cast("double").alias("t"), "ok", F.col("seq").cast("long").alias("seq")
+        F.col("account").cast("string").alias("account"), seconds.alias("t"), "ok", F.col("seq").cast("long").alias("seq"),
+        F.timestamp_millis(F.floor(seconds * 1000).cast("long")).alias("at"),
     )
-    return shaped.groupBy("account").transformWithStateInPandas(
-        statefulProcessor=LockoutProcessor(), outputStructType=VERDICTS, outputMode="Append", timeMode="None"
+    # a filter would be pushed below the watermark, so ticks are the group without a key
+    return shaped.withWatermark("at", delay).groupBy("account").transformWithStateInPandas(
+        statefulProcessor=LockoutProcessor(), outputStructType=VERDICTS, outputMode="Append", timeMode="EventTime"
     )

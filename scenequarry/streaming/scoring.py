@@ -1,4 +1,4 @@
-"""Incremental scoring: only new items are asked, results are appended, the checkpoint resumes the run."""
+"""Incremental scoring: only new items are asked, every batch's results have their place, the checkpoint resumes the run."""
 
 from __future__ import annotations
 
@@ -42,14 +42,29 @@ def start_scoring(
     items: DataFrame, spaces: DataFrame, predictor: Callable, run_folder: str, config: dict,
     inventory: DataFrame | None = None, available_now: bool = True,
 ) -> StreamingQuery:
-    """Score a stream of items into ``run_folder/predictions``; a folder of another run is refused."""
+    """Score a stream of items into ``run_folder/predictions``; a folder of another run is refused.
+
+    The stream's state keeps the ids that were asked, so no log is read again, and a batch writes the folder of its number: one that is
+    replayed after a failure replaces what it left. State and numbers live in the checkpoint, so predictions without theirs are refused.
+    """
     spark = items.sparkSession
     guard_run(spark, f"{run_folder}/config", config)
-    log_path = f"{run_folder}/predictions"
+    log_path, checkpoint = f"{run_folder}/predictions", f"{run_folder}/checkpoint"
+    if read_log(spark, log_path) is not None and not _exists(spark, f"{checkpoint}/metadata"):
+        raise ValueError(f"{run_folder} holds predictions but not the checkpoint they belong to")
 
-    def append(batch: DataFrame, batch_id: int) -> None:
-        log = read_log(batch.sparkSession, log_path)
-        score_new_items(batch, spaces, predictor, log, inventory).write.mode("append").json(log_path)
+    def put(batch: DataFrame, batch_id: int) -> None:
+        score_new_items(batch, spaces, predictor, None, inventory).write.mode("overwrite").json(f"{log_path}/batch={batch_id}")
 
-    writer = items.writeStream.foreachBatch(append).option("checkpointLocation", f"{run_folder}/checkpoint")
+    writer = items.dropDuplicates(["item_id"]).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.text(path).limit(1).collect()
+        return True
+    except Exception as err:
+        if "PATH_NOT_FOUND" in str(err):
+            return False
+        raise

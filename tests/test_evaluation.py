@@ -204,6 +204,16 @@ def test_stream_scoring_resumes(spark, tmp_path):
     log = run()
     assert log.count() == 10 and log.where("correct").count() == items.where("answer = 'yes'").count()
     assert run().count() == 10
+    # killed before its last batch was committed: the batch is replayed and takes the place of what it had written
+    commits = [c for c in (tmp_path / "run/checkpoint/commits").iterdir() if c.name.isdigit()]
+    last = max(commits, key=lambda c: int(c.name))
+    for c in (last, last.with_name(f".{last.name}.crc")):
+        c.unlink(missing_ok=True)
+    log = run()
+    assert log.count() == 10 and log.select("item_id").distinct().count() == 10
+    (tmp_path / "run/checkpoint/metadata").rename(tmp_path / "elsewhere")
+    with pytest.raises(ValueError, match="checkpoint"):
+        run()
 
 
 def test_items_without_images_are_error_records(spark):

@@ -6,7 +6,7 @@ from scenequarry.functions import dates, language, places
 from scenequarry.operators import chat, runs, uploads
 from scenequarry.sources import records, releases, reports
 from scenequarry.sources.uploads import read_session_files, read_uploads
-from scenequarry.streaming import lockout
+from scenequarry.streaming import lockout, retention
 
 
 def column(spark, values, expression, kind="string"):
@@ -184,15 +184,44 @@ def test_lockout_matches_a_plain_walk_on_a_hot_account(spark):
 
 
 def test_lockout_as_a_stream_keeps_state_between_batches(spark, tmp_path):
-    table = attempts(spark, CASES)
+    """State survives restarts, goes with its window, and rows behind the watermark have no verdict."""
+    table = attempts(spark, [(a, t + 5000, ok) for a, t, ok in CASES])       # a stream's watermark begins at 0
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", lockout.ROCKSDB)
-    for part in ("t < 3", "t >= 3"):
-        table.where(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = spark.readStream.schema(table.schema).parquet(f"{tmp_path}/in")
+    end = max(t for _, t, _ in CASES) + 5000.0
+    tick = spark.createDataFrame([(None, end + 1e4, True, -1)], table.select("account", "t", "ok", "seq").schema)
+    late = spark.createDataFrame([("late", 1.0, True, 999), ("new", end + 2e4, False, 1000)], tick.schema)
+    columns = table.select("account", "t", "ok", "seq")
+    left = []
+    for part in (columns.where("t < 5003"), columns.where("t >= 5003"), tick, late):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(columns.schema).parquet(f"{tmp_path}/in")
         query = lockout.lockout_stream(stream).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
         query.awaitTermination()
+        left.append(spark.read.format("statestore").option("stateVarName", "lockout").load(f"{tmp_path}/cp").count())
     got = spark.read.parquet(f"{tmp_path}/out").orderBy("seq").collect()
-    assert [r["verdict"] for r in got] == EXPECTED
+    assert [r["verdict"] for r in got] == [*EXPECTED, "failed"]
+    assert left[0] > 0 and left[2] == 0 and left[3] == 1
+
+
+def test_sweep_reports_a_session_once(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", lockout.ROCKSDB)
+    a, b = "0123abcd-0123-4123-8123-0123456789ab", "1123abcd-0123-4123-8123-0123456789ab"
+    schema, hour = "session string, path string, mtime double, listed double", 3600.0
+    batches = [
+        [(a, "x", 0.0, 10.0), (a, "y", 5 * hour, 10.0), (b, "z", 20 * hour, 10.0), ("scratch", "s", 0.0, 10.0), (a, None, None, 11.0)],
+        [(None, None, None, 29 * hour + 1)],                       # a is 24 hours old
+        [(None, None, None, 30 * hour), (a, "new", 30 * hour, 30 * hour)],
+        [(None, None, None, 60 * hour)],                           # b, and a once more
+        [(None, None, None, 90 * hour)],
+    ]
+    swept = []
+    expire = lambda found: swept[-1].extend((r.session, r.newest / hour) for r in found.collect())
+    for rows in batches:
+        swept.append([])
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        retention.start_sweeps(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), 24, expire, f"{tmp_path}/cp", every=None).awaitTermination()
+    assert [sorted(s) for s in swept] == [[], [(a, 5.0)], [], [(a, 30.0), (b, 20.0)], []]
+    assert spark.read.format("statestore").option("stateVarName", "session").load(f"{tmp_path}/cp").count() == 0
 
 
 def test_join_small_salts_beyond_the_bound(spark, monkeypatch):
