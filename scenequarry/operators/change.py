@@ -9,7 +9,8 @@ from scenequarry.functions import language as L
 from scenequarry.functions.colour import gray, lab
 from scenequarry.functions.places import location_word
 from scenequarry.operators import masks, spatial
-from scenequarry.operators.ranking import exact_percentiles
+from scenequarry.operators.joins import join_small
+from scenequarry.operators.ranking import SKETCH_ACCURACY, bucketed_row_number, exact_percentiles
 from scenequarry.operators.rasters import erode_valid, gaussian_blur
 from scenequarry.session import cut_lineage
 
@@ -51,7 +52,7 @@ def join_dates(pairs: DataFrame, pixels: DataFrame) -> DataFrame:
     b = pixels.select(
         F.col("scene_id").alias("scene_b"), "row", "col", *[F.col(c).alias(f"{c}_b") for c in "rgb"], F.col("valid").alias("_vb")
     )
-    joined = pairs.join(a, "scene_a").join(b, ["scene_b", "row", "col"])
+    joined = join_small(a, pairs, ["scene_a"]).join(b, ["scene_b", "row", "col"])
     return joined.withColumn("valid", F.col("_va") & F.col("_vb")).drop("_va", "_vb", "scene_a", "scene_b")
 
 
@@ -151,7 +152,7 @@ def colour_deltas(signals: DataFrame) -> DataFrame:
     shift = exact_percentiles(long, ["pair_id", "channel"], "value", {"shift": 0.5})
     wide = shift.groupBy("pair_id").agg(*[F.max(F.when(F.col("channel") == c, F.col("shift"))).alias(f"_s_{c}") for c in "lab"])
     squares = [F.pow(F.col(f"d_{c}") - F.col(f"_s_{c}"), 2) for c in "lab"]
-    shifted = signals.join(wide, "pair_id").withColumn("delta", F.sqrt(squares[0] + squares[1] + squares[2]))
+    shifted = join_small(signals, wide, PAIR).withColumn("delta", F.sqrt(squares[0] + squares[1] + squares[2]))
     return cut_lineage(shifted.drop("_s_l", "_s_a", "_s_b"))
 
 
@@ -159,7 +160,7 @@ def subtle_thresholds(deltas: DataFrame) -> DataFrame:
     """(pair_id, strict): median + 4 robust deviations of the safe deltas, at least the fixed minimum."""
     safe = deltas.where("safe").select("pair_id", "delta")
     middle = exact_percentiles(safe, PAIR, "delta", {"_med": 0.5})
-    away = safe.join(middle, "pair_id").select("pair_id", F.abs(F.col("delta") - F.col("_med")).alias("away"))
+    away = join_small(safe, middle, PAIR).select("pair_id", F.abs(F.col("delta") - F.col("_med")).alias("away"))
     spread = exact_percentiles(away, PAIR, "away", {"_mad": 0.5})
     strict = F.greatest(F.lit(SUBTLE_MIN_DELTA), F.col("_med") + 4 * MAD_TO_SIGMA * F.col("_mad"))
     return middle.join(spread, "pair_id").select("pair_id", strict.alias("strict"))
@@ -168,7 +169,7 @@ def subtle_thresholds(deltas: DataFrame) -> DataFrame:
 def subtle_regions(signals: DataFrame, clouds: DataFrame, shapes: DataFrame, major: DataFrame) -> DataFrame:
     """Smaller local colour changes of optical pairs outside major boxes, at most four per pair after filtering."""
     deltas = colour_deltas(signals.where(F.col("modality") != "sar"))
-    marked = deltas.join(subtle_thresholds(deltas), "pair_id")
+    marked = join_small(deltas, subtle_thresholds(deltas), PAIR)
     optical = shapes.where(F.col("modality") != "sar")
     hazy = clouds.join(optical.select("pair_id"), "pair_id", "left_semi")
     seeds = masks.to_runs(marked, PAIR, F.col("safe") & (F.col("delta") > F.col("strict")))
@@ -239,17 +240,20 @@ def judge_transforms(transforms: DataFrame) -> DataFrame:
     )
 
 
-def best_matches(matches: DataFrame, bucket_width: float = 1.0) -> DataFrame:
+def best_matches(matches: DataFrame, buckets: int = 64) -> DataFrame:
     """The closest 15% of each pair's matches(pair_id, match_id, distance).
 
-    Distances are cut into buckets, so a pair with very many matches is ranked in many small windows.
+    Distances are cut into buckets at a sketch's quantiles of their pair, so a pair with very many matches is ranked in windows of
+    about a ``buckets``-th of them, whatever the distances are.
     """
-    from scenequarry.operators.ranking import bucketed_row_number
-
-    bucketed = matches.withColumn("_b", F.floor(F.col("distance") / bucket_width))
-    counts = matches.groupBy("pair_id").agg(F.floor(F.count(F.lit(1)) * F.lit(MATCH_SHARE)).alias("_keep"))
+    shares = [k / buckets for k in range(1, buckets)]
+    per_pair = matches.groupBy("pair_id").agg(
+        F.floor(F.count(F.lit(1)) * F.lit(MATCH_SHARE)).alias("_keep"), F.percentile_approx("distance", shares, SKETCH_ACCURACY).alias("_edges")
+    )
+    marked = join_small(matches, per_pair, PAIR)
+    bucketed = marked.withColumn("_b", F.size(F.filter("_edges", lambda e: e < F.col("distance")))).drop("_edges")
     ranked = bucketed_row_number(bucketed, PAIR, "_b", ["distance", "match_id"], "rank")
-    return ranked.join(counts, "pair_id").where(F.col("rank") <= F.col("_keep")).drop("_b", "_keep")
+    return ranked.where(F.col("rank") <= F.col("_keep")).drop("_b", "_keep")
 
 
 # ------------------------------------------------------------------ answers

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scenequarry.functions.colour import with_value
 from scenequarry.functions.measures import clamp
+from scenequarry.operators.joins import join_small
 from scenequarry.operators.ranking import exact_percentiles
 from scenequarry.operators.rasters import bilateral_filter, gaussian_blur
 from scenequarry.session import cut_lineage
@@ -30,14 +31,14 @@ def to_eight_bit(pixels: DataFrame) -> DataFrame:
     peaks = pixels.groupBy("scene_id").agg(F.max(F.greatest("r", "g", "b")).alias("_peak"))
     scale = F.when(F.col("_peak") > 0, F.col("_peak")).otherwise(1.0)
     scaled = {c: F.floor(F.col(c) / scale * 255).cast("int") for c in "rgb"}
-    return pixels.join(peaks, "scene_id").withColumns(scaled).drop("_peak")
+    return join_small(pixels, peaks, ["scene_id"]).withColumns(scaled).drop("_peak")
 
 
 def normalised_radar(joined: DataFrame) -> DataFrame:
     """Radar values clipped to their 2..98 percentile range over valid pixels, as whole numbers 0..255."""
     bounds = exact_percentiles(joined.where("valid"), PAIR, "sar", {"_lo": LOW, "_hi": HIGH})
     scaled = (F.col("sar") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1e-5) * 255
-    return joined.join(bounds, PAIR, "left").withColumn("sar", F.floor(clamp(scaled, 0.0, 255.0)).cast("double")).drop("_lo", "_hi")
+    return join_small(joined, bounds, PAIR, "left").withColumn("sar", F.floor(clamp(scaled, 0.0, 255.0)).cast("double")).drop("_lo", "_hi")
 
 
 def smooth_radar(radar: DataFrame) -> DataFrame:
@@ -65,6 +66,6 @@ def fuse(joined: DataFrame, weight: float | None = None) -> DataFrame:
     centre = exact_percentiles(smoothed.where("valid"), PAIR, "sar", {"_centre": 0.5})
     shift = F.when(F.col("valid"), F.lit(fusion_weight(weight)) * (F.col("sar") - F.col("_centre"))).otherwise(0.0)
     value = F.floor(clamp(F.greatest("r", "g", "b") + shift, 0.0, 255.0))
-    valued = smoothed.join(centre, PAIR, "left").withColumn("_value", value)
+    valued = join_small(smoothed, centre, PAIR, "left").withColumn("_value", value)
     r, g, b = with_value(F.col("r"), F.col("g"), F.col("b"), F.col("_value"))
     return valued.select(*PAIR, "row", "col", F.bround(r).cast("int").alias("r"), F.bround(g).cast("int").alias("g"), F.bround(b).cast("int").alias("b"))

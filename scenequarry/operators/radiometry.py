@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenequarry.functions.measures import clamp
+from scenequarry.operators.joins import join_small
 from scenequarry.operators.ranking import bucketed_row_number, exact_percentiles
 from scenequarry.operators.rasters import SYMMETRIC, box_mean
 from scenequarry.session import cut_lineage
@@ -146,7 +147,7 @@ def stretch(pixels: DataFrame, bounds: DataFrame) -> DataFrame:
     wide = bounds.groupBy("group_id").agg(
         *[F.max(F.when(F.col("band") == i, F.col(e))).alias(f"_{e}_{c}") for i, c in enumerate("rgb", 1) for e in ("lo", "hi")]
     )
-    joined = pixels.join(wide, "group_id", "left")
+    joined = join_small(pixels, wide, ["group_id"], "left")
     scaled = {
         c: F.when(
             F.col("valid"),
@@ -186,7 +187,7 @@ def noise_level(varied: DataFrame, keys: Sequence[str], max_side: int | None = N
 def lee_filter(df: DataFrame, keys: Sequence[str], value: str, window: int = RADAR_WINDOW) -> DataFrame:
     """Adaptive speckle filter: flat areas become their local mean, edges and targets stay."""
     varied = cut_lineage(local_variation(df, keys, value, window))      # read by the noise level and the blend
-    joined = varied.join(noise_level(varied, keys), list(keys))
+    joined = join_small(varied, noise_level(varied, keys), list(keys))
     weight = clamp(1 - F.col("cu2") / F.greatest("ci2", F.lit(1e-12)), 0.0, 1.0)
     filtered = F.col("mean") + weight * (F.col(value) - F.col("mean"))
     return joined.withColumn(value, filtered).drop("mean", "ci2", "cu2")
@@ -211,7 +212,7 @@ def to_db(linear: Column) -> Column:
 def fill_invalid(bands: DataFrame) -> DataFrame:
     """Invalid values replaced by the valid median of their band, so they do not bleed into neighbours; null in a band without any."""
     medians = exact_percentiles(bands.where("valid"), ["scene_id", "band"], "value", {"_median": 0.5})
-    joined = bands.join(medians, ["scene_id", "band"], "left")
+    joined = join_small(bands, medians, ["scene_id", "band"], "left")
     return joined.withColumn("value", F.when(F.col("valid"), F.col("value")).otherwise(F.col("_median"))).drop("_median")
 
 
@@ -221,7 +222,7 @@ def despeckle(bands: DataFrame, integer_scenes: DataFrame) -> DataFrame:
     bands(scene_id, band, row, col, value, valid, height, width).
     """
     keys = ["scene_id", "band"]
-    filled = fill_invalid(bands).join(radar_units(bands, integer_scenes), keys)
+    filled = join_small(fill_invalid(bands), radar_units(bands, integer_scenes), list(keys))
     value, units = F.col("value"), F.col("units")
     linear = F.when(units == "db", to_linear(value)).when(units == "linear", F.greatest(value, F.lit(MIN_LINEAR))).otherwise(value)
     filtered = lee_filter(filled.withColumn("value", linear), keys, "value")
@@ -231,7 +232,7 @@ def despeckle(bands: DataFrame, integer_scenes: DataFrame) -> DataFrame:
 def despeckle_previews(pixels: DataFrame) -> DataFrame:
     """8-bit radar previews(scene_id, row, col, r, g, b, height, width): window 5, gray scenes filtered once."""
     gray = pixels.groupBy("scene_id").agg(F.bool_and((F.col("r") == F.col("g")) & (F.col("g") == F.col("b"))).alias("_gray"))
-    marked = pixels.join(gray, "scene_id")
+    marked = join_small(pixels, gray, ["scene_id"])
     channels = [F.struct(F.lit(i).alias("band"), F.col(c).cast("double").alias("value")) for i, c in enumerate("rgb", 1)]
     wanted = F.when(F.col("_gray"), F.array(channels[0])).otherwise(F.array(*channels))
     long = marked.select("scene_id", "row", "col", "height", "width", F.explode(wanted).alias("ch")).select(

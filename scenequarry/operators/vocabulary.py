@@ -16,7 +16,8 @@ def build_answer_spaces(items: DataFrame) -> DataFrame:
     """(qtype, kind, options, forms) over the whole split, never over a sample of it.
 
     A type whose answers are all digits is numeric; one with few distinct normalised answers is closed, with its
-    options in display order; the rest is open. Only closed vocabularies are ever gathered into an array.
+    options in display order; the rest is open. Only closed vocabularies are ever gathered into an array, and of the spellings of one
+    normalised answer only the first in that order, so no array is longer than MAX_CLOSED_OPTIONS.
     """
     answers = distinct_answers(items).withColumn("norm", A.normalize(F.col("answer")))
     kinds = (
@@ -33,9 +34,11 @@ def build_answer_spaces(items: DataFrame) -> DataFrame:
         )
     )
     options = (
-        answers.join(kinds.where(F.col("kind") == "closed"), "qtype")
+        answers.groupBy("qtype", "norm")
+        .agg(F.min(A.option_order(F.col("answer"))).alias("option"))
+        .join(kinds.where(F.col("kind") == "closed"), "qtype")
         .groupBy("qtype")
-        .agg(F.array_sort(F.collect_list(A.option_order(F.col("answer")))).alias("ordered"))
+        .agg(F.array_sort(F.collect_list("option")).alias("ordered"))
         .select("qtype", F.transform("ordered", lambda o: o["code"]).alias("options"))
     )
     empty = F.array().cast("array<string>")

@@ -59,6 +59,14 @@ def test_spaces(spark):
     assert got["r"] == ("closed", ["0", "0_to_10", "10_to_20", "20_to_30"])
 
 
+def test_many_spellings_are_one_option(spark):
+    rows = [("presence", "yes" if i == 7 else " " * (i % 40) + "Yes" + "." * (i // 40)) for i in range(3000)] + [("presence", "no"), ("ratio", "0"), ("ratio", "0."), ("ratio", "10_to_20")]
+    spaces = vocabulary.build_answer_spaces(spark.createDataFrame(rows, "qtype string, answer string"))
+    got = {r["qtype"]: r["options"] for r in spaces.collect()}
+    assert len(got["presence"]) == 2 and got["presence"][0] == "no" and got["presence"][1].strip(" .").lower() == "yes"
+    assert got["ratio"] == ["0", "10_to_20"]
+
+
 def test_wilson_and_failures_count_as_wrong(spark):
     rows = [("a", True, None)] * 2 + [("b", False, None), ("b", False, "boom")]
     summary = {r["qtype"]: r for r in scoring.accuracy_summary(spark.createDataFrame(rows, "qtype string, correct boolean, error string")).collect()}
