@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenequarry.functions.colour import gray
+from scenequarry.operators.joins import join_small
 from scenequarry.operators.rasters import gradient
+from scenequarry.session import cut_lineage
 
 # --- Fixed values: measure thresholds and sentences. ---
 GREEN_MARGIN, DARK_MAX, BRIGHT_MIN, EDGE_MIN = 20, 50, 200, 25
@@ -147,14 +149,117 @@ def region_shift_text() -> Column:
     return F.when(F.size(parts) > 0, F.array_join(parts, "; ")).otherwise(UNMOVED)
 
 
-def region_pixels(pixels: DataFrame, regions: DataFrame) -> DataFrame:
-    """The pixels of each region's box, numbered from the box corner: an equality join on the pair with the range
-    inside. regions(pair_id, region_no, x, y, w, h)."""
-    p = pixels.drop("height", "width")
-    boxed = p.join(regions.select("pair_id", "region_no", "x", "y", "w", "h"), "pair_id").where(
-        F.col("col").between(F.col("x"), F.col("x") + F.col("w") - 1)
-        & F.col("row").between(F.col("y"), F.col("y") + F.col("h") - 1)
+# Slopes of a pixel along an axis: to both neighbours, or at a box's side to the one inside, or none in a box one pixel wide.
+_SLOPES = ("mid", "fore", "back", "flat")
+
+
+def _slopes(df: DataFrame, keys: Sequence[str], axis: str) -> DataFrame:
+    line = Window.partitionBy(*keys, "col" if axis == "row" else "row").orderBy(axis)
+    here, before, after = F.col("_gray"), F.lag("_gray").over(line), F.lead("_gray").over(line)
+    return df.withColumns({f"_mid_{axis}": (after - before) / 2, f"_fore_{axis}": after - here, f"_back_{axis}": here - before, f"_flat_{axis}": F.lit(0.0)})
+
+
+def _running(df: DataFrame, keys: Sequence[str], axis: str, columns: Sequence[str]) -> DataFrame:
+    line = Window.partitionBy(*keys, "col" if axis == "row" else "row").orderBy(axis).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({c: F.sum(c).over(line) for c in columns})
+
+
+def _look_ups() -> Column:
+    """What a box (y1, x1) to (y2, x2) reads: (row, col, sign, sums or the edge count of one kind).
+
+    Sums take four corners. Edge pixels inside the box take four, each side without its corners two running counts along it, each
+    corner of the box is read by itself. Thin boxes have sides with the slope ``flat`` and fewer parts.
+    """
+    y1, x1, y2, x2 = (F.col(c) for c in ("_y1", "_x1", "_y2", "_x2"))
+    thin_x, thin_y = x1 == x2, y1 == y2
+    always = F.lit(True)
+
+    def read(row: Column, col: Column, sign: int, kind: Column, when: Column) -> Column:
+        there = when & (row >= 0) & (col >= 0)
+        return F.when(there, F.struct(row.cast("int").alias("row"), col.cast("int").alias("col"), F.lit(sign).alias("sign"), kind.alias("kind")))
+
+    kind = lambda down, across: F.concat(F.lit("_e_"), down, F.lit("_"), across)
+    mid = F.lit("mid")
+    left, right = F.when(thin_x, "flat").otherwise("fore"), F.lit("back")
+    top, bottom = F.when(thin_y, "flat").otherwise("fore"), F.lit("back")
+    parts = [read(y, x, s, F.lit("sums"), always) for y, x, s in ((y2, x2, 1), (y1 - 1, x2, -1), (y2, x1 - 1, -1), (y1 - 1, x1 - 1, 1))]
+    deep, broad = y2 - y1 >= 2, x2 - x1 >= 2
+    parts += [read(y, x, s, kind(mid, mid), deep & broad) for y, x, s in ((y2 - 1, x2 - 1, 1), (y1, x2 - 1, -1), (y2 - 1, x1, -1), (y1, x1, 1))]
+    for x, across, when in ((x1, left, always), (x2, right, ~thin_x)):
+        parts += [read(y, x, s, kind(mid, across), deep & when) for y, s in ((y2 - 1, 1), (y1, -1))]
+    for y, down, when in ((y1, top, always), (y2, bottom, ~thin_y)):
+        parts += [read(y, x, s, kind(down, mid), broad & when) for x, s in ((x2 - 1, 1), (x1, -1))]
+        parts += [read(y, x, 1, kind(down, across), when & own) for x, across, own in ((x1, left, always), (x2, right, ~thin_x))]
+    return F.explode(F.array_compact(F.array(*parts)))
+
+
+def region_measures(pixels: DataFrame, keys: Sequence[str], regions: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The measures of ``scene_measures`` for the box of each region, read from running sums over rows and columns.
+
+    pixels(keys, row, col, r, g, b, valid, height, width, modality) are whole grids with one row per pixel; regions(on, region_no, x, y, w, h)
+    belong to every grid of their ``on``, a part of the keys. Work grows with pixels plus regions: a box reads at most 20 places however
+    large it is, and only the rows that some box reads are summed along the second axis. Slopes of edges stay inside the box.
+
+    A box is cut to its grid; one without a pixel has no row, one without a valid pixel has null measures. A pixel without a number in
+    a colour counts as not valid.
+    """
+    keys, on = list(keys), list(on)
+    sums = ["_n", "_dark", "_bright", "_green", "_sr", "_sg", "_sb"]
+    sizes = pixels.groupBy(*keys).agg(F.max("height").alias("_height"), F.max("width").alias("_width"), F.max("modality").alias("modality"))
+    boxes = (
+        regions.select(*on, "region_no", "x", "y", "w", "h")
+        .join(sizes, on)
+        .withColumns(
+            {
+                "_y1": F.greatest(F.lit(0), F.col("y")), "_x1": F.greatest(F.lit(0), F.col("x")),
+                "_y2": F.least(F.col("_height"), F.col("y") + F.col("h")) - 1, "_x2": F.least(F.col("_width"), F.col("x") + F.col("w")) - 1,
+            }
+        )
+        .where("_y1 <= _y2 and _x1 <= _x2")
+    )
+    asked = cut_lineage(
+        boxes.select(*keys, "region_no", F.col("w").alias("width_px"), F.col("h").alias("height_px"), "modality", _look_ups().alias("_at"))
+        .select("*", "_at.*").drop("_at")
+    )
+
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+    graded = pixels.select(*keys, "row", "col", "valid", *[number(c).alias(c) for c in "rgb"]).withColumn("_gray", gray(F.col("r"), F.col("g"), F.col("b")))
+    counts = F.coalesce(F.col("valid"), F.lit(False)) & F.col("_gray").isNotNull()
+    flag = lambda test: F.when(counts & test, 1).otherwise(0).cast("long")
+    sloped = _slopes(_slopes(graded, keys, "col"), keys, "row")
+    edges = {
+        (down, across): flag(F.hypot(f"_{across}_col", f"_{down}_row") > EDGE_MIN)
+        for down in _SLOPES for across in _SLOPES
+    }
+    marked = sloped.select(
+        *keys, "row", "col",
+        flag(F.lit(True)).alias("_n"), flag(F.col("_gray") <= DARK_MAX).alias("_dark"), flag(F.col("_gray") >= BRIGHT_MIN).alias("_bright"),
+        flag(2 * F.col("g") - F.col("r") - F.col("b") > GREEN_MARGIN).alias("_green"),
+        *[F.when(counts, F.col(c)).otherwise(0.0).alias(f"_s{c}") for c in "rgb"],
+        *[e.alias(f"_e_{down}_{across}") for (down, across), e in edges.items()],
+    )
+    ends = [s for s in _SLOPES if s != "mid"]
+    downwards = _running(marked, keys, "row", [*sums, "_e_mid_mid", *[f"_e_mid_{s}" for s in ends]])
+    lines = join_small(downwards, asked.select(*keys, "row").distinct(), [*keys, "row"])
+    summed = _running(lines, keys, "col", [*sums, "_e_mid_mid", *[f"_e_{s}_mid" for s in ends]])
+
+    found = asked.join(summed, [*keys, "row", "col"])
+    edge = F.lit(0).cast("long")
+    for down, across in edges:
+        edge = F.when(F.col("kind") == f"_e_{down}_{across}", F.col(f"_e_{down}_{across}")).otherwise(edge)
+    signed = lambda c: F.sum(F.when(F.col("kind") == "sums", F.col("sign") * F.col(c)))
+    totals = found.groupBy(*keys, "region_no").agg(
+        F.max("width_px").alias("width_px"), F.max("height_px").alias("height_px"), F.max("modality").alias("modality"),
+        *[signed(c).alias(c) for c in sums], F.sum(F.col("sign") * edge).alias("_edges"),
+    )
+    n = F.when(F.col("_n") > 0, F.col("_n"))
+    share = lambda c: F.bround(100 * (F.col(c) / n)).cast("int")
+    mean = lambda c: F.bround(c / n).cast("int")
+    return totals.select(
+        *keys, "region_no", "width_px", "height_px", "modality",
+        share("_dark").alias("dark_pct"), share("_bright").alias("bright_pct"),
+        mean((299 * F.col("_sr") + 587 * F.col("_sg") + 114 * F.col("_sb")) / 1000).alias("mean_brightness"),
+        share("_edges").alias("edge_pct"),
+        *[mean(F.col(f"_s{c}")).alias(f"mean_{c}") for c in "rgb"],
+        F.when(F.col("modality") != "sar", share("_green")).alias("green_dominant_pct"),
     )
-    return boxed.withColumns(
-        {"row": F.col("row") - F.col("y"), "col": F.col("col") - F.col("x"), "height": F.col("h"), "width": F.col("w")}
-    ).drop("x", "y", "w", "h")

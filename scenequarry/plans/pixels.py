@@ -161,9 +161,8 @@ def comparability(spark, d):
 
 
 def _region_measures(spark, d):
-    keyed = pixels(spark, d).withColumn("pair_id", F.floor(F.col("scene_id") / 2))
-    boxed = measures.region_pixels(keyed, bind(spark, d, "pair_regions"))
-    by_date = measures.scene_measures(boxed.withColumn("date", F.col("scene_id") % 2), ["pair_id", "region_no", "date"])
+    keyed = pixels(spark, d).withColumns({"pair_id": F.floor(F.col("scene_id") / 2), "date": F.col("scene_id") % 2})
+    by_date = measures.region_measures(keyed, ["pair_id", "date"], bind(spark, d, "pair_regions"), ["pair_id"])
     side = lambda k: by_date.where(F.col("date") == k).drop("date")
     return measures.pair_measures(side(0), side(1), ["pair_id", "region_no"])
 
