@@ -6,14 +6,17 @@ cells of one scan are gathered into one array; nothing larger than a grid is eve
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenequarry.functions.measures import finding_label, percent, plural
 from scenequarry.functions.places import location_word
+from scenequarry.operators.joins import join_small
 
 # --- Fixed values: thresholds, labels and sentences of a scan. ---
 GRID = (4, 4)
@@ -38,6 +41,8 @@ CHANGE_LABELS = {
 }
 # --- End of fixed values. ---
 
+TILE_SIDE = 224      # side of a tile that is handed to a scorer
+
 SCAN = ("scan_id", "adapter")
 
 
@@ -70,7 +75,7 @@ def tile_pixels(pixels: DataFrame, scenes: DataFrame, rows: int = GRID[0], cols:
     A pixel can only lie in the padded window of its own cell or a neighbouring one, so the candidates are
     computed from its position instead of joining pixels to windows.
     """
-    sized = pixels.join(scenes.select("scene_id", "width", "height"), "scene_id")
+    sized = join_small(pixels, scenes.select("scene_id", "width", "height"), ["scene_id"])
 
     def candidates(position: str, side: str, n: int) -> Column:
         def inside(cell: Column) -> Column:
@@ -87,6 +92,88 @@ def tile_pixels(pixels: DataFrame, scenes: DataFrame, rows: int = GRID[0], cols:
     )
 
 
+def _byte(values: pa.ChunkedArray) -> np.ndarray:
+    numbers = values.cast(pa.float64()).to_numpy()
+    return np.clip(np.rint(np.nan_to_num(numbers)), 0, 255).astype(np.uint8)
+
+
+def tile_blocks(
+    pixels: DataFrame, scenes: DataFrame, side: int = TILE_SIDE, rows: int = GRID[0], cols: int = GRID[1], context: float = CONTEXT
+) -> DataFrame:
+    """(columns of scenes but width and height, grid_row, grid_col, tile): every padded tile as ``side`` x ``side`` x 3 bytes, by row,
+    column and channel (r, g, b).
+
+    pixels(scene_id, row, col, r, g, b), scenes(scene_id, width, height, ..), a row per scan of a scene. Tiles are resized by the nearest
+    pixel: place t of a window of n pixels reads pixel floor(t * n / side). Each pixel is kept for the places that read it only, before
+    anything is shuffled, so a scan gathers rows * cols * side * side places however large its scene is. Values are rounded and cut to 0..255;
+    missing pixels, nulls and values that are not numbers are 0. A cell without any pixel has no tile.
+    """
+    keys = [c for c in scenes.columns if c not in ("width", "height")]
+    sized = join_small(pixels.select("scene_id", "row", "col", "r", "g", "b"), scenes, ["scene_id"])
+
+    def places(position: str, size: str, n: int) -> Column:
+        at = F.col(position)
+        home = F.least(F.lit(n - 1), F.floor(at * n / F.col(size))).cast("int")
+
+        def read_by(cell: Column) -> Column:
+            low, high = F.floor(cell * F.col(size) / n), F.floor((cell + 1) * F.col(size) / n)
+            pad = F.bround((high - low) * F.lit(context)).cast("long")
+            first, last = F.greatest(F.lit(0), low - pad), F.least(F.col(size), high + pad)
+            start = F.ceil((at - first) * side / (last - first)).cast("int")
+            end = F.ceil((at - first + 1) * side / (last - first)).cast("int") - 1
+            inside = (at >= first) & (at < last) & (start <= end)
+            none = F.array().cast("array<int>")
+            return F.transform(F.when(inside, F.sequence(start, end)).otherwise(none), lambda t: F.struct(cell.alias("cell"), t.alias("t")))
+
+        near = F.sequence(F.greatest(F.lit(0), home - 1), F.least(F.lit(n - 1), home + 1))
+        return F.explode(F.flatten(F.transform(near, read_by)))
+
+    read = sized.withColumn("_down", places("row", "height", rows)).withColumn("_across", places("col", "width", cols))
+    values = read.select(
+        *keys, F.col("_down.cell").alias("grid_row"), F.col("_across.cell").alias("grid_col"),
+        (F.col("_down.t") * side + F.col("_across.t")).alias("_place"), "r", "g", "b",
+    )
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in values.select(*keys).schema.fields)
+
+    def gathered(key: tuple, table: pa.Table) -> pa.Table:
+        cell = table.column("grid_row").to_numpy().astype(np.int64) * cols + table.column("grid_col").to_numpy()
+        found, slot = np.unique(cell, return_inverse=True)
+        blocks = np.zeros((len(found), side * side, 3), np.uint8)
+        place = table.column("_place").to_numpy()
+        for channel, name in enumerate("rgb"):
+            blocks[slot, place, channel] = _byte(table.column(name))
+        same = {c: pa.repeat(k, len(found)) for c, k in zip(keys, key)}
+        return pa.table(
+            {**same, "grid_row": pa.array((found // cols).astype(np.int32)), "grid_col": pa.array((found % cols).astype(np.int32)), "tile": pa.array([x.tobytes() for x in blocks], pa.binary())}
+        )
+
+    return values.groupBy(*keys).applyInArrow(gathered, f"{schema}, grid_row int, grid_col int, tile binary")
+
+
+def score_tiles(tiles: DataFrame, scorer: Callable[[np.ndarray], Sequence[float]], per_call: int = TILES_PER_CALL) -> DataFrame:
+    """tiles(.., grid_row, grid_col, tile) with ``p`` from a caller's batch ``scorer`` in place of ``tile``.
+
+    A call gets up to ``per_call`` tiles of one scan, in order of their cells, as an array (tile, row, column, channel) of bytes, and
+    returns a number for each.
+    """
+    keys = [c for c in tiles.columns if c not in ("grid_row", "grid_col", "tile")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tiles.drop("tile").schema.fields)
+
+    def scored(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("grid_row", "ascending"), ("grid_col", "ascending")])
+        scores: list[float] = []
+        for start in range(0, table.num_rows, per_call):
+            blocks = np.stack([np.frombuffer(b, np.uint8) for b in table.column("tile").slice(start, per_call).to_pylist()])
+            side = math.isqrt(blocks.shape[1] // 3)
+            part = scorer(blocks.reshape(len(blocks), side, side, 3))
+            if len(part) != len(blocks):
+                raise ValueError(f"the scorer returned {len(part)} scores for {len(blocks)} tiles")
+            scores.extend(float(p) for p in part)
+        return table.drop_columns("tile").append_column("p", pa.array(scores, pa.float64()))
+
+    return tiles.groupBy(*keys).applyInArrow(scored, f"{schema}, p double")
+
+
 def yes_probability(logits: DataFrame, classes: DataFrame) -> DataFrame:
     """(row_id, p_yes) from logits(row_id, token, logit), comparing only classes(token, answer) 'yes' with 'no'.
 
@@ -119,19 +206,6 @@ def mean_token_probability(scores: DataFrame, chosen: DataFrame) -> DataFrame:
     return steps.groupBy("gen_id").agg(F.avg("p").alias("probability"))
 
 
-def score_tiles(tiles: DataFrame, scorer: Callable[[list], list[float]], per_call: int = TILES_PER_CALL) -> DataFrame:
-    """Run a caller's batch ``scorer`` over tiles(scan_id, adapter, grid_row, grid_col, values), a few tiles per call."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            scores: list[float] = []
-            for start in range(0, len(batch), per_call):
-                scores.extend(scorer(list(batch["values"].iloc[start : start + per_call])))
-            yield batch.drop(columns="values").assign(p=scores)
-
-    return tiles.mapInPandas(run, "scan_id bigint, adapter string, grid_row int, grid_col int, p double")
-
-
 def group_tiles(cells: DataFrame, threshold: float, rows: int = GRID[0], cols: int = GRID[1]) -> DataFrame:
     """Positive tiles with the id of their edge-connected group: (scan_id, adapter, grid_row, grid_col, p, group_id).
 

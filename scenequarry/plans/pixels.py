@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from scenequarry.functions.colour import gray
@@ -457,20 +458,42 @@ def tile_pixels(spark, d):
     return tiles.groupBy("scene_id", "grid_row", "grid_col").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("r") + 1e-9, 4).alias("mean_r"))
 
 
+TILE_BYTES = """wi AS (SELECT a.t AS gr, b.t AS gc, greatest(0, a.t * 16 - 4) AS y, least(64, a.t * 16 + 20) - greatest(0, a.t * 16 - 4) AS h, greatest(0, b.t * 16 - 4) AS x, least(64, b.t * 16 + 20) - greatest(0, b.t * 16 - 4) AS w FROM range(4) a(t), range(4) b(t)),
+rd AS (SELECT gr, gc, i.t AS i, j.t AS j, y + (i.t * h) // 24 AS row, x + (j.t * w) // 24 AS col FROM wi, range(24) i(t), range(24) j(t)),
+by8 AS (SELECT p.scene_id, CAST(gr AS INT) AS grid_row, CAST(gc AS INT) AS grid_col, i * 24 + j AS place, least(255, greatest(0, round_even(r, 0)))::INT AS r8, least(255, greatest(0, round_even(g, 0)))::INT AS g8, least(255, greatest(0, round_even(b, 0)))::INT AS b8
+  FROM rd JOIN pixels p ON p.row = rd.row AND p.col = rd.col)"""
+
+
+def _tile_blocks(spark, d):
+    source = pixels(spark, d)
+    return scan.tile_blocks(source, source.select("scene_id", "width", "height").distinct(), side=24)
+
+
+@query(
+    "tile_blocks",
+    oracle("pixels", f"WITH {TILE_BYTES} SELECT scene_id, grid_row, grid_col, sha256(string_agg(printf('%02X%02X%02X', r8, g8, b8), '' ORDER BY place)) AS tile_sha256 FROM by8 GROUP BY 1, 2, 3"),
+)
+def tile_blocks(spark, d):
+    return _tile_blocks(spark, d).select("scene_id", "grid_row", "grid_col", F.sha2(F.hex("tile"), 256).alias("tile_sha256"))
+
+
+def _weighted_level(tiles):
+    """A scorer to which order and channel matter."""
+    weights = (np.arange(tiles[0].size) % 7).reshape(tiles[0].shape)
+    return (tiles * weights).sum(axis=(1, 2, 3)) / (255 * weights.sum())
+
+
 @query(
     "tile_scores",
     oracle(
         "pixels",
-        """SELECT p.scene_id AS scan_id, 'mining' AS adapter, CAST(a.t AS INT) AS grid_row, CAST(b.t AS INT) AS grid_col, round(avg(r) / 255, 6) AS p FROM pixels p, range(4) a(t), range(4) b(t)
-WHERE p.row >= a.t * 16 - 4 AND p.row < a.t * 16 + 20 AND p.col >= b.t * 16 - 4 AND p.col < b.t * 16 + 20 GROUP BY 1, 2, 3, 4""",
+        f"""WITH {TILE_BYTES}, v AS (SELECT scene_id, grid_row, grid_col, place * 3 + c AS n, CASE c WHEN 0 THEN r8 WHEN 1 THEN g8 ELSE b8 END AS v FROM by8, range(3) k(c))
+SELECT scene_id AS scan_id, 'mining' AS adapter, grid_row, grid_col, round(sum(v * (n % 7)) / (255.0 * sum(n % 7)), 6) AS p FROM v GROUP BY 1, 2, 3, 4""",
     ),
 )
 def tile_scores(spark, d):
-    source = pixels(spark, d)
-    scenes = source.select("scene_id", "width", "height").distinct()
-    tiles = scan.tile_pixels(source.drop("width", "height"), scenes).groupBy(F.col("scene_id").alias("scan_id"), F.lit("mining").alias("adapter"), "grid_row", "grid_col")
-    scored = scan.score_tiles(tiles.agg(F.collect_list("r").alias("values")), lambda batch: [sum(v) / len(v) / 255 for v in batch])
-    return scored.withColumn("p", F.round("p", 6))
+    blocks = _tile_blocks(spark, d).select(F.col("scene_id").alias("scan_id"), F.lit("mining").alias("adapter"), "grid_row", "grid_col", "tile")
+    return scan.score_tiles(blocks, _weighted_level).withColumn("p", F.round("p", 6))
 
 
 # ------------------------------------------------------------------ masks
