@@ -74,6 +74,38 @@ def test_group_of_copies_over_many_partitions(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_groups_cut_by_many_range_boundaries(spark):
+    """Groups of one row up to whole partitions, some beginning and ending inside one, beside a grouping in Python."""
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "23"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rng = np.random.default_rng(2)
+        sizes = [700, 300, 90, 90, 40, *[3] * 40, *[1] * 200]
+        rows = [(int(rng.integers(0, 1 << 40)), " " * int(rng.integers(0, 3)) + f"start of a shared text {g}" + "\n" * int(rng.integers(0, 3)), g) for g, n in enumerate(sizes) for _ in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, `__block` int").repartition(7)
+        groups = defaultdict(list)
+        for d, t, _ in rows:
+            groups[squeezed(t)].append((-len(t), d))
+        want = {d: (min(g)[1], len(g), (n, d) == min(g), hashlib.sha256(k).hexdigest()) for k, g in groups.items() for n, d in g}
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(docs).collect()}
+        assert got == want
+        kept = exact_dedup.drop_copies(docs)
+        assert kept.columns == docs.columns
+        assert sorted(map(tuple, kept.collect())) == sorted(r for r in rows if want[r[0]][2])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_copies_among_clashing_columns(spark):
+    names = ["doc_id", "text", "__keep", "__id", "__chars", "__text", "__lead", "__row", "__run", "__first", "__last", "__hash", "__start", "__best"]
+    docs = spark.createDataFrame([(i, "same" if i < 4 else f"t{i}", *[i] * 12) for i in range(6)], names)
+    assert sorted(map(tuple, exact_dedup.drop_copies(docs).collect())) == sorted(map(tuple, docs.where("doc_id in (0, 4, 5)").collect()))
+    assert exact_dedup.exact_groups(docs).where("kept").count() == 3
+
+
 def test_mixing(messy, nothing):
     mixed = mixing.mix(messy).collect()
     assert len(mixed) == len(ROWS)
