@@ -32,10 +32,15 @@ def image_kind(content: Column) -> Column:
 
 
 def inventory(uploads: DataFrame) -> DataFrame:
-    """Everything later checks need, without carrying the bytes along."""
+    """Everything later checks need, without carrying the bytes along.
+
+    uploads(request_id, idx, file_name, declared_type, modality, content[, bytes]): a given size in ``bytes`` is taken as it is, so the length of
+    a file that was not opened is known; null ``content`` has no kind.
+    """
+    size = F.col("bytes") if "bytes" in uploads.columns else F.length("content")
     return uploads.select(
         "request_id", "idx", "file_name", "declared_type", F.lower("modality").alias("modality"),
-        image_kind(F.col("content")).alias("kind"), F.length("content").cast("long").alias("bytes"),
+        image_kind(F.col("content")).alias("kind"), size.cast("long").alias("bytes"),
     )
 
 

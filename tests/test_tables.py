@@ -140,6 +140,18 @@ def test_uploads(spark, tmp_path):
     assert {r["request_id"]: r["task"] for r in uploads.route_tasks(files).collect()}["r1"] == "CHANGE_DETECTION"
 
 
+def test_files_over_the_limit_are_not_opened(spark, tmp_path):
+    folder = tmp_path / "up" / "r1"
+    folder.mkdir(parents=True)
+    (folder / "0_a.png").write_bytes(b"\x89PNG\r\n\x1a\nxx")
+    with open(folder / "1_big.png", "wb") as big:
+        big.truncate(3 << 30)                        # sparse, and longer than any binary value of Spark
+    found = read_uploads(spark, f"{tmp_path}/up", max_bytes=100)
+    files = uploads.inventory(found.withColumns({"declared_type": F.lit("image/png"), "modality": F.lit("optical")}))
+    assert {r["idx"]: (r["kind"], r["bytes"]) for r in files.collect()} == {0: ("png", 10), 1: (None, 3 << 30)}
+    assert {r["idx"]: r["reason"] for r in uploads.with_rejections(files, 100).collect()} == {0: None, 1: "file too large"}
+
+
 def test_run_records_keep_broken_lines(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"query": "q", "agent_execution_trace": {"task": "T", "nodes_traversed": ["A"]}}\n{"query": \n')
     got = records.read_run_records(spark, f"{tmp_path}/a.json").cache().collect()
