@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from scenequarry.functions.telemetry import flatten_telemetry
 from scenequarry.operators import spatial
@@ -45,6 +46,20 @@ def test_same_area_pairs_of_copies(spark):
     assert sorted((r.a, r.b) for r in got) == sorted((i, j) for i in range(30) for j in range(i + 1, 30) if i % 2 == j % 2)
 
 
+def tasks_of(found):
+    return found.groupBy(F.spark_partition_id()).count().count()
+
+
+def test_few_large_boxes_over_many_small_ones_are_no_single_task(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "HOT_CELL", 20)
+    small = [(i, 10.0 + i % 20, 10.0 + i // 20, 10.5 + i % 20, 10.5 + i // 20) for i in range(400)]
+    large = [(-1, 0.0, 0.0, 60.0, 60.0), (-2, 0.0, 0.0, 61.0, 50.0)]
+    for a, b in ((small, large), (large, small)):
+        found = spatial.overlapping_pairs(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA))
+        assert sorted((r.a_id, r.b_id) for r in found.collect()) == sorted((p[0], q[0]) for p in a for q in b)
+        assert tasks_of(found) > 1
+
+
 def plain(value, ascii_only):
     if value is None:
         return "n/a"
