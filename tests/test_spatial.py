@@ -60,6 +60,32 @@ def test_few_large_boxes_over_many_small_ones_are_no_single_task(spark, monkeypa
         assert tasks_of(found) > 1
 
 
+@pytest.mark.parametrize(("least", "hot_cell"), [(0.85, 7), (0.3, 2000), (1.0, 2000)])
+def test_same_area_pairs_of_many_sizes(spark, monkeypatch, least, hot_cell):
+    monkeypatch.setattr(spatial, "HOT_CELL", hot_cell)
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        side, x, y = rng.choice([1e-6, 1.0, 1.1, 7.5, 8.0]), rng.choice([0.0, -3.0, 1e6]), rng.uniform(-1, 1) * rng.choice([0, 0.1, 1])
+        rows.append((i // 2, (y, x + rng.choice([0, 0.1]) * side, y + side * rng.choice([1, 1.05, 2]), x + side * rng.choice([1, 1, 0.9, 1.2]))))
+    overlap = []
+    for i, (s, w, n, e) in rows:
+        for j, (s2, w2, n2, e2) in rows:
+            shared = max(0.0, min(n, n2) - max(s, s2)) * max(0.0, min(e, e2) - max(w, w2))
+            if i < j and n > s and e > w and n2 > s2 and e2 > w2 and shared > 0 and shared / ((n - s) * (e - w) + (n2 - s2) * (e2 - w2) - shared) >= least:
+                overlap.append((i, j))
+    captures = spark.createDataFrame(rows, "id long, bounds struct<south: double, west: double, north: double, east: double>")
+    assert sorted((r.a, r.b) for r in spatial.same_area_pairs(captures, least).collect()) == sorted(overlap)
+
+
+def test_same_area_pairs_of_one_place_are_no_single_task(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "HOT_CELL", 20)
+    rows = [(i, (0.0, 0.0, 8.0, 8.0 + i / 1e4)) for i in range(200)]
+    found = spatial.same_area_pairs(spark.createDataFrame(rows, "id long, bounds struct<south: double, west: double, north: double, east: double>"))
+    assert found.count() == 199 * 100
+    assert tasks_of(found) > 1
+
+
 def plain(value, ascii_only):
     if value is None:
         return "n/a"
