@@ -109,6 +109,28 @@ def test_scans_on_regions_by_the_tiles_they_touch(spark, monkeypatch):
     assert [m.count() for m in made][0] == 240 and made[-1].count() < 122 * 20     # 120 regions on two grids each; each pair has 90 x 3 tiles
 
 
+@pytest.mark.parametrize("hot_cell", [2000, 5])
+def test_outside_major_is_no_comparison_of_whole_pairs(spark, monkeypatch, hot_cell):
+    monkeypatch.setattr(spatial, "HOT_CELL", hot_cell)
+    rng = random.Random(5)
+    some = lambda n: [(rng.choice([0, 0, 0, 1, None]), i, float(rng.randrange(300)), rng.randrange(300) - 0.5, float(rng.choice([0, 2, 40, 300])), float(rng.choice([0, 1, 60]))) for i in range(n)]
+    subtle, major = some(200), some(60) + [(0, 99, 10.0, 10.0, 0.0, 0.0), (0, 98, 0.0, 0.0, -5.0, 5.0), (0, 97, 1e15, 0.0, 1.0, 1e-9)]
+    subtle += [subtle[0], (0, 500, 10.0, 10.0, 0.0, 0.0), (0, 501, None, 0.0, 1.0, 1.0), (0, 502, 1e15, 0.0, 1.0, 1e-9), (0, 503, 8.0, 9.0, 4.0, 2.0)]
+
+    def held(s, m):
+        if s[0] is None or s[0] != m[0] or s[2] is None:
+            return False
+        cx, cy = s[2] + s[4] / 2, s[3] + s[5] / 2
+        return m[2] <= cx <= m[2] + m[4] and m[3] <= cy <= m[3] + m[5]
+
+    schema = "pair_id int, region_no int, x double, y double, w double, h double"
+    found = spatial.outside_major(spark.createDataFrame(subtle, schema), spark.createDataFrame(major, schema))
+    assert found.columns == ["pair_id", "region_no", "x", "y", "w", "h"]
+    assert sorted(r.region_no for r in found.collect()) == sorted(s[1] for s in subtle if not any(held(s, m) for m in major))
+    assert not [line for line in found._jdf.queryExecution().executedPlan().toString().splitlines() if "LeftAnti" in line and ">=" in line]
+    assert spatial.outside_major(spark.createDataFrame(subtle, schema), spark.createDataFrame([], schema)).count() == len(subtle)
+
+
 def plain(value, ascii_only):
     if value is None:
         return "n/a"
