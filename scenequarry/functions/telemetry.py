@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 # Characters that JSON allows in no string stand for an escaped backslash and quote, so that a string has no quote inside.
 BACKSLASH, QUOTE = "\x01", "\x02"
-TOKEN = r'"[^"]*+"|[\[\]{}:,]|[^\s\[\]{}:,"]++'
+# Brackets of lists that follow each other are one token, however many: between them only their number counts.
+TOKEN = r'"[^"]*+"|\[[\[\s]*+|\][\]\s]*+|[{}:,]|[^\s\[\]{}:,"]++'
+BLANKS = " \t\n\x0b\f\r"
 # --- Fixed values: the words for values. ---
 WORDS = {"null": "n/a", "true": "yes", "false": "no"}
 NO_ENTRIES, BETWEEN, SUMMARY = "none", "; ", "summary"
@@ -37,12 +39,16 @@ def flatten_telemetry(runs: DataFrame, key: str, telemetry: str) -> DataFrame:
     """
     marked = runs.where(F.ltrim(telemetry).startswith("{")).select(F.monotonically_increasing_id().alias("_row"), key, _marked(F.col(telemetry)).alias("_text"))
     tokens = marked.select("_row", key, F.posexplode(F.regexp_extract_all("_text", F.lit(TOKEN), F.lit(0))).alias("_i", "_t"))
+    tokens = tokens.withColumn("_t", F.when(F.substr("_t", F.lit(1), F.lit(1)).isin("[", "]"), F.translate("_t", BLANKS, "")).otherwise(F.col("_t")))
+    # a number of parts of its own: the exchange would be merged into few tasks by its compressed size
+    tokens = tokens.repartition(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_row")
     order = Window.partitionBy("_row").orderBy("_i")
     whole = Window.partitionBy("_row")
     t = F.col("_t")
+    lists, ends = t.startswith("["), t.startswith("]")
     tokens = tokens.withColumns(
         {
-            "_o": F.sum(F.when(t == "{", 1).when(t == "}", -1).otherwise(0)).over(order), "_l": F.sum(F.when(t == "[", 1).when(t == "]", -1).otherwise(0)).over(order),
+            "_o": F.sum(F.when(t == "{", 1).when(t == "}", -1).otherwise(0)).over(order), "_l": F.sum(F.when(lists, F.length(t)).when(ends, -F.length(t)).otherwise(0)).over(order),
             "_next": F.lead("_t").over(order), "_third": F.lead("_t", 2).over(order),
         }
     )
@@ -53,8 +59,8 @@ def flatten_telemetry(runs: DataFrame, key: str, telemetry: str) -> DataFrame:
 
     within = F.greatest("_o", F.when(t == "}", F.col("_o") + 1).otherwise(F.col("_o"))) > 1         # inside an object that is a value
     key_here = (F.col("_o") == 1) & t.startswith('"') & (F.col("_next") == ":")
-    empty = (F.col("_o") == 1) & (t == "[") & (F.col("_next") == "]")
-    scalar = (F.col("_o") == 1) & ~key_here & ~t.isin("{", "}", "[", "]", ":", ",")
+    empty = (F.col("_o") == 1) & lists & F.col("_next").startswith("]")
+    scalar = (F.col("_o") == 1) & ~key_here & ~lists & ~ends & ~t.isin("{", "}", ":", ",")
     opens = (F.col("_o") == 2) & (t == "{")
     summary = F.when((F.col("_o") == 2) & (t == f'"{SUMMARY}"') & (F.col("_next") == ":") & F.col("_third").startswith('"'), F.col("_third"))
     parts = sound.withColumns(
@@ -70,7 +76,7 @@ def flatten_telemetry(runs: DataFrame, key: str, telemetry: str) -> DataFrame:
     first, text = F.get("_values", F.lit(0))["_value"], F.array_join(F.transform("_values", lambda v: v["_value"]), "")
     words = F.create_map(*[F.lit(x) for pair in WORDS.items() for x in pair])
     shown = (
-        F.when(first == "{", F.coalesce(_string(F.col("_summary")), _raw(text))).when(first == "[", NO_ENTRIES).when(first.startswith('"'), _string(first))
+        F.when(first == "{", F.coalesce(_string(F.col("_summary")), _raw(text))).when(first.startswith("["), NO_ENTRIES).when(first.startswith('"'), _string(first))
         .otherwise(F.coalesce(F.try_element_at(words, first), first))
     )
     fields = joined.withColumn("_shown", F.when(F.col("_part").isNotNull(), F.struct("_part", shown.alias("text")))).groupBy("_row", key, "_field").agg(

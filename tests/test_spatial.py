@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from scenequarry.functions.telemetry import flatten_telemetry
+from scenequarry.functions.telemetry import TOKEN, flatten_telemetry
 from scenequarry.operators import spatial
 
 SCHEMA = "id long, x0 double, y0 double, x1 double, y1 double"
@@ -166,3 +166,11 @@ def test_telemetry_of_any_depth(spark):
     twice = [(1, '{"d": 1, "d": 2}')]
     got = {(r.k, r.name): r.text for r in flatten_telemetry(spark.createDataFrame(deep + twice, "k long, t string"), "k", "t").collect()}
     assert got == {(n, "d"): "][" for n in (8, 120, 5000)} | {(n, "e"): '{"a":' * n + "1" + "}" * n for n in (8, 120, 5000)} | {(1, "d"): "2"}
+
+
+def test_brackets_in_a_row_are_one_token(spark):
+    deep = '{"d": ' + "[ [\n" * 2500 + " " + "]" * 5000 + ', "e": {"a": ' + "[" * 50 + "] " * 50 + "}}"
+    rows = spark.createDataFrame([(1, deep)], "k long, t string")
+    assert rows.select(F.size(F.regexp_extract_all("t", F.lit(TOKEN), F.lit(0)))).first()[0] < 20
+    got = {r.name: r.text for r in flatten_telemetry(rows, "k", "t").collect()}
+    assert got == {"d": "none", "e": '{"a":' + "[" * 50 + "]" * 50 + "}"}
