@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scenequarry.functions.answers import strip
+from scenequarry.operators.joins import BROADCAST_ROWS
+from scenequarry.session import cut_lineage
 
 # --- Fixed values: run kinds, limits and folder pattern. ---
 ANNOTATED_KINDS = ("scan", "change", "fusion")
@@ -61,24 +63,57 @@ def surviving_runs(runs: DataFrame, slot_changes: DataFrame) -> DataFrame:
     return joined.where(F.col("changed_at").isNull() | (F.col("ran_at") > F.col("changed_at"))).drop("changed_at")
 
 
+def _mark(*columns: str) -> list[Column]:
+    """96 bits that stand for a row, nulls told from each other."""
+    told = [x for c in columns for x in (F.col(c), F.col(c).isNull())]
+    return [F.xxhash64(*told).alias("_h"), F.hash(*told).alias("_g")]
+
+
+def _marked_rows(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows with a wanted mark. Few marks go to every task; else rows are dealt out by their mark and pass by the marks, without being sorted."""
+    mark = ["_h", "_g"]
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(wanted), mark)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *mark).join(wanted.repartition(parts, *mark).hint("shuffle_hash"), mark)
+
+
 def report_history(reports: DataFrame, limit: int = HISTORY_LIMIT) -> DataFrame:
-    """Each user's newest ``limit`` reports, titled by their own title, else by the query."""
-    newest = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("session_id"))
-    return (
-        reports.withColumn("position", F.row_number().over(newest))
-        .where(F.col("position") <= limit)
-        .select(
-            "user_id", "position", "session_id", "created_at",
-            F.coalesce(F.nullif("title", F.lit("")), F.col("query")).alias("title"),
-        )
-    )
+    """Each user's newest ``limit`` reports, titled by their own title, else by the query.
+
+    Rows are ordered by what is short and stand for by a mark; their texts are looked up afterwards and are sorted nowhere. Rows that come
+    several times have several positions and one text.
+    """
+    row, mark = ["user_id", "session_id", "created_at"], ["_h", "_g"]
+    titled = reports.select(*row, F.coalesce(F.nullif("title", F.lit("")), F.col("query")).alias("title"))
+    marked = titled.select("*", *_mark(*row, "title"))
+    short = cut_lineage(marked.select(*row, *mark))
+    newest = Window.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("session_id"), *mark)
+    placed = short.withColumn("position", F.row_number().over(newest)).where(F.col("position") <= limit)
+    placed = placed.groupBy(*mark).agg(F.min("position").alias("position"), F.max("position").alias("_last"))
+    placed = cut_lineage(placed.join(short.groupBy(*mark).agg(F.count(F.lit(1)).alias("_copies")), mark))
+    shown = ["user_id", "position", "session_id", "created_at", "title"]
+    once = _marked_rows(marked, placed.where("_copies = 1")).select(*shown)
+    if placed.where("_copies > 1").isEmpty():
+        return once
+    copies = _marked_rows(marked, placed.where("_copies > 1")).dropDuplicates(mark)
+    return once.unionByName(copies.withColumn("position", F.explode(F.sequence("position", "_last"))).select(*shown))
 
 
 def latest_reports(changes: DataFrame) -> DataFrame:
-    """Insert-or-replace over an append-only log: the newest row per session, its query clipped."""
+    """Insert-or-replace over an append-only log: the newest row per session, its query clipped.
+
+    The newest row is found by its mark, without its texts, which are looked up afterwards.
+    """
     columns = [c for c in changes.columns if c not in ("session_id", "query")]
-    row = F.struct(*columns, F.substring("query", 1, QUERY_CHARS).alias("query"))
-    return changes.groupBy("session_id").agg(F.max_by(row, "created_at").alias("r")).select("session_id", "r.*")
+    clipped = changes.select("session_id", *columns, F.substring("query", 1, QUERY_CHARS).alias("query"))
+    marked = clipped.select("*", *_mark(*clipped.columns))
+    newest = cut_lineage(marked.groupBy("session_id").agg(F.max("created_at").alias("created_at"), F.max_by("_h", "created_at").alias("_h"), F.max_by("_g", "created_at").alias("_g")))
+    wanted = newest.where("created_at IS NOT NULL").select("_h", "_g").distinct()
+    row = F.struct(*columns, "query")
+    found = _marked_rows(marked, wanted).groupBy("session_id").agg(F.max_by(row, "created_at").alias("r")).select("session_id", "r.*")
+    untimed = newest.where("created_at IS NULL").select("session_id")
+    return found.unionByName(untimed, allowMissingColumns=True)
 
 
 def rename_reports(reports: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:

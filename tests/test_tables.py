@@ -1,5 +1,8 @@
 """Dates, releases, conversations, runs, uploads, coordinates and lockout on small literal tables."""
 
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from scenequarry.functions import dates, language, places
@@ -246,3 +249,42 @@ def test_join_small_salts_beyond_the_bound(spark, monkeypatch):
         monkeypatch.setattr(joins, "BROADCAST_ROWS", bound)
         got = joins.join_small(large, small, ["k"], "left").select("id", "k", "v").collect()
         assert sorted(map(tuple, got), key=str) == want
+
+
+REPORT = "session_id string, user_id long, created_at double, query string, task string, title string"
+
+
+def test_latest_reports_look_texts_up(spark):
+    rows = [(f"s{i % 7}" if i % 5 else None, i % 3, float(i % 11) if i % 13 else None, "q" * 1999 + f"{i}", "t", None if i % 2 else "") for i in range(200)]
+    rows += rows[:40] + [("alone", 1, None, "q", "t", "x"), ("alone", 2, None, "q", "t", "x")]
+    found = runs.latest_reports(spark.createDataFrame(rows, REPORT))
+    assert found.columns == ["session_id", "user_id", "created_at", "task", "title", "query"]
+    got = {r.session_id: tuple(r)[1:] for r in found.collect()}
+    assert len(got) == found.count() == len({r[0] for r in rows})
+    for session, (user, at, task, title, query) in got.items():
+        times = [r[2] for r in rows if r[0] == session and r[2] is not None]
+        assert at == max(times, default=None)
+        if times:
+            assert (session, user, at, task, title, query) in {(r[0], r[1], r[2], r[4], r[5], r[3][:2000]) for r in rows}
+    assert got["alone"] == (None,) * 5
+    assert "Join" in found._jdf.queryExecution().executedPlan().toString()      # texts take no part in the search for the newest
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_report_history_orders_no_texts(spark, monkeypatch, few):
+    monkeypatch.setattr(runs, "BROADCAST_ROWS", few)
+    rows = [(f"s{i % 4}" if i % 9 else None, i % 3 if i % 10 else None, float(i % 8) if i % 7 else None, f"query {i % 6}", "t", ["", None, "Site"][i % 3]) for i in range(120)]
+    rows += rows[:30] + rows[:10]
+    found = runs.report_history(spark.createDataFrame(rows, REPORT).repartition(3), 15)
+    assert found.columns == ["user_id", "position", "session_id", "created_at", "title"]
+    got = found.collect()
+    want = {}
+    for session, user, at, query, _, title in rows:
+        want.setdefault(user, []).append((-1.0 if at is None else at, session or "", title or query))
+    assert sorted((r.user_id is None, r.user_id, r.position) for r in got) == sorted((u is None, u, k + 1) for u, x in want.items() for k in range(min(15, len(x))))
+    for user, x in want.items():
+        mine = sorted((r for r in got if r.user_id == user), key=lambda r: r.position)
+        assert [(-1.0 if r.created_at is None else r.created_at, r.session_id or "") for r in mine] == sorted((v[:2] for v in x), reverse=True)[:15]
+        held = Counter((-1.0 if r.created_at is None else r.created_at, r.session_id or "", r.title) for r in mine)
+        assert held <= Counter(x)
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()     # texts meet positions that are known
