@@ -155,10 +155,11 @@ CASE WHEN error IS NULL AND ((qtype = 'presence' AND answer = 'yes') OR (qtype =
 )
 def incremental_scoring(spark, d):
     """Items arrive as a stream of files; a second run finds everything answered and appends nothing."""
-    items = evaluation.items(spark, d)
-    spaces = vocabulary.build_answer_spaces(items)
+    found = evaluation.items(spark, d)
     folder = work_folder(spark)
-    items.write.parquet(f"{folder}/items")
+    found.write.parquet(f"{folder}/items")
+    items = spark.read.schema(found.schema).parquet(f"{folder}/items")
+    spaces = vocabulary.build_answer_spaces(items)
     config = {"benchmark": evaluation.BENCHMARK, "split": "test", "limit": 0, "seed": 0, "predictor": "sample"}
     for _ in range(2):
         arriving = spark.readStream.schema(items.schema).parquet(f"{folder}/items")

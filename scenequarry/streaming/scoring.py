@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from scenequarry.operators.items import missing_images
 from scenequarry.operators.predictor import run_predictor
 from scenequarry.operators.scoring import score_replies, unanswered, with_prompts
+from scenequarry.session import cut_lineage
 from scenequarry.sources.predictions import PREDICTION_SCHEMA, guard_run
 
 COLUMNS = [field.split()[0] for field in PREDICTION_SCHEMA.split(", ")]
@@ -53,6 +54,8 @@ def start_scoring(
     if read_log(spark, log_path) is not None and not _exists(spark, f"{checkpoint}/metadata"):
         raise ValueError(f"{run_folder} holds predictions but not the checkpoint they belong to")
 
+    spaces = cut_lineage(spaces)        # read twice by every batch
+
     def put(batch: DataFrame, batch_id: int) -> None:
         score_new_items(batch, spaces, predictor, None, inventory).write.mode("overwrite").json(f"{log_path}/batch={batch_id}")
 
