@@ -1,6 +1,7 @@
 """Candidate searches over boxes, and telemetry of any depth, against plain versions."""
 
 import json
+import math
 import random
 
 import pytest
@@ -89,6 +90,7 @@ def test_same_area_pairs_of_one_place_are_no_single_task(spark, monkeypatch):
 def test_scans_on_regions_by_the_tiles_they_touch(spark, monkeypatch):
     rng = random.Random(3)
     regions = [(i % 3, i, rng.randrange(-50, 420), rng.randrange(0, 300), rng.randrange(0, 200), rng.randrange(1, 150), 400, 300) for i in range(120)] + [(7, 1, 0, 0, 9, 9, 400, 300), (None, 2, 0, 0, 9, 9, 400, 300)]
+    regions += [(0, 200, 90, 10, None, 250, 400, 300), (1, 201, None, 0, 5, 200, 400, 300), (2, 202, 0, 0, 9, 9, 0, 300), (2, 203, 0, 0, 90, 90, None, 300), (2, 204, 90, 9, -9, 90, 400, 300)]
     tiles = [(p, name, order, rng.randrange(rows), rng.randrange(cols), rows, cols) for p in (0, 1, 2, None) for rows, cols in ((4, 4), (3, 7)) for order, name in enumerate("cab") for _ in range(15)] * 3
     made = []
     monkeypatch.setattr(spatial, "join_small", lambda *a, f=spatial.join_small: made.append(f(*a)) or made[-1])
@@ -100,13 +102,16 @@ def test_scans_on_regions_by_the_tiles_they_touch(spark, monkeypatch):
     def covers(region, tile):
         _, _, x, y, w, h, width, height = region
         _, _, _, r, c, rows, cols = tile
-        across = max(0, min(x + w, (c + 1) * width / cols) - max(x, c * width / cols))
+        if width is None:
+            return False
+        x, end = (-math.inf, math.inf) if x is None else (x, math.inf if w is None else x + w)      # without a start or an end: up to the border
+        across = max(0, min(end, (c + 1) * width / cols) - max(x, c * width / cols))
         down = max(0, min(y + h, (r + 1) * height / rows) - max(y, r * height / rows))
         return across * down >= 0.15 * (width / cols) * (height / rows)
 
     want = {r[:2]: [n for _, n in sorted({(t[2], t[1]) for t in tiles if t[0] is not None and t[0] == r[0] and covers(r, t)})] for r in regions}
     assert {(r.pair_id, r.region_no): r.scans for r in found.collect()} == want
-    assert [m.count() for m in made][0] == 240 and made[-1].count() < 122 * 20     # 120 regions on two grids each; each pair has 90 x 3 tiles
+    assert [m.count() for m in made][0] == 250 and made[-1].count() < 127 * 20     # 125 regions on two grids each; each pair has 90 x 3 tiles
 
 
 @pytest.mark.parametrize("hot_cell", [2000, 5])
