@@ -70,8 +70,9 @@ def _pair_hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return ((left * MIX) ^ right) * MIX
 
 
-def _passing(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    return bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)]
+def _passing(hashes: np.ndarray, packed: np.ndarray) -> np.ndarray:
+    spot = hashes & np.uint64(8 * len(packed) - 1)
+    return (packed[(spot >> np.uint64(3)).astype(np.int64)] >> (spot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,6 +109,11 @@ def _filter_of(counts: DataFrame) -> np.ndarray:
     return np.unpackbits(found, bitorder="little").astype(bool)
 
 
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Eight bits to a byte, as a filter is sent to the tasks."""
+    return np.packbits(bits, bitorder="little")
+
+
 def _windows(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, pairs: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
     """(lang, w1, .., n): the window of ``width`` words from every frequent word, padded from the piece's end or the first rare word or pair on.
 
@@ -145,9 +151,9 @@ def phrase_counts(docs: DataFrame, min_count: int, max_words: int, text: str = "
     given = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(NO_LANG)).alias("lang"), F.col(text).alias("text"))
     counted = given.mapInArrow(_counted, "key bigint, lang string, n bigint").groupBy("key", "lang").agg(F.sum("n").alias("n"))
     words = cut_lineage(counted.where(F.col("key").isNull() | (F.col("n") >= min_count)))
-    frequent = context.broadcast(_filter_of(words.where("key IS NOT NULL")))
+    frequent = context.broadcast(_packed(_filter_of(words.where("key IS NOT NULL"))))
     paired = given.mapInArrow(lambda batches: _paired(batches, frequent.value), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    pairs = context.broadcast(_filter_of(cut_lineage(paired.where(F.col("n") >= min_count))))
+    pairs = context.broadcast(_packed(_filter_of(cut_lineage(paired.where(F.col("n") >= min_count)))))
     leads = [f"w{k}" for k in range(1, max_words + 1)]
     schema = f"lang string, {', '.join(f'{w} string' for w in leads)}, n bigint"
     windows = given.mapInArrow(lambda batches: _windows(batches, frequent.value, pairs.value, max_words), schema)
@@ -190,7 +196,8 @@ def collocations(docs: DataFrame, min_count: int = 100, top: int = 2000, max_wor
 
     spans = F.explode(F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), lambda s: F.transform(F.sequence(F.lit(1), F.col("size") - s + 1), lambda i: _part(words, i, s)))))
     inner = longer.where("size > 2").select("lang", spans.alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("held"))
-    alone = weakest.join(inner, ["lang", "phrase"], "left").where("held IS NULL OR 100 * held < 100 * a")
+    # a merge: both are dealt out by these columns, and Spark sizes the spans too low
+    alone = weakest.join(inner.hint("merge"), ["lang", "phrase"], "left").where("held IS NULL OR 100 * held < 100 * a")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = alone.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

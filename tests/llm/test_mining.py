@@ -110,6 +110,24 @@ def test_phrases(spark, least, top):
     assert phrases.collocations(docs.limit(0)).count() == 0
 
 
+def test_phrases_broadcast_only_totals(spark, monkeypatch):
+    from scenequarry.operators import joins
+
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 2)       # the parts of phrases are more, the totals of two languages are not
+    rows = [(i, f"one two three four five w{i % 3} six seven", ("en", "de")[i % 2]) for i in range(60)]
+    got = phrases.collocations(frame(spark, rows), 5, 50)
+    assert set(map(tuple, got.collect())) == plain_phrases(rows, 5, 50)
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("BroadcastHashJoin") == 1
+
+
+def test_filters_are_sent_as_bits():
+    bits = np.random.default_rng(1).random(1 << 15) < 0.3
+    hashes = np.random.default_rng(2).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    packed = phrases._packed(bits)
+    assert packed.nbytes == len(bits) // 8
+    assert (phrases._passing(hashes, packed) == bits[(hashes % np.uint64(len(bits))).astype(np.int64)]).all()
+
+
 def test_phrases_over_slices_and_saturated_filters(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.4, 60) % 50), "en" if i % 3 else None) for i in range(200)]

@@ -251,6 +251,18 @@ def test_join_small_salts_beyond_the_bound(spark, monkeypatch):
         assert sorted(map(tuple, got), key=str) == want
 
 
+def test_join_small_sends_no_salted_rows_to_the_driver(spark, monkeypatch):
+    from scenequarry.operators import joins
+
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 10)
+    large, small = spark.range(1000).selectExpr("id", "id % 700 AS k"), spark.range(500).selectExpr("id AS k", "id * 10 AS v")
+    for one, how in ((large, "inner"), (large, "left"), (small.selectExpr("k"), "inner")):
+        joined = joins.join_small(one, small, ["k"], how)
+        joined.collect()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 REPORT = "session_id string, user_id long, created_at double, query string, task string, title string"
 
 
