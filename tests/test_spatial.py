@@ -87,6 +87,35 @@ def test_same_area_pairs_of_one_place_are_no_single_task(spark, monkeypatch):
     assert tasks_of(found) > 1
 
 
+def sent_copies(monkeypatch):
+    """The shares of crowded cells that the searches ask for: (of the left side, of the right side)."""
+    asked = []
+    monkeypatch.setattr(spatial, "join_small", lambda large, small, on, how, f=spatial.join_small: asked.extend((r._of_n, r._of_m) for r in small.collect()) or f(large, small, on, how))
+    return asked
+
+
+def test_copies_of_crowded_captures_do_not_grow_with_comparisons(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "HOT_CELL", 10)
+    monkeypatch.setattr(spatial, "BLOCKS", 4, raising=False)
+    asked = sent_copies(monkeypatch)
+    for n in (100, 400):
+        rows = [(i, (0.0, 0.0, 8.0, 8.0 + i / 1e4)) for i in range(n)]
+        asked.clear()
+        found = spatial.same_area_pairs(spark.createDataFrame(rows, "id long, bounds struct<south: double, west: double, north: double, east: double>"))
+        assert found.count() == n * (n - 1) // 2
+        assert 1 < max(max(a) for a in asked) <= 5         # four partitions of four blocks, and a part; not n / 10
+
+
+def test_shares_have_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "HOT_CELL", 10)
+    monkeypatch.setattr(spatial, "MOST_SHARE", 50, raising=False)
+    asked = sent_copies(monkeypatch)
+    rows = [(i, (0.0, 0.0, 8.0, 8.0)) for i in range(120)]
+    monkeypatch.setattr(spatial, "BLOCKS", 0.001, raising=False)
+    assert spatial.same_area_pairs(spark.createDataFrame(rows, "id long, bounds struct<south: double, west: double, north: double, east: double>")).count() == 60 * 119
+    assert set(asked) == {(3, 3)}
+
+
 def test_scans_on_regions_by_the_tiles_they_touch(spark, monkeypatch):
     rng = random.Random(3)
     regions = [(i % 3, i, rng.randrange(-50, 420), rng.randrange(0, 300), rng.randrange(0, 200), rng.randrange(1, 150), 400, 300) for i in range(120)] + [(7, 1, 0, 0, 9, 9, 400, 300), (None, 2, 0, 0, 9, 9, 400, 300)]
