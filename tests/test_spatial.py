@@ -106,6 +106,19 @@ def test_copies_of_crowded_captures_do_not_grow_with_comparisons(spark, monkeypa
         assert 1 < max(max(a) for a in asked) <= 5         # four partitions of four blocks, and a part; not n / 10
 
 
+def test_copies_of_few_boxes_over_very_many_do_not_grow_with_comparisons(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "HOT_CELL", 10)
+    monkeypatch.setattr(spatial, "BLOCKS", 4, raising=False)
+    asked = sent_copies(monkeypatch)
+    small = [(i, 10.0 + i % 40, 10.0 + i // 40, 10.5 + i % 40, 10.5 + i // 40) for i in range(1600)]
+    large = [(-i, 0.0, 0.0, 60.0 + i / 100, 60.0) for i in range(1, 31)]
+    for a, b in ((small, large), (large, small)):
+        asked.clear()
+        found = spatial.overlapping_pairs(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA))
+        assert found.count() == 30 * 1600 and tasks_of(found) > 1
+        assert max(n * m for n, m in asked) <= 36          # not 3 x 160; shares are round numbers
+
+
 def test_shares_have_a_bound(spark, monkeypatch):
     monkeypatch.setattr(spatial, "HOT_CELL", 10)
     monkeypatch.setattr(spatial, "MOST_SHARE", 50, raising=False)
